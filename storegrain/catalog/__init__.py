@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     from storegrain.catalog import (  # noqa: F401
-        learning, maintenance, places, preparation, quality, searching, statistics,
+        files, learning, maintenance, places, preparation, quality, searching, statistics,
     )
 
     return REGISTRY

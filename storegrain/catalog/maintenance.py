@@ -81,10 +81,10 @@ def distinct_biz(spark, folder):
 
 # -- upserts ----------------------------------------------------------------
 
-TARGET = T.StructType.fromDDL(
-    "biz_id string, store_name string, category_large string, category_mid string, adong_cd string, road_address string, "
-    "collected_at timestamp_ntz, updated_at timestamp_ntz")
-STAMP_SQL = "TIMESTAMP '2024-06-01 00:00:00'"
+TARGET = T.StructType(
+    [T.StructField(c, T.StringType()) for c in (
+        "biz_id", "store_name", "category_large", "category_mid", "adong_cd", "road_address")]
+    + [T.StructField(c, T.TimestampNTZType()) for c in ("collected_at", "updated_at")])
 
 
 def old_and_new(spark, folder) -> tuple[DataFrame, DataFrame]:

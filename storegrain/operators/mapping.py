@@ -52,10 +52,13 @@ def project(df: DataFrame, schema: T.StructType, leave_out=()) -> DataFrame:
     for field in schema.fields:
         if field.name not in df.columns or field.name in leave_out:
             continue
-        column = F.col(field.name)
-        if isinstance(field.dataType, (T.LongType, T.IntegerType)) and \
-                isinstance(df.schema[field.name].dataType, (T.DoubleType, T.FloatType)):
-            column = F.round(column)
+        column, kind = F.col(field.name), df.schema[field.name].dataType
+        if isinstance(field.dataType, (T.LongType, T.IntegerType)):
+            if isinstance(kind, (T.DoubleType, T.FloatType)):
+                column = F.round(column)
+            elif isinstance(kind, T.StringType):
+                # Text such as 1.5E8 is a whole number of money, too.
+                column = F.coalesce(column.try_cast("bigint"), F.round(column.try_cast("double")).cast("bigint"))
         out.append(column.cast(field.dataType).alias(field.name))
     return df.select(*out)
 

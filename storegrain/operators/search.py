@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +17,9 @@ from storegrain.functions.columns import blank_to_null, first_present, lookup
 from storegrain.operators.ranking import top_k
 from storegrain.schemas import STATUS_NAMES
 
+# The functions that run in tasks travel with the job; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NAME = ("store_name", "bizesNm")
 CATEGORY = ("category_large", "business_category", "indsLclsCdNm")
 SUB_CATEGORY = ("category_mid", "business_sub_category", "indsMclsCdNm")

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+TEXT, LONG, INT, DOUBLE, BOOL, TIME = (
+    T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType())
+
+
+def _struct(*groups: tuple[T.DataType, str]) -> T.StructType:
+    """A schema from (type, "name name ...") groups, in order; needs no session."""
+    return T.StructType([T.StructField(name, kind) for kind, names in groups for name in names.split()])
 
 
 # ---------------------------------------------------------------------------
@@ -154,67 +159,54 @@ CAPITAL_DISTRICTS = {
 # ---------------------------------------------------------------------------
 # Tables.
 # ---------------------------------------------------------------------------
-STORES = _struct(
-    "biz_id string, store_name string, branch_name string, "
-    "category_large_cd string, category_large string, category_mid_cd string, category_mid string, "
-    "category_small_cd string, category_small string, ksic_cd string, ksic_name string, "
-    "sido_cd string, sido_name string, sgg_cd string, sgg_name string, adong_cd string, adong_name string, "
-    "ldong_cd string, ldong_name string, lot_address string, road_address string, building_name string, "
-    "zip_code string, longitude decimal(11,8), latitude decimal(10,8), floor_info string, unit_info string, "
-    "biz_status_cd string, biz_status string, closure_date string, data_ym string, "
-    "collected_at timestamp, updated_at timestamp"
-)
-REGION_CODES = _struct(
-    "region_cd string, region_cd_8 string, sido_cd string, sgg_cd string, dong_cd string, "
-    "sido_name string, sgg_name string, dong_name string, full_name string"
+_STORE_TEXT = (
+    "biz_id store_name branch_name category_large_cd category_large category_mid_cd category_mid "
+    "category_small_cd category_small ksic_cd ksic_name sido_cd sido_name sgg_cd sgg_name adong_cd adong_name "
+    "ldong_cd ldong_name lot_address road_address building_name zip_code"
 )
-COLLECTION_LOGS = _struct(
-    "dong_cd string, dong_name string, store_count bigint, status string, error_msg string, collected_at timestamp"
-)
-_CLEAN_COLUMNS = (
-    "biz_id string, store_name string, business_category string, business_sub_category string, "
-    "district string, dong_code string, longitude decimal(11,8), latitude decimal(10,8), "
-    "road_address string, lot_address string, age int, experience_years int, initial_investment bigint, "
-    "initial_capital bigint, monthly_rent bigint, store_size_sqm double, employee_count int, "
-    "nearby_competitor_count int, gender string, education_level string, floating_population_level string, "
-    "has_related_experience int, has_startup_experience int, is_franchise int, biz_status_cd string"
+_LONGITUDE, _LATITUDE = (T.DecimalType(11, 8), "longitude"), (T.DecimalType(10, 8), "latitude")
+STORES = _struct(
+    (TEXT, _STORE_TEXT), _LONGITUDE, _LATITUDE,
+    (TEXT, "floor_info unit_info biz_status_cd biz_status closure_date data_ym"), (TIME, "collected_at updated_at"),
 )
-CLEANED_STORES = _struct(
-    _CLEAN_COLUMNS + ", biz_status string, closure_date string, pipeline_run_id string, cleaned_at timestamp"
+REGION_CODES = _struct((TEXT, "region_cd region_cd_8 sido_cd sgg_cd dong_cd sido_name sgg_name dong_name full_name"))
+COLLECTION_LOGS = _struct((TEXT, "dong_cd dong_name"), (LONG, "store_count"), (TEXT, "status error_msg"), (TIME, "collected_at"))
+_CLEAN = (
+    (TEXT, "biz_id store_name business_category business_sub_category district dong_code"), _LONGITUDE, _LATITUDE,
+    (TEXT, "road_address lot_address"), (INT, "age experience_years"),
+    (LONG, "initial_investment initial_capital monthly_rent"), (DOUBLE, "store_size_sqm"),
+    (INT, "employee_count nearby_competitor_count"), (TEXT, "gender education_level floating_population_level"),
+    (INT, "has_related_experience has_startup_experience is_franchise"), (TEXT, "biz_status_cd"),
 )
+CLEANED_STORES = _struct(*_CLEAN, (TEXT, "biz_status closure_date pipeline_run_id"), (TIME, "cleaned_at"))
 LABELED_STORES = _struct(
-    _CLEAN_COLUMNS + ", survival_1yr double, survival_3yr double, monthly_revenue bigint, "
-    "monthly_profit bigint, risk_score double, break_even_months int, pipeline_run_id string, labeled_at timestamp"
+    *_CLEAN, (DOUBLE, "survival_1yr survival_3yr"), (LONG, "monthly_revenue monthly_profit"), (DOUBLE, "risk_score"),
+    (INT, "break_even_months"), (TEXT, "pipeline_run_id"), (TIME, "labeled_at"),
 )
 FEATURE_SET_META = _struct(
-    "pipeline_run_id string, feature_columns array<string>, target_columns array<string>, "
-    "n_samples bigint, n_features int, n_targets int, scaler_params map<string,array<double>>, "
-    "encoder_classes map<string,array<string>>, source_row_count bigint, created_at timestamp"
+    (TEXT, "pipeline_run_id"), (T.ArrayType(TEXT), "feature_columns target_columns"), (LONG, "n_samples"),
+    (INT, "n_features n_targets"), (T.MapType(TEXT, T.ArrayType(DOUBLE)), "scaler_params"),
+    (T.MapType(TEXT, T.ArrayType(TEXT)), "encoder_classes"), (LONG, "source_row_count"), (TIME, "created_at"),
 )
 RUN_EVENTS = _struct(
-    "run_id string, pipeline_run_id string, model_type string, status string, train_size bigint, "
-    "val_size bigint, test_size bigint, n_features bigint, metrics map<string,double>, model_path string, "
-    "artifacts_path string, error_message string, event_ts timestamp"
+    (TEXT, "run_id pipeline_run_id model_type status"), (LONG, "train_size val_size test_size n_features"),
+    (T.MapType(TEXT, DOUBLE), "metrics"), (TEXT, "model_path artifacts_path error_message"), (TIME, "event_ts"),
 )
-STORE_PAGE = _struct(
-    "page bigint, body struct<items array<struct<" + ", ".join(
-        f"{name}: {'double' if name in ('lon', 'lat') else 'string'}"
-        for name in API_TO_TABLE if not name.startswith("b_") and name != "end_dt"
-    ) + ">>>"
-)
-STATUS_PAGE = _struct("page bigint, data array<struct<b_no: string, b_stt: string, b_stt_cd: string, end_dt: string>>")
+VERSIONS = _struct((LONG, "version"), (TEXT, "path"), (TIME, "written_at"))
+_ITEM = T.StructType([
+    T.StructField(name, DOUBLE if name in ("lon", "lat") else TEXT)
+    for name in API_TO_TABLE if not name.startswith("b_") and name != "end_dt"
+])
+STORE_PAGE = _struct((LONG, "page"), (_struct((T.ArrayType(_ITEM), "items")), "body"))
+STATUS_PAGE = _struct((LONG, "page"), (T.ArrayType(_struct((TEXT, "b_no b_stt b_stt_cd end_dt"))), "data"))
 REGION_PAGE = _struct(
-    "head struct<totalCount: bigint, pageNo: bigint, numOfRows: bigint, request: string>, "
-    "row array<struct<region_cd: string, sido_cd: string, sgg_cd: string, umd_cd: string, ri_cd: string, "
-    "locatadd_nm: string, locat_rm: string>>"
-)
-REGION_FILE = _struct(
-    "region_cd string, region_cd_8 string, sido_cd string, sgg_cd string, dong_cd string, "
-    "sido_nm string, sgg_nm string, dong_nm string, full_nm string"
+    (_struct((LONG, "totalCount pageNo numOfRows"), (TEXT, "request")), "head"),
+    (T.ArrayType(_struct((TEXT, "region_cd sido_cd sgg_cd umd_cd ri_cd locatadd_nm locat_rm"))), "row"),
 )
+REGION_FILE = _struct((TEXT, "region_cd region_cd_8 sido_cd sgg_cd dong_cd sido_nm sgg_nm dong_nm full_nm"))
 REQUESTS = _struct(
-    "request_id string, founder_age bigint, founder_gender string, founder_education string, "
-    "experience_years bigint, has_related_experience boolean, business_category string, "
-    "business_sub_category string, initial_investment bigint, monthly_rent bigint, store_size_sqm double, "
-    "employee_count bigint, is_franchise boolean, district string"
+    (TEXT, "request_id"), (LONG, "founder_age"), (TEXT, "founder_gender founder_education"), (LONG, "experience_years"),
+    (BOOL, "has_related_experience"), (TEXT, "business_category business_sub_category"),
+    (LONG, "initial_investment monthly_rent"), (DOUBLE, "store_size_sqm"), (LONG, "employee_count"), (BOOL, "is_franchise"),
+    (TEXT, "district"),
 )

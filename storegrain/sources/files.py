@@ -40,15 +40,19 @@ def read_status_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("data").alias("item")).select("item.*")
 
 
-def read_region_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Landed region XML: one row per response with its head and its ``row`` elements."""
-    return spark.read.format("xml").option("rowTag", "StanReginCd").option("inferSchema", False).schema(
+def read_region_documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Landed region XML: one row per response with its head and its ``row`` elements.
+
+    One response per file, or with ``per_line`` any number per file, one to a line; such
+    files can be split between tasks.
+    """
+    return spark.read.format("xml").options(rowTag="StanReginCd", multiLine=not per_line).schema(
         schemas.REGION_PAGE).load(path)
 
 
-def read_region_xml(spark: SparkSession, path: str) -> DataFrame:
+def read_region_xml(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Region rows of all responses; an absent text is the empty string."""
-    rows = read_region_documents(spark, path).select(F.explode("row").alias("r")).select("r.*")
+    rows = read_region_documents(spark, path, per_line).select(F.explode("row").alias("r")).select("r.*")
     return rows.na.fill("")
 
 

@@ -12,9 +12,6 @@ from storegrain.operators.mapping import nan_to_null, project, to_region_names,
 from storegrain.operators.runs import run_list
 from storegrain.operators.upsert import upsert
 
-_VERSIONS = T.StructType.fromDDL("version bigint, path string, written_at timestamp")
-
-
 def _stamped(df: DataFrame, schema: T.StructType, run_id: str, stamp: str) -> DataFrame:
     known = project(nan_to_null(df), schema, leave_out=("pipeline_run_id", stamp))
     return known.withColumns({stamp: F.current_timestamp(), "pipeline_run_id": F.lit(run_id)})
@@ -70,7 +67,7 @@ class VersionedTable:
     def _listed(self) -> DataFrame | None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_list")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(_VERSIONS).parquet(f"{self.root}/_list") if fs.exists(path) else None
+        return self.spark.read.schema(schemas.VERSIONS).parquet(f"{self.root}/_list") if fs.exists(path) else None
 
     def version(self) -> tuple[int, str | None]:
         listed = self._listed()
