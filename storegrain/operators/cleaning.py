@@ -26,16 +26,19 @@ def drop_copies(df: DataFrame) -> DataFrame:
     return df.dropDuplicates([c for c in df.columns if c not in BOOKKEEPING])
 
 
-def medians(df: DataFrame, names=None) -> dict[str, float | None]:
-    names = [c for c in (names or schemas.NUMERICAL) if c in df.columns and _is_number(df, c)]
-    if not names:
-        return {}
-    return {c: v[0] for c, v in exact_quantiles(df, {c: [0.5] for c in names}).items()}
+def numeric_columns(df: DataFrame, names) -> list[str]:
+    return [c for c in names if c in df.columns and _is_number(df, c)]
 
 
-def fill_nulls(df: DataFrame, middle: dict[str, float | None] | None = None) -> DataFrame:
+def medians(df: DataFrame, names=None, bound: dict[str, int] | None = None) -> dict[str, float | None]:
+    names = numeric_columns(df, names or schemas.NUMERICAL)
+    return {c: v[0] for c, v in exact_quantiles(df, {c: [0.5] for c in names}, bound=bound).items()}
+
+
+def fill_nulls(df: DataFrame, middle: dict[str, float | None] | None = None,
+               bound: dict[str, int] | None = None) -> DataFrame:
     """Numbers get the median, categories ``unknown``, flags 0."""
-    middle = medians(df) if middle is None else middle
+    middle = medians(df, bound=bound) if middle is None else middle
     changes = {}
     for name in schemas.NUMERICAL:
         if name in df.columns and _is_number(df, name):
@@ -61,7 +64,8 @@ def fences(quartiles: list[float | None], width: float = 3.0) -> tuple[float, fl
     return None if spread == 0 else (low - width * spread, high + width * spread)
 
 
-def remove_outliers(df: DataFrame, columns=OUTLIER_COLUMNS, width: float = 3.0) -> DataFrame:
+def remove_outliers(df: DataFrame, columns=OUTLIER_COLUMNS, width: float = 3.0,
+                    bound: dict[str, int] | None = None) -> DataFrame:
     """Keep rows inside the fences, one column after the other.
 
     The fences of a column are taken from the rows the earlier columns left, so
@@ -71,7 +75,7 @@ def remove_outliers(df: DataFrame, columns=OUTLIER_COLUMNS, width: float = 3.0)
     for name in columns:
         if name not in df.columns or not _is_number(df, name):
             continue
-        quartiles = exact_quantiles(df, {name: [0.25, 0.75]})[name]
+        quartiles = exact_quantiles(df, {name: [0.25, 0.75]}, bound=bound)[name]
         if quartiles[0] is None:
             return df.filter(F.lit(False))
         bounds = fences(quartiles, width)

@@ -1,18 +1,29 @@
 """Stores around points.
 
-A radius join never pairs all rows of a cell. Rows are first counted per
+A radius count never pairs all rows of a cell. Rows are first counted per
 position, positions are binned in cells a quarter of the radius wide, and the
 cells are joined. A pair of cells that lies wholly inside the radius adds its
-count as a number; only pairs the circle cuts are compared position by position.
+count as a number; only pairs the circle cuts are compared position by position,
+and where both cells of such a pair are crowded they are first cut into smaller ones.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storegrain.functions.geo import METRES_PER_DEGREE, half_chord, half_chord_limit, within
+from storegrain.functions.geo import METRES_PER_DEGREE, half_chord_limit, within
+from storegrain.session import stage
+
+CELLS_PER_RADIUS = 4
+# Pairs of cells with more comparisons than this are divided again.
+PAIR_LIMIT = 250_000
+FINER = 4
+MAX_LEVELS = 10
+# Relative width of the band around the radius that is left to exact comparison.
+SLACK = 1e-9
 
 
 def stores_in_radius(df: DataFrame, lat: float, lon: float, radius_m: float = 500.0, lat_col: str = "latitude",
@@ -21,85 +32,112 @@ def stores_in_radius(df: DataFrame, lat: float, lon: float, radius_m: float = 50
     return df.filter(within(F.col(lat_col).cast("double"), F.col(lon_col).cast("double"), lat, lon, radius_m))
 
 
-def _gap(low_a, high_a, low_b, high_b) -> Column:
-    return F.greatest(F.lit(0.0), low_a - high_b, low_b - high_a)
-
-
-def _reach(low_a, high_a, low_b, high_b) -> Column:
-    return F.greatest(high_a - low_b, high_b - low_a)
+def _kind(limit: float) -> Column:
+    """Whether two boxes lie inside, outside or across the radius, from bounds that hold for all their points.
 
-
-def _bound(dlat, dlon, cos) -> Column:
-    """Squared half chord for given coordinate differences and one cosine for both ends."""
-    s, t = F.sin(F.radians(dlat) / 2), F.sin(F.radians(F.least(dlon, F.lit(180.0))) / 2)
-    return s * s + cos * cos * t * t
+    With y the half angle, y**2 - y**4 / 3 <= sin(y)**2 <= y**2, so no sine is taken per pair.
+    """
+    c, half = F.col, math.pi / 360
+    gap_lat = F.greatest(F.lit(0.0), c("a_s") - c("b_t"), c("b_s") - c("a_t")) * half
+    gap_lon = F.greatest(F.lit(0.0), c("a_w") - c("b_e"), c("b_w") - c("a_e")) * half
+    reach_lat = F.greatest(c("a_t") - c("b_s"), c("b_t") - c("a_s")) * half
+    reach_lon = F.greatest(c("a_e") - c("b_w"), c("b_e") - c("a_w")) * half
+    far = reach_lat * reach_lat + c("a_wide") * c("b_wide") * reach_lon * reach_lon
+    near = gap_lat * gap_lat * (1 - gap_lat * gap_lat / 3) + (
+        c("a_thin") * c("b_thin") * gap_lon * gap_lon * (1 - gap_lon * gap_lon / 3))
+    return F.when(far <= limit * (1 - SLACK), "inside").when(near > limit * (1 + SLACK), "outside").otherwise("cut")
+
+
+def _positions(df: DataFrame, group: list[str], lat: str, lon: str) -> DataFrame:
+    spots = df.select(*group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    spots = spots.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    counted = spots.groupBy(*group, "lat", "lon").agg(F.count("*").alias("n"))
+    phi, theta = F.radians("lat"), F.radians("lon")
+    # On the unit sphere the squared half chord of two positions needs no further sines.
+    return stage(counted.select("*", F.cos(phi).alias("c"), (F.cos(phi) * F.cos(theta)).alias("x"),
+                                (F.cos(phi) * F.sin(theta)).alias("y"), F.sin(phi).alias("z")), "positions")
+
+
+def _cell(dlat: float, dlon: float, row: str, column: str) -> list[Column]:
+    return [F.floor(F.col("lat") / dlat).alias(row), F.floor(F.col("lon") / dlon).alias(column)]
+
+
+def _boxes(cells: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """Per cell: points, positions, bounding box, and the range of the cosine of the latitude."""
+    return cells.groupBy(*keys).agg(
+        F.sum("n").alias(f"{tag}_n"), F.count("*").alias(f"{tag}_spots"), F.min("lat").alias(f"{tag}_s"),
+        F.max("lat").alias(f"{tag}_t"), F.min("lon").alias(f"{tag}_w"), F.max("lon").alias(f"{tag}_e"),
+        F.min("c").alias(f"{tag}_thin"),
+        F.when((F.min("lat") <= 0) & (F.max("lat") >= 0), 1.0).otherwise(F.max("c")).alias(f"{tag}_wide"))
+
+
+def _offsets() -> Column:
+    """Cell offsets that can hold a point within the radius: the gap between the cells is short enough."""
+    reach = CELLS_PER_RADIUS + 1
+    steps = [
+        F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+        for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)
+        if max(abs(dy) - 1, 0) ** 2 + max(abs(dx) - 1, 0) ** 2 <= CELLS_PER_RADIUS ** 2
+    ]
+    return F.array(*steps)
 
 
 def counts_in_radius(centres: DataFrame, points: DataFrame, radius_m: float, group: list[str] | None = None,
-                     lat: str = "latitude", lon: str = "longitude", max_abs_lat: float = 60.0) -> DataFrame:
-    """For every distinct position (and group) of ``centres``: the points within the radius.
-
-    ``max_abs_lat`` bounds the latitude of the data; it fixes how many degrees of longitude
-    a cell must span. Positions beyond it, or across the 180th meridian, are rejected.
-    """
+                     lat: str = "latitude", lon: str = "longitude", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """For every distinct position (and group) of ``centres``: the points within the radius."""
     group = group or []
-    cell = radius_m / 4
-    dlat = cell / METRES_PER_DEGREE
-    # Enough longitude that one cell is at least ``cell`` metres wide up to the bounding latitude.
-    dlon = dlat / math.cos(math.radians(max_abs_lat))
-    rings = 4 + 1
+    here = _positions(centres, group, lat, lon)
+    there = here if points is centres else _positions(points, group, lat, lon)
     limit = half_chord_limit(radius_m)
-
-    def positions(df: DataFrame) -> DataFrame:
-        spots = df.select(*group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-        spots = spots.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        spots = spots.groupBy(*group, "lat", "lon").agg(F.count("*").alias("n"))
-        ok = (F.abs("lat") <= max_abs_lat) & (F.abs("lon") <= 180 - 2 * rings * dlon)
-        return spots.select(
-            *group, "lat", "lon", "n",
-            F.when(ok, F.floor(F.col("lat") / dlat)).otherwise(
-                F.raise_error(F.lit("position outside the range of the radius join")).cast("bigint")).alias("cy"),
-            F.floor(F.col("lon") / dlon).alias("cx"))
-
-    def boxes(spots: DataFrame, tag: str) -> DataFrame:
-        return spots.groupBy(*group, "cy", "cx").agg(
-            F.sum("n").alias(f"{tag}_n"), F.min("lat").alias(f"{tag}_s"), F.max("lat").alias(f"{tag}_t"),
-            F.min("lon").alias(f"{tag}_w"), F.max("lon").alias(f"{tag}_e"))
-
-    here, there = positions(centres), positions(points)
-    steps = F.array(*[F.lit(i) for i in range(-rings, rings + 1)])
-    a = boxes(here, "a").withColumnsRenamed({"cy": "ay", "cx": "ax"})
-    a = a.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-    a = a.withColumns({"cy": F.col("ay") + F.col("_dy"), "cx": F.col("ax") + F.col("_dx")}).drop("_dy", "_dx")
-    pairs = a.join(boxes(there, "b"), [*group, "cy", "cx"])
-    north = F.greatest(F.abs("a_s"), F.abs("a_t"), F.abs("b_s"), F.abs("b_t"))
-    straddles = (F.least("a_s", "b_s") <= 0) & (F.greatest("a_t", "b_t") >= 0)
-    south = F.when(straddles, 0.0).otherwise(F.least(F.abs("a_s"), F.abs("a_t"), F.abs("b_s"), F.abs("b_t")))
-    nearest = _bound(_gap(F.col("a_s"), F.col("a_t"), F.col("b_s"), F.col("b_t")),
-                     _gap(F.col("a_w"), F.col("a_e"), F.col("b_w"), F.col("b_e")), F.cos(F.radians(north)))
-    farthest = _bound(_reach(F.col("a_s"), F.col("a_t"), F.col("b_s"), F.col("b_t")),
-                      _reach(F.col("a_w"), F.col("a_e"), F.col("b_w"), F.col("b_e")), F.cos(F.radians(south)))
-    slack = 1e-9
-    pairs = pairs.select(
-        *group, "ay", "ax", "cy", "cx", "b_n",
-        F.when(farthest <= limit * (1 - slack), "inside").when(nearest > limit * (1 + slack), "outside")
-        .otherwise("cut").alias("kind")).filter("kind <> 'outside'")
-
-    whole = pairs.filter("kind = 'inside'").groupBy(*group, "ay", "ax").agg(F.sum("b_n").alias("n_whole"))
-    there_spots = there.select(
-        *group, "cy", "cx", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.col("n").alias("b_n"))
-    here_spots = here.select(*group, F.col("cy").alias("ay"), F.col("cx").alias("ax"), "lat", "lon")
-    cut = pairs.filter("kind = 'cut'").select(*group, "ay", "ax", "cy", "cx")
-    near = half_chord(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= limit
-    partial = (
-        here_spots.join(cut, [*group, "ay", "ax"]).join(there_spots, [*group, "cy", "cx"]).filter(near)
-        .groupBy(*group, "lat", "lon").agg(F.sum("b_n").alias("n_cut"))
-    )
-    return (
-        here_spots.join(whole, [*group, "ay", "ax"], "left").join(partial, [*group, "lat", "lon"], "left")
-        .select(*group, F.col("lat").alias(lat), F.col("lon").alias(lon),
-                (F.coalesce("n_whole", F.lit(0)) + F.coalesce("n_cut", F.lit(0))).alias("n_within"))
-    )
+    span = here.select("lat", "lon").unionByName(there.select("lat", "lon")).agg(
+        F.max(F.abs("lat")).alias("lat"), F.max(F.abs("lon")).alias("lon")).first()
+    if span["lat"] is None:
+        return here.select(*group, F.col("lat").alias(lat), F.col("lon").alias(lon), F.lit(0).cast("bigint").alias("n_within"))
+    dlat = radius_m / CELLS_PER_RADIUS / METRES_PER_DEGREE
+    # Enough longitude for a cell to be as wide as it is high at the latitude farthest from the equator.
+    dlon = dlat / max(math.cos(math.radians(span["lat"])), 1e-6)
+    if span["lat"] > 85 or span["lon"] > 180 - 2 * (CELLS_PER_RADIUS + 1) * dlon:
+        raise ValueError("radius counts do not reach over a pole or the 180th meridian")
+
+    cells_a, cells_b = here.select("*", *_cell(dlat, dlon, "ay", "ax")), there.select("*", *_cell(dlat, dlon, "by", "bx"))
+    a = _boxes(cells_a, [*group, "ay", "ax"], "a").withColumn("_o", F.explode(_offsets()))
+    a = a.withColumns({"by": F.col("ay") + F.col("_o.dy"), "bx": F.col("ax") + F.col("_o.dx")}).drop("_o")
+    b = _boxes(cells_b, [*group, "by", "bx"], "b")
+    pairs = a.join(b, [*group, "by", "bx"])
+
+    found = []
+    for level in range(MAX_LEVELS + 1):
+        pairs = stage(pairs.withColumn("kind", _kind(limit)).filter("kind <> 'outside'").select(
+            *group, "ay", "ax", "by", "bx", "b_n", "kind", (F.col("a_spots") * F.col("b_spots")).alias("work")), "pairs")
+        spots_a = here.select(*group, "lat", "lon", "x", "y", "z", *_cell(dlat, dlon, "ay", "ax"))
+        spots_b = there.select(
+            *group, *[F.col(v).alias(f"b_{v}") for v in ("x", "y", "z")], "n", *_cell(dlat, dlon, "by", "bx"))
+        whole = pairs.filter("kind = 'inside'").groupBy(*group, "ay", "ax").agg(F.sum("b_n").alias("m"))
+        found.append(spots_a.join(whole, [*group, "ay", "ax"]).select(*group, "lat", "lon", "m"))
+        crowded = (F.col("kind") == "cut") & (F.col("work") > pair_limit)
+        last = level == MAX_LEVELS or pairs.filter(crowded).isEmpty()
+        plain = pairs.filter("kind = 'cut'") if last else pairs.filter((F.col("kind") == "cut") & (F.col("work") <= pair_limit))
+        chord = [F.col(v) - F.col(f"b_{v}") for v in ("x", "y", "z")]
+        near = chord[0] * chord[0] + chord[1] * chord[1] + chord[2] * chord[2] <= 4 * limit
+        found.append(
+            spots_a.join(plain.select(*group, "ay", "ax", "by", "bx"), [*group, "ay", "ax"])
+            .join(spots_b, [*group, "by", "bx"]).filter(near)
+            .groupBy(*group, "lat", "lon").agg(F.sum("n").alias("m")))
+        if last:
+            break
+        # The crowded pairs again, with each cell divided FINER times both ways.
+        parents = pairs.filter(crowded).select(*group, F.col("ay").alias("pay"), F.col("ax").alias("pax"),
+                                               F.col("by").alias("pby"), F.col("bx").alias("pbx"))
+        fine = (dlat / FINER, dlon / FINER)
+        fine_a = here.select("*", *_cell(dlat, dlon, "pay", "pax"), *_cell(*fine, "ay", "ax"))
+        fine_b = there.select("*", *_cell(dlat, dlon, "pby", "pbx"), *_cell(*fine, "by", "bx"))
+        pairs = parents.join(_boxes(fine_a, [*group, "pay", "pax", "ay", "ax"], "a"), [*group, "pay", "pax"]).join(
+            _boxes(fine_b, [*group, "pby", "pbx", "by", "bx"], "b"), [*group, "pby", "pbx"])
+        dlat, dlon = fine
+
+    parts = reduce(DataFrame.unionByName, found).groupBy(*group, "lat", "lon").agg(F.sum("m").alias("m"))
+    return here.join(parts, [*group, "lat", "lon"], "left").select(
+        *group, F.col("lat").alias(lat), F.col("lon").alias(lon), F.coalesce("m", F.lit(0)).alias("n_within"))
 
 
 def competitors_in_radius(df: DataFrame, radius_m: float, category: str = "category_large", lat: str = "latitude",
@@ -107,5 +145,3 @@ def competitors_in_radius(df: DataFrame, radius_m: float, category: str = "categ
     """Per position and category: the other stores of that category within the radius."""
     counts = counts_in_radius(df, df, radius_m, [category], lat, lon, **kw)
     return counts.withColumn("n_competitors", F.col("n_within") - 1).drop("n_within")
-
-

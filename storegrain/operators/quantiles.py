@@ -36,16 +36,28 @@ class _Span:
     inside: int
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], *, direct: int = DIRECT_VALUES,
-                    gather: int = GATHER_VALUES) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles, nulls and NaN left out; None for an empty column."""
+def value_counts_bound(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """About how many distinct values each column has, for all columns in one pass.
+
+    Filtering rows later can only lower these numbers, so one measurement serves several calls.
+    """
+    usable = df.select([_usable(df, n).alias(n) for n in names])
+    row = usable.agg(*[F.approx_count_distinct(n).alias(f"d{i}") for i, n in enumerate(names)]).first()
+    return {n: row[f"d{i}"] for i, n in enumerate(names)}
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], *, bound: dict[str, int] | None = None,
+                    direct: int = DIRECT_VALUES, gather: int = GATHER_VALUES) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles, nulls and NaN left out; None for an empty column.
+
+    ``bound`` passes on the result of ``value_counts_bound``.
+    """
     names = list(wanted)
+    if not names:
+        return {}
+    bound = value_counts_bound(df, names) if bound is None else bound
     usable = df.select([_usable(df, n).alias(n) for n in names])
-    sizes = usable.agg(
-        *[F.count(n).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.approx_count_distinct(n).alias(f"d{i}") for i, n in enumerate(names)],
-    ).first()
-    small = [n for i, n in enumerate(names) if min(sizes[f"n{i}"], sizes[f"d{i}"]) <= direct]
+    small = [n for n in names if bound[n] <= direct]
     result: dict[str, list[float | None]] = {}
     if small:
         row = usable.agg(*[
@@ -53,10 +65,10 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], *, direct: in
         ]).first()
         for n in small:
             result[n] = list(row[n]) if row[n] is not None else [None] * len(wanted[n])
-    for i, name in enumerate(names):
-        if name in small:
-            continue
-        total = sizes[f"n{i}"]
+    large = [n for n in names if n not in small]
+    totals = usable.agg(*[F.count(n).alias(n) for n in large]).first() if large else {}
+    for name in large:
+        total = totals[name]
         spots = [p * (total - 1) for p in wanted[name]]
         ranks = sorted({r for h in spots for r in (math.floor(h), math.ceil(h))})
         values = values_at_ranks(usable, name, ranks, total, gather=gather)

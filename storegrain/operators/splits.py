@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from storegrain.functions.columns import draw, ordinal_draw
 from storegrain.operators.quantiles import values_at_ranks
+from storegrain.session import stage
 
 
 def split_sizes(n: int, val_ratio: float = 0.1, test_ratio: float = 0.1) -> dict[str, int]:
@@ -31,11 +32,13 @@ def assign_split(df: DataFrame, key: str, val_ratio: float = 0.1, test_ratio: fl
         part = F.when(u < test_ratio, "test").when(u < test_ratio + val_ratio, "val").otherwise("train")
         return df.withColumn("split", part)
     drawn = df.withColumn("_draw", ordinal_draw(key, f"split|{seed}"))
-    total = drawn.count()
+    # The draws alone, written once: each pass of the search then reads eight bytes per row.
+    draws = stage(drawn.select("_draw"), "draws")
+    total = draws.count()
     sizes = split_sizes(total, val_ratio, test_ratio)
     ends = {name: end - 1 for name, end in
             (("test", sizes["test"]), ("val", sizes["test"] + sizes["val"])) if end > 0}
-    values = values_at_ranks(drawn, "_draw", sorted(set(ends.values())), total) if ends else {}
+    values = values_at_ranks(draws, "_draw", sorted(set(ends.values())), total) if ends else {}
     part = F.lit("train")
     for name in ("val", "test"):
         if name in ends and sizes[name]:

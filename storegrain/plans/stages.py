@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from storegrain import schemas
 from storegrain.operators import cleaning, features, labels, mapping
+from storegrain.operators.joins import fits_broadcast
+from storegrain.operators.quantiles import value_counts_bound
 from storegrain.session import stage
 from storegrain.sources import tables
 
@@ -19,8 +21,12 @@ def clean_stage(df: DataFrame) -> DataFrame:
     then read single columns instead of repeating the shuffle.
     """
     rows = stage(cleaning.drop_copies(mapping.to_model_names(df)), "distinct")
-    rows = cleaning.fill_nulls(mapping.fill_absent(rows))
-    return cleaning.cast_types(cleaning.remove_outliers(rows))
+    rows = mapping.fill_absent(rows)
+    numbers = cleaning.numeric_columns(rows, schemas.NUMERICAL)
+    # Imputation adds one value to a column and the fences add none: one measurement is enough.
+    bound = {c: n + 1 for c, n in value_counts_bound(rows, numbers).items()}
+    rows = cleaning.fill_nulls(rows, bound=bound)
+    return cleaning.cast_types(cleaning.remove_outliers(rows, bound=bound))
 
 
 def label_stage(df: DataFrame, key: str = "biz_id", seed: int = 42) -> DataFrame:
@@ -33,6 +39,11 @@ class FeatureState:
 
     classes: DataFrame
     scaler: features.Scaler
+    small: bool | None = None
+
+    def __post_init__(self):
+        # Measured once; every later encoding relies on it.
+        self.small = fits_broadcast(self.classes) if self.small is None else self.small
 
     @property
     def columns(self) -> list[str]:
@@ -50,13 +61,14 @@ def fit_features(df: DataFrame, scaler: str = "standard", fit_on: DataFrame | No
     """Learn classes and scaling; ``fit_on`` restricts this to training rows."""
     source = features.derive(df if fit_on is None else fit_on)
     classes = features.fit_encoder(source)
-    encoded = features.encode(source, classes)
-    return FeatureState(classes, features.SCALERS[scaler](encoded, features.feature_columns(encoded)))
+    small = fits_broadcast(classes)
+    encoded = features.encode(source, classes, small=small)
+    return FeatureState(classes, features.SCALERS[scaler](encoded, features.feature_columns(encoded)), small)
 
 
 def transform_features(df: DataFrame, state: FeatureState, keep: list[str] | None = None) -> DataFrame:
     """Key, features in their fixed order, and targets if present."""
-    encoded = features.encode(features.derive(df), state.classes)
+    encoded = features.encode(features.derive(df), state.classes, small=state.small)
     scaled = features.scale(encoded, state.scaler)
     carried = [c for c in (keep or []) if c in df.columns and c not in state.columns]
     targets = [c for c in schemas.TARGETS if c in df.columns]

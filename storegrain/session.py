@@ -20,6 +20,8 @@ def build_session(app: str = "storegrain", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Some joins turn few bytes into much work; 1 MB partitions would leave cores idle there.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)
