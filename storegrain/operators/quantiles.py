@@ -109,7 +109,8 @@ def values_at_ranks(df: DataFrame, name: str, ranks: list[int], total: int, *,
             ).alias(f"b{i}")
             for i, (r, s) in enumerate(order)
         ]).first()
-        cuts = [sketch[f"b{i}"] for i in range(len(order))]
+        # The sketch works in doubles, so big integers come back a little off: keep to the span.
+        cuts = [[min(max(v, s.low), s.high) for v in sketch[f"b{i}"]] for i, (_, s) in enumerate(order)]
         counts = data.agg(*[
             c for i, (low, high) in enumerate(cuts)
             for c in (
@@ -117,23 +118,29 @@ def values_at_ranks(df: DataFrame, name: str, ranks: list[int], total: int, *,
                 F.count(F.when(column == low, 1)).alias(f"at_low{i}"),
                 F.count(F.when((column > low) & (column < high), 1)).alias(f"between{i}"),
                 F.count(F.when((column == high) & (column > low), 1)).alias(f"at_high{i}"),
-                F.min(F.when(column > low, column)).alias(f"next{i}"),
-                F.max(F.when(column < high, column)).alias(f"prior{i}"),
+                F.max(F.when(column < low, column)).alias(f"before_low{i}"),
+                F.min(F.when(column > low, column)).alias(f"after_low{i}"),
+                F.max(F.when(column < high, column)).alias(f"before_high{i}"),
+                F.min(F.when(column > high, column)).alias(f"after_high{i}"),
             )
         ]).first()
-        for i, (rank, _) in enumerate(order):
+        for i, (rank, old) in enumerate(order):
             low, high = cuts[i]
-            start = counts[f"under{i}"] + counts[f"at_low{i}"]
+            under = counts[f"under{i}"]
+            start = under + counts[f"at_low{i}"]
             end = start + counts[f"between{i}"]
-            if not counts[f"under{i}"] <= rank < end + counts[f"at_high{i}"]:
-                raise RuntimeError("the bracket of a quantile sketch missed its position")
-            if rank < start:
+            last = end + counts[f"at_high{i}"]
+            # Every branch leaves out at least the copies of one end, so spans shrink until they close.
+            if rank < under:
+                spans[rank] = _Span(old.low, counts[f"before_low{i}"], old.below, under - old.below)
+            elif rank < start:
                 spans[rank] = _Span(low, low, start, 1)
-            elif rank >= end:
+            elif rank < end:
+                spans[rank] = _Span(counts[f"after_low{i}"], counts[f"before_high{i}"], start, counts[f"between{i}"])
+            elif rank < last:
                 spans[rank] = _Span(high, high, end, 1)
             else:
-                # Copies of the ends are gone, so the span is always smaller than before.
-                spans[rank] = _Span(counts[f"next{i}"], counts[f"prior{i}"], start, counts[f"between{i}"])
+                spans[rank] = _Span(counts[f"after_high{i}"], old.high, last, old.below + old.inside - last)
 
 
 def _gathered(data: DataFrame, name: str, span: _Span, rank: int):
