@@ -99,7 +99,7 @@ SELECT count(*) AS matched, {leader_sql('stores', 'category_large', IN_CATEGORY)
 FROM stores WHERE {IN_CATEGORY} HAVING count(*) > 0"""))
 def category_profile(spark, folder):
     # ``food`` itself is a synonym for a Korean name; the view keeps English names.
-    return rounded(stats.category_profile(stores(spark, folder), "FOO").select("*"), 6, "pct")
+    return rounded(stats.category_profile(stores(spark, folder), "FOO"), 6, "pct")
 
 
 @query("district_profile", with_stores(f"""

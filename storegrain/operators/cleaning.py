@@ -19,11 +19,15 @@ def _is_number(df: DataFrame, name: str) -> bool:
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    """Rows that agree on every business column, once.
+    """Rows that agree on every business column, once; ids and timestamps take their smallest value.
 
     Copies combine inside each task before the shuffle.
     """
-    return df.dropDuplicates([c for c in df.columns if c not in BOOKKEEPING])
+    keys = [c for c in df.columns if c not in BOOKKEEPING]
+    rest = [c for c in df.columns if c in BOOKKEEPING]
+    if not rest:
+        return df.dropDuplicates()
+    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]).select(*df.columns)
 
 
 def numeric_columns(df: DataFrame, names) -> list[str]:

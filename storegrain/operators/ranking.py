@@ -13,14 +13,16 @@ def top_k(df: DataFrame, groups: list[str], order: list, k: int, name: str = "ra
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
 
 
-def top_values(df: DataFrame, groups: list[str], value: str, k: int, *, keep_null: bool = False) -> DataFrame:
+def top_values(df: DataFrame, groups: list[str], value: str, k: int, *, keep_null: bool = False,
+               weight: str | None = None) -> DataFrame:
     """The ``k`` most frequent values of a column per group: groups, value, n, rank.
 
     Ties go to the smaller value. With ``keep_null`` a null takes part in the
-    ranking and is dropped afterwards, so it may use up a place.
+    ranking and is dropped afterwards, so it may use up a place. ``weight`` names a
+    column of counts where the rows were counted before.
     """
     data = df if keep_null else df.filter(F.col(value).isNotNull())
-    counts = data.groupBy(*groups, value).agg(F.count("*").alias("n"))
+    counts = data.groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     if not groups:
         # One group: an ordered limit is a bounded top-k, an open window is not.
         best = counts.orderBy(F.desc("n"), F.asc_nulls_last(value)).limit(k)

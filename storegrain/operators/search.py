@@ -233,14 +233,19 @@ def nearest_approx(index, docs: DataFrame, queries: DataFrame, k: int = 5, *, ma
                    doc_id: str = "id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """Top-k among documents that share a hash bucket with the query.
 
-    On unit vectors the squared Euclidean distance is twice the cosine distance.
+    On unit vectors the squared Euclidean distance is twice the cosine distance. Of documents
+    with one and the same vector only the k with the smallest ids can be among the best,
+    and equal queries have equal answers, so copies are taken out before buckets are compared.
     """
-    left = _unit_vectors(docs.select(doc_id, vector), vector)
-    right = _unit_vectors(queries.select(query_id, vector), vector)
+    docs = top_k(docs.select(doc_id, vector), [vector], [F.col(doc_id)], k).drop("rank")
+    queries = queries.select(query_id, vector)
+    asked = queries.groupBy(vector).agg(F.min(query_id).alias("_asked"))
+    left, right = _unit_vectors(docs, vector), _unit_vectors(asked, vector)
     pairs = index.approxSimilarityJoin(left, right, max_distance, "_distance").select(
-        F.col(f"datasetB.{query_id}").alias(query_id), F.col(f"datasetA.{doc_id}").alias(doc_id),
+        F.col("datasetB._asked").alias("_asked"), F.col(f"datasetA.{doc_id}").alias(doc_id),
         (1 - F.col("_distance") * F.col("_distance") / 2).alias("similarity"))
-    return top_k(pairs, [query_id], [F.round("similarity", 9).desc(), F.col(doc_id)], k)
+    best = top_k(pairs, ["_asked"], [F.round("similarity", 9).desc(), F.col(doc_id)], k)
+    return queries.join(asked, vector).join(best, "_asked").select(query_id, doc_id, "similarity", "rank")
 
 
 def search_context(found: DataFrame, documents: DataFrame, *, doc_id: str = "id", query_id: str = "query_id") -> DataFrame:

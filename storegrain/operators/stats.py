@@ -65,77 +65,85 @@ def store_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_stores"))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Rows per distinct category, sub-category, district and status, under those names.
+
+    The profiles below read this small table several times; its one shuffle is shared, so
+    the stores themselves are scanned once.
+    """
+    roles = {"category": CATEGORY, "sub_category": SUB_CATEGORY, "district": DISTRICT, "status": STATUS}
+    columns = [F.col(role(df, names)).alias(name) for name, names in roles.items()]
+    return df.select(*columns).groupBy(*roles).agg(F.count("*").alias("n"))
+
+
+def _total(condition=None) -> Column:
+    n = F.col("n") if condition is None else F.when(condition, F.col("n"))
+    return F.coalesce(F.sum(n), F.lit(0))
+
+
+def _top_text(counts: DataFrame, value: str, k: int, keep_null: bool = False) -> Column:
+    tops = top_values(counts, [], value, k, keep_null=keep_null, weight="n")
+    return F.coalesce(listed(tops, [], value, "top").scalar(), F.lit(""))
+
+
+def _leader(counts: DataFrame, value: str) -> Column:
+    return top_values(counts, [], value, 1, weight="n").select(value).scalar()
+
+
 def category_stats(df: DataFrame, category: str | None = None, district: str | None = None) -> DataFrame:
     """One row: total, matches, share, rates (0 where undefined) and the top five sub-categories."""
-    hit = F.lit(True)
-    if category:
-        hit = hit & contains_text(role(df, CATEGORY), category)
+    counts = counted(df)
+    hit = contains_text("category", category) if category else F.lit(True)
     if district:
-        hit = hit & contains_text(role(df, DISTRICT), district)
-    marked = df.withColumn("_hit", hit)
-    code = F.when(F.col("_hit"), F.col(role(df, STATUS)))
-    tops = top_values(marked.filter("_hit"), [], role(df, SUB_CATEGORY), 5, keep_null=True)
-    tops = listed(tops, [], role(df, SUB_CATEGORY), "top_sub_categories")
-    counts = marked.withColumn("_status", code).agg(
-        F.count("*").alias("total"), F.count(F.when(F.col("_hit"), 1)).alias("matched"),
-        *[c.alias(n) for n, c in status_counts("_status").items()],
-    )
-    return counts.select(
+        hit = hit & contains_text("district", district)
+    sums = counts.agg(
+        _total().alias("total"), _total(hit).alias("matched"),
+        _total(hit & (F.col("status") == ACTIVE)).alias("active"), _total(hit & (F.col("status") == CLOSED)).alias("closed"))
+    return sums.select(
         "total", "matched", percent(F.col("matched"), F.col("total"), 0.0).alias("pct"),
         *[c.alias(n) for n, c in _rates(0.0).items()],
-        F.coalesce(tops.scalar(), F.lit("")).alias("top_sub_categories"),
-    )
+        _top_text(counts.filter(hit), "sub_category", 5, keep_null=True).alias("top_sub_categories"))
 
 
 def district_stats(df: DataFrame, district: str) -> DataFrame:
     """One row: count and the top five categories of the matching districts."""
-    subset = scan_stores(df, district=district)
-    tops = listed(top_values(subset, [], role(df, CATEGORY), 5, keep_null=True), [], role(df, CATEGORY), "top_categories")
-    return subset.agg(F.count("*").alias("matched")).withColumn(
-        "top_categories", F.coalesce(tops.scalar(), F.lit("")))
+    counts = counted(df).filter(contains_text("district", district))
+    return counts.agg(_total().alias("matched")).withColumn(
+        "top_categories", _top_text(counts, "category", 5, keep_null=True))
 
 
 def overall_stats(df: DataFrame) -> DataFrame:
-    tops = listed(top_values(df, [], role(df, CATEGORY), 5), [], role(df, CATEGORY), "top_categories")
-    return df.agg(
-        F.count("*").alias("total"), F.countDistinct(role(df, DISTRICT)).alias("n_districts"),
-    ).withColumn("top_categories", F.coalesce(tops.scalar(), F.lit("")))
-
-
-def _profile(df: DataFrame, subset: DataFrame, named: str, lists: dict[str, tuple[str, int]]) -> DataFrame:
-    """Count and most frequent name of a subset plus top lists; no row for an empty subset."""
-    out = subset.agg(F.count("*").alias("matched")).filter("matched > 0")
-    out = out.withColumn("matched_name", top_values(subset, [], named, 1).select(named).scalar())
-    for name, (column, k) in lists.items():
-        text = listed(top_values(subset, [], column, k), [], column, name)
-        out = out.withColumn(name, F.coalesce(text.scalar(), F.lit("")))
-    return out
+    counts = counted(df)
+    return counts.agg(_total().alias("total"), F.countDistinct("district").alias("n_districts")).withColumn(
+        "top_categories", _top_text(counts, "category", 5))
 
 
 def category_profile(df: DataFrame, category: str) -> DataFrame:
-    column = role(df, CATEGORY)
-    subset = df.filter(keyword_match(column, category))
-    out = _profile(df, subset, column, {
-        "top_sub_categories": (role(df, SUB_CATEGORY), 5), "top_districts": (role(df, DISTRICT), 5)})
-    total = df.agg(F.count("*").alias("n")).scalar()
-    return out.withColumn("pct", percent(F.col("matched"), total))
+    """Count, most frequent name, top lists and share of a category; no row if nothing matches."""
+    counts = counted(df)
+    hit = keyword_match("category", category)
+    subset = counts.filter(hit)
+    return counts.agg(_total(hit).alias("matched"), _total().alias("_all")).filter("matched > 0").select(
+        "matched", _leader(subset, "category").alias("matched_name"),
+        _top_text(subset, "sub_category", 5).alias("top_sub_categories"), _top_text(subset, "district", 5).alias("top_districts"),
+        percent(F.col("matched"), F.col("_all")).alias("pct"))
 
 
 def district_profile(df: DataFrame, district: str) -> DataFrame:
-    column = role(df, DISTRICT)
-    subset = df.filter(keyword_match(column, district))
-    return _profile(df, subset, column, {"top_categories": (role(df, CATEGORY), 5)})
+    subset = counted(df).filter(keyword_match("district", district))
+    return subset.agg(_total().alias("matched")).filter("matched > 0").select(
+        "matched", _leader(subset, "district").alias("matched_name"), _top_text(subset, "category", 5).alias("top_categories"))
 
 
 def cross_profile(df: DataFrame, category: str, district: str) -> DataFrame:
     """Category within district: count, share of the district, top three sub-categories."""
-    in_district = df.filter(keyword_match(role(df, DISTRICT), district))
-    subset = in_district.filter(keyword_match(role(df, CATEGORY), category))
-    out = _profile(df, subset, role(df, CATEGORY), {"top_sub_categories": (role(df, SUB_CATEGORY), 3)})
-    out = out.withColumnRenamed("matched_name", "matched_category").withColumn(
-        "matched_district", top_values(subset, [], role(df, DISTRICT), 1).select(role(df, DISTRICT)).scalar())
-    whole = in_district.agg(F.count("*").alias("n")).scalar()
-    return out.withColumn("district_pct", percent(F.col("matched"), whole))
+    in_district = counted(df).filter(keyword_match("district", district))
+    hit = keyword_match("category", category)
+    subset = in_district.filter(hit)
+    return in_district.agg(_total(hit).alias("matched"), _total().alias("_all")).filter("matched > 0").select(
+        "matched", _leader(subset, "category").alias("matched_category"),
+        _top_text(subset, "sub_category", 3).alias("top_sub_categories"),
+        _leader(subset, "district").alias("matched_district"), percent(F.col("matched"), F.col("_all")).alias("district_pct"))
 
 
 def cross_table(df: DataFrame) -> DataFrame:

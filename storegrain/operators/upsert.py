@@ -21,7 +21,8 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, order: list, now=None)
     now = F.current_timestamp() if now is None else now
     stamps = [c for c in (INSERT_STAMP, UPDATE_STAMP) if c in target.columns]
     given = [c for c in batch.columns if c in target.columns and c not in stamps]
-    fresh = last_write(batch.filter(F.col(key).isNotNull()), key, order)
+    # Rows that tie in ``order`` are told apart by their content, so a repeated task picks the same one.
+    fresh = last_write(batch.filter(F.col(key).isNotNull()), key, [*order, F.xxhash64(*given)])
     old = target.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("_key"), F.struct(*target.columns).alias("_old"))
     new = fresh.select(F.col(key).alias("_key"), F.struct(*given).alias("_new"))

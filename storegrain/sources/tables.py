@@ -11,6 +11,9 @@ from storegrain.operators.features import Scaler, scaler_from_table, scaler_tabl
 from storegrain.operators.mapping import nan_to_null, project, to_region_names, to_table_names
 from storegrain.operators.runs import run_list
 from storegrain.operators.upsert import upsert
+# Class lists up to this length are written into the description of a feature set.
+META_CLASSES = 10_000
+
 
 def _stamped(df: DataFrame, schema: T.StructType, run_id: str, stamp: str) -> DataFrame:
     known = project(nan_to_null(df), schema, leave_out=("pipeline_run_id", stamp))
@@ -113,10 +116,14 @@ def upsert_regions(spark: SparkSession, root: str, df: DataFrame, order: list) -
 
 def feature_set_meta(run_id: str, features: DataFrame, columns: list[str], targets: list[str], scaler: Scaler,
                      classes: DataFrame, source_rows: int | None = None) -> DataFrame:
-    """One row describing a feature set; the matrix itself stays in rows."""
+    """One row describing a feature set; the matrix itself stays in rows.
+
+    The row lists the classes of columns that have at most ``META_CLASSES``; the class
+    table always has all of them.
+    """
     n = features.agg(F.count("*").alias("n_samples"))
-    # One array per encoded column, as long as its class list.
-    lists = classes.groupBy("column_name").agg(
+    longer = classes.filter(F.col("idx") >= META_CLASSES).select("column_name").distinct()
+    lists = classes.join(longer, "column_name", "left_anti").groupBy("column_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "class"))), lambda x: x["class"]).alias("classes"))
     class_map = lists.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_name", "classes")))))
     params = F.create_map(*[x for name, values in (
