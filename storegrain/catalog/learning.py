@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from storegrain import schemas
 from storegrain.catalog import query
-from storegrain.catalog.preparation import ENCODED, classes_sql
+from storegrain.catalog.preparation import CLEAN_STEPS, ENCODED, classes_sql
 from storegrain.catalog.views import REQUESTS_SQL, stores, view, with_stores
 from storegrain.operators import features, metrics, requests, runs, splits
 from storegrain.operators.mapping import to_model_names
@@ -80,8 +80,7 @@ def evaluate_all(spark, folder):
     return metrics.compare_models(stage(parts[0].unionByName(parts[1]), "metrics"))
 
 
-@query("model_roundtrip", with_stores("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM stores WHERE biz_id IS NOT NULL AND "
-                                     "CAST(biz_id AS BIGINT) % 997 <> 0"))
+@query("model_roundtrip", with_stores("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM clean", **CLEAN_STEPS))
 def model_roundtrip(spark, folder):
     data, state = feature_table(spark, folder)
     fitted = training.train(data, state.columns, "linear")

@@ -53,7 +53,7 @@ def attach_status(rows: DataFrame, status: DataFrame) -> DataFrame:
 
 
 DONG_SQL = """SELECT n_name || '-' || CAST(c_custkey % 4 AS STRING) AS dong_code, round(avg(c_acctbal), 4) AS avg_sales,
-  count(*) AS floating_pop FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey <> 3 GROUP BY 1"""
+  count(*) AS floating_pop FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1 HAVING avg(c_acctbal) > 4000"""
 
 
 @query("merge_commercial", with_stores(f"""

@@ -40,6 +40,8 @@ LABELS = {
 # Query vectors and documents compared at a time.
 QUERY_BLOCK = 2_000
 DOC_CHUNK = 20_000
+# Similarities held at a time, 32 MB of doubles.
+MATRIX_CELLS = 4_000_000
 
 
 def _text(df: DataFrame, candidates) -> Column:
@@ -130,15 +132,20 @@ def _unit_rows(vectors, width: int | None = None) -> tuple[np.ndarray, np.ndarra
 def _matches(names, queries: np.ndarray, keys, rows: np.ndarray, k: int, query_id: str, doc_id: str) -> pd.DataFrame:
     """The best k documents of one batch for every query of one block."""
     order = np.argsort(keys, kind="stable")
-    keys, rows = np.asarray(keys)[order], rows[order]
-    similarity = queries @ rows.T
-    # Rounded before ranking, so that ties fall to the smaller key on any partitioning.
-    best = np.argsort(-np.round(similarity, 9), axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({
-        query_id: np.repeat(np.asarray(names), best.shape[1]),
-        doc_id: keys[best.ravel()],
-        "similarity": np.take_along_axis(similarity, best, axis=1).ravel(),
-    })
+    names, keys, rows = np.asarray(names), np.asarray(keys)[order], rows[order]
+    step = max(k, MATRIX_CELLS // max(1, len(queries)))
+    best = None
+    for start in range(0, len(rows), step):
+        similarity = queries @ rows[start:start + step].T
+        # Rounded before ranking, so that ties fall to the smaller key on any partitioning.
+        top = np.argsort(-np.round(similarity, 9), axis=1, kind="stable")[:, :k]
+        part = pd.DataFrame({
+            query_id: np.repeat(names, top.shape[1]),
+            doc_id: keys[start:start + step][top.ravel()],
+            "similarity": np.take_along_axis(similarity, top, axis=1).ravel(),
+        })
+        best = part if best is None else _best_of(pd.concat([best, part]), k, query_id, doc_id)
+    return best
 
 
 def _best_of(frame: pd.DataFrame, k: int, query_id: str, doc_id: str) -> pd.DataFrame:

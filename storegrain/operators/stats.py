@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storegrain.functions.columns import contains_text, first_present, lookup
 from storegrain.operators.ranking import listed, top_values
 from storegrain.schemas import ACTIVE, CATEGORY_SYNONYMS, CLOSED, SUSPENDED
+from storegrain.session import stage
 
 # Where a frame may keep each role; the first present column is used.
 CATEGORY = ("category_large", "indsLclsCdNm", "business_category", "indsLclsNm")
@@ -68,12 +69,12 @@ def store_count(df: DataFrame) -> DataFrame:
 def counted(df: DataFrame) -> DataFrame:
     """Rows per distinct category, sub-category, district and status, under those names.
 
-    The profiles below read this small table several times; its one shuffle is shared, so
+    The profiles below read this small table several times. It is written first, so
     the stores themselves are scanned once.
     """
     roles = {"category": CATEGORY, "sub_category": SUB_CATEGORY, "district": DISTRICT, "status": STATUS}
     columns = [F.col(role(df, names)).alias(name) for name, names in roles.items()]
-    return df.select(*columns).groupBy(*roles).agg(F.count("*").alias("n"))
+    return stage(df.select(*columns).groupBy(*roles).agg(F.count("*").alias("n")), "counts")
 
 
 def _total(condition=None) -> Column:

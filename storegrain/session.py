@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
 
@@ -64,6 +64,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_measured(df: DataFrame, label: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``stage``, with aggregates over the rows taken while they are written."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    staged = stage(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), label)
+    return staged, seen.get
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove everything this session has staged."""
     sc = spark.sparkContext
