@@ -41,6 +41,8 @@ def value_counts_bound(df: DataFrame, names: list[str]) -> dict[str, int]:
 
     Filtering rows later can only lower these numbers, so one measurement serves several calls.
     """
+    if not names:
+        return {}
     usable = df.select([_usable(df, n).alias(n) for n in names])
     row = usable.agg(*[F.approx_count_distinct(n).alias(f"d{i}") for i, n in enumerate(names)]).first()
     return {n: row[f"d{i}"] for i, n in enumerate(names)}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from storegrain import schemas
 from storegrain.operators import cleaning, features, labels, mapping
 from storegrain.operators.joins import fits_broadcast
-from storegrain.session import stage_measured
+from storegrain.operators.quantiles import value_counts_bound
+from storegrain.session import stage
 from storegrain.sources import tables
 
 
@@ -19,11 +20,10 @@ def clean_stage(df: DataFrame) -> DataFrame:
     The deduplicated rows are written once: the medians and the three fence passes
     then read single columns instead of repeating the shuffle.
     """
-    rows = cleaning.drop_copies(mapping.to_model_names(df))
-    numbers = cleaning.numeric_columns(rows, schemas.NUMERICAL)
-    rows, distinct = stage_measured(rows, "distinct", {
-        "rows": F.count(F.lit(1)), **{c: F.approx_count_distinct(c) for c in numbers}})
+    rows = stage(cleaning.drop_copies(mapping.to_model_names(df)), "distinct")
     # Imputation adds one value to a column and the fences add none; a default is a single value.
+    # So one measurement serves all quantile passes.
+    distinct = value_counts_bound(rows, cleaning.numeric_columns(rows, schemas.NUMERICAL))
     bound = {c: distinct.get(c, 0) + 1 for c in schemas.NUMERICAL}
     rows = cleaning.fill_nulls(mapping.fill_absent(rows), bound=bound)
     return cleaning.cast_types(cleaning.remove_outliers(rows, bound=bound))

@@ -1,15 +1,13 @@
 import pytest
-from pyspark.sql import functions as F
 
 from storegrain.plans.stages import clean_stage
-from storegrain.session import stage, stage_measured, staging_root
+from storegrain.session import stage, staging_root
 
 
-def test_staged_rows_and_measures(spark):
+def test_staged_rows(spark):
     df = spark.range(1_000).selectExpr("id", "id % 10 as k")
-    out, seen = stage_measured(df, "t", {"n": F.count(F.lit(1)), "k": F.approx_count_distinct("k")})
-    assert out.count() == 1_000 and seen["n"] == 1_000 and 9 <= seen["k"] <= 11
-    assert stage(df, "t").exceptAll(out).isEmpty()
+    out = stage(df, "t")
+    assert out.schema == df.schema and out.exceptAll(df).isEmpty() and out.count() == 1_000
 
 
 def test_staging_needs_a_shared_folder_on_a_cluster():
