@@ -7,7 +7,7 @@ from storegrain.session import stage, staging_root
 def test_staged_rows(spark):
     df = spark.range(1_000).selectExpr("id", "id % 10 as k")
     out = stage(df, "t")
-    assert out.schema == df.schema and out.exceptAll(df).isEmpty() and out.count() == 1_000
+    assert out.dtypes == df.dtypes and out.exceptAll(df).isEmpty() and out.count() == 1_000
 
 
 def test_staging_needs_a_shared_folder_on_a_cluster():
