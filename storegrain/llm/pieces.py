@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding: n-best segmentation by a backward A* search over the piece lattice.
 
 The pieces and scores come from a model file of the sentencepiece library (its path is a parameter). A text is cut where no
-piece of the vocabulary can span two characters; in each unit the forward Viterbi scores are exact heuristics for an A* search
-from its end to its start, which meets the segmentations in falling order of their scores. Units repeat, so a task keeps
-those it has solved (at most ``KEPT_UNITS``). The best sums over the units of a text follow from the best few of each.
+piece of the vocabulary can span two characters. A forward Viterbi pass over the lattice of a unit gives its best segmentation and the
+score of the second best. The n best of a text can differ from its best only in the n - 1 units that lose least by
+their second; in these an A* search from the end to the start, with the forward scores as exact heuristics, meets the segmentations
+in falling order of their scores. Units repeat, so a task keeps those it has solved (at most twice ``KEPT_UNITS``).
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import lru_cache
 from itertools import count
 
@@ -25,10 +27,11 @@ from storegrain.session import ship
 SPACE = "▁"
 #: Stands for a "▁" of the text itself; it cannot occur in valid UTF-8.
 OWN = "\ud800"
-KEPT_UNITS = 100_000
+KEPT_UNITS = 120_000
 #: What an unknown character costs below the least score of a piece, as in the library's lattice.
 UNKNOWN = 10.0
 N_BEST = 2
+NOTHING = -float("inf")
 
 
 class Vocabulary:
@@ -56,7 +59,46 @@ class Vocabulary:
         else:
             inside = "".join(map(re.escape, sorted(joined)))
             self.units = re.compile(rf"(?s){SPACE}*[{inside}]+|{SPACE}+|.")
+        # score of every piece, None for a beginning that is no piece itself
+        self.begins = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))))
+        self.begins.update(self.scores)
         self.solved: dict = {}
+        self.older: dict = {}
+
+    def viterbi(self, unit: str) -> tuple[float, bytes, float]:
+        """Best score of a unit, its ids as bytes, and what the second best loses (infinite if there is none)."""
+        size, get, scores, ids = len(unit), self.begins.get, self.scores, self.ids
+        best, second, back = [0.0] + [NOTHING] * size, [NOTHING] * (size + 1), [0] * (size + 1)
+        for lo in range(size):
+            one, two = best[lo], second[lo]
+            if unit[lo] not in scores:  # a character that is no piece
+                best[lo + 1], second[lo + 1], back[lo + 1] = max(
+                    (best[lo + 1], max(second[lo + 1], one + self.unknown), back[lo + 1]),
+                    (one + self.unknown, max(best[lo + 1], two + self.unknown), lo))
+            for hi in range(lo + 1, size + 1):
+                score = get(unit[lo:hi], NOTHING)
+                if score == NOTHING:  # no piece begins like this
+                    break
+                if score is not None:
+                    new = one + score
+                    if new > best[hi]:
+                        old = best[hi]
+                        second[hi] = old if old > two + score else two + score
+                        best[hi], back[hi] = new, lo
+                    elif new > second[hi]:
+                        second[hi] = new
+        found, hi = [], size
+        while hi:
+            lo = back[hi]
+            one = ids.get(unit[lo:hi])
+            found += [one] if one is not None else self.piece_ids(unit[lo:hi])[::-1]
+            hi = lo
+        return best[size], array("i", found[::-1]).tobytes(), best[size] - second[size]
+
+    def piece_ids(self, piece: str) -> tuple:
+        """The id of a piece, or those of the bytes of a character that is none."""
+        known = self.ids.get(piece)
+        return (known,) if known is not None else tuple(self.bytes[b] for b in (SPACE if piece == OWN else piece).encode())
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple]]]:
         """For each end in the unit the pieces that end there: start, score, ids."""
@@ -65,18 +107,17 @@ class Vocabulary:
             for hi in range(lo + 1, min(len(unit), lo + self.longest) + 1):
                 piece = unit[lo:hi]
                 if piece in self.ids:
-                    out[hi].append((lo, self.scores[piece], (self.ids[piece],)))
+                    out[hi].append((lo, self.scores[piece], self.piece_ids(piece)))
             if unit[lo] not in self.ids:
-                raw = (SPACE if unit[lo] == OWN else unit[lo]).encode()
-                out[lo + 1].append((lo, self.unknown, tuple(self.bytes[b] for b in raw)))
+                out[lo + 1].append((lo, self.unknown, self.piece_ids(unit[lo])))
         return out
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best segmentations of a unit (score, ids), best first; equal ones in a fixed order."""
         edges = self.edges(unit)
-        best = [0.0] + [-np.inf] * len(unit)
+        best = [0.0] + [NOTHING] * len(unit)
         for end in range(1, len(unit) + 1):
-            best[end] = max((best[lo] + score for lo, score, _ in edges[end]), default=-np.inf)
+            best[end] = max((best[lo] + score for lo, score, _ in edges[end]), default=NOTHING)
         found, turn = [], count()
         agenda = [(-best[-1], next(turn), 0.0, len(unit), None)]
         while agenda and len(found) < n:
@@ -92,32 +133,29 @@ class Vocabulary:
                 heapq.heappush(agenda, (-(best[lo] + score + behind), next(turn), score + behind, lo, (ids, path)))
         return found
 
-    def unit(self, unit: str, n: int):
-        """Best score, its ids as bytes, distance to the second, and all found; kept for the next time."""
-        known = self.solved.get(unit)
-        if known is None:
-            found = self.n_best(unit, n)
-            known = (found[0][0], np.array(found[0][1], np.int32).tobytes(),
-                     found[0][0] - found[1][0] if len(found) > 1 else np.inf, found)
-            if len(self.solved) >= KEPT_UNITS:
-                self.solved.clear()
-            self.solved[unit] = known
+    def unit(self, unit: str) -> tuple[float, bytes, float]:
+        """The result of ``viterbi``, kept for the next time; units that are not met again go when the store is full."""
+        known = self.older.get(unit) or self.viterbi(unit)
+        if len(self.solved) >= KEPT_UNITS:
+            self.older, self.solved = self.solved, {}
+        self.solved[unit] = known
         return known
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, dict]]]:
-        """Ids of the best segmentation as bytes, and the ``n`` best scores, each with the units that differ from the best."""
+        """Ids of the best segmentation as bytes, and the ``n`` best scores, each with the ids of the units that differ from the best."""
         # the library puts a space before a text
         units = self.units.findall(SPACE + text.replace(SPACE, OWN).replace(" ", SPACE)) if text else []
-        get, solved = self.solved.get, []
-        for u in units:
-            solved.append(get(u) or self.unit(u, n))
-        top = sum(s[0] for s in solved)
+        solved = [self.solved.get(u) or self.unit(u) for u in units]
+        top = sum([s[0] for s in solved])
         ranked = [(0.0, {})]
         for i in heapq.nsmallest(n - 1, range(len(solved)), key=[s[2] for s in solved].__getitem__):
-            options = [(top_i - score, k) for top_i in [solved[i][0]] for k, (score, _) in enumerate(solved[i][3])]
-            ranked = heapq.nsmallest(n, [(loss + more, {**changed, **({i: k} if k else {})})
-                                         for loss, changed in ranked for more, k in options], key=lambda x: x[0])
-        return b"".join([s[1] for s in solved]), [(top - loss, {i: solved[i][3][k][1] for i, k in changed.items()}) for loss, changed in ranked]
+            best, raw, _ = solved[i]
+            # of segmentations with the best score the one that is written counts as the best
+            others = [f for f in self.n_best(units[i], n) if np.array(f[1], np.int32).tobytes() != raw][: n - 1]
+            options = [(0.0, {})] + [(best - score, {i: ids}) for score, ids in others]
+            ranked = heapq.nsmallest(n, [(loss + more, changed | change) for loss, changed in ranked for more, change in options],
+                                     key=lambda x: x[0])
+        return b"".join([s[1] for s in solved]), [(top - loss, changed) for loss, changed in ranked]
 
     def decode(self, ids) -> str:
         """The text of a list of ids; the space that ``encode`` puts first goes. Unknown and control ids are nothing."""
