@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storegrain.llm import decontaminate, minhash, pieces, quality, secrets, sharding, suffix_dedup, tokens, urls, winnowing
+from storegrain.llm import (
+    decontaminate, minhash, pieces, quality, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
+)
 from storegrain.llm.common import table
 from storegrain.session import staging_path
 
@@ -91,7 +93,7 @@ def op7_url_filters(spark, folder):
 
 @query("op9_secret_scans")
 def op9_secret_scans(spark, folder):
-    return secrets.digests(secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")))
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 @query("op10_sharding")
@@ -122,5 +124,5 @@ def op4_quality_classifier(spark, folder):
 @query("op8_token_counts")
 def op8_token_counts(spark, folder):
     path = staging_path(spark, "token-files")
-    tokens.write_tokens(table(spark, folder, "documents"), path, *tokens.default_tokenizer())
-    return tokens.count_tokens(spark, path)
+    token_files.write_tokens(table(spark, folder, "documents"), path, *token_files.default_tokenizer())
+    return token_files.count_tokens(spark, path)

@@ -21,6 +21,7 @@ several). Two equal windows choose the same anchor, so every repeated window sho
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left, insort
 from functools import cmp_to_key
 
@@ -33,6 +34,7 @@ from storegrain.llm.common import mix, prefix_hash, slices, span_hash, text_byte
 from storegrain.session import ship, stage
 
 KEY = 64
+STEP = 16
 GROUP_LIMIT = 100_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -73,29 +75,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     return text, places - offsets[text], keys[places].view(np.int64), context.view(np.int64)
 
 
-def _prefixes(text: bytes) -> list[int]:
-    return prefix_hash(np.frombuffer(text, np.uint8)).tolist()
-
-
 class Suffixes:
-    """Texts of one key with their prefix hashes: common extensions and order."""
+    """Texts of one key with prefix hashes at every ``STEP`` bytes: common extensions and order."""
 
     def __init__(self, texts: list[bytes]):
-        self.texts, self.hashes = texts, [_prefixes(t) for t in texts]
+        self.texts = texts
+        self.hashes = [array("Q", prefix_hash(np.frombuffer(t, np.uint8))[::STEP].tobytes()) for t in texts]
 
     def common(self, i: int, j: int) -> int:
-        """How many first bytes two texts share: binary search on the hashes, confirmed on the bytes."""
+        """How many first bytes two texts share: binary search on the hashes, confirmed and finished on the bytes."""
         x, y, a, b = self.hashes[i], self.hashes[j], self.texts[i], self.texts[j]
-        lo, hi = 0, min(len(a), len(b))
+        lo, hi = 0, min(len(x), len(y)) - 1
         while lo < hi:
             middle = (lo + hi + 1) // 2
             if x[middle] == y[middle]:
                 lo = middle
             else:
                 hi = middle - 1
-        if a[:lo] != b[:lo]:  # two strings with one hash
-            lo = next(k for k in range(lo) if a[k] != b[k])
-        return lo
+        k = lo * STEP
+        if a[:k] != b[:k]:  # two strings with one hash
+            k = 0
+        end = min(len(a), len(b))
+        while k < end and a[k] == b[k]:
+            k += 1
+        return k
 
     def compare(self, i: int, j: int) -> int:
         k, a, b = self.common(i, j), self.texts[i], self.texts[j]
