@@ -8,8 +8,9 @@
    pairs as members). What is already connected then needs no further test; only members of one bucket that are still in
    different components are paired with each other. Buckets of more than ``REFINE_ABOVE`` classes are first divided by further
    bands, which all but never parts two like texts in all of their shared bands.
-4. A pair goes on if the lowest bits of its minima (200 of them) agree often enough: six deviations below what is
-   expected at the threshold. It counts if the full sets agree, in whole numbers.
+4. A pair goes on if one bit of each of its minima (200 of them) agrees often enough, six deviations below what is
+   expected at the threshold, and if the parities of its sets over ``PARITIES`` cells differ in no more cells than the sets may
+   differ in elements (they never do). It counts if the full sets agree, in whole numbers.
 5. Links are joined to components by alternating large-star and small-star.
 """
 
@@ -30,6 +31,7 @@ from storegrain.session import ship, stage
 BANDS, ROWS = 40, 5
 REFINE_ABOVE, REFINE_BY = 64, 12
 WORDS_IN_PART = 50
+PARITIES = 1024
 #: The multipliers and offsets of the universal hashes come from a seeded generator.
 SEED = 20240229
 
@@ -83,7 +85,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         for part in slices(batches, 2):
             rows = len(part)
             n, ones, twos = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-            bands, bits = np.zeros((rows, BANDS), np.uint64), np.zeros((rows, 4), np.uint64)
+            bands, bits = np.zeros((rows, BANDS), np.uint64), np.zeros((rows, 4 + PARITIES // 64), np.uint64)
             for i, grams in enumerate(shingle_sets(part.column(2), k)):
                 n[i] = len(grams)
                 if len(grams):
@@ -92,7 +94,9 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     bands[i] = mix((least.reshape(BANDS, ROWS) * factors).sum(axis=1, dtype=np.uint64)
                                    + np.arange(BANDS, dtype=np.uint64))
                     odd = mix(least * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)
-                    bits[i] = (odd.reshape(4, -1) << parts.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+                    bits[i, :4] = (odd.reshape(4, -1) << parts.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+                    cells = np.bincount((grams % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+                    bits[i, 4:] = np.packbits(cells.astype(np.uint8)).view(np.uint64)
             lists = [pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * x.shape[1], _signed(x).ravel())
                      for x in (bands, bits)]
             yield pa.RecordBatch.from_arrays(
@@ -104,12 +108,17 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _may_link(percent: int):
-    """Size ratio and agreement of the signature bits of ``l`` and ``r``."""
+    """Size ratio, agreement of the signature bits and differing parities of ``l`` and ``r``."""
     share = (1 - percent / 100) / 2
     limit = math.ceil(BANDS * ROWS * share + 6 * math.sqrt(BANDS * ROWS * share * (1 - share)))
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(4)])
+
+    def differ(lo: int, hi: int):
+        return reduce(lambda x, y: x + y, [F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(lo, hi)])
+
     sizes = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
-    return sizes & (differ <= limit)
+    # 100 * shared >= percent * united, written with the number of elements that differ
+    parity = differ(4, 4 + PARITIES // 64) * (100 + percent) <= (F.col("l.n") + F.col("r.n")) * (100 - percent)
+    return sizes & (differ(0, 4) <= limit) & parity
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
