@@ -118,7 +118,7 @@ class Vocabulary:
         best = [0.0] + [NOTHING] * len(unit)
         for end in range(1, len(unit) + 1):
             best[end] = max((best[lo] + score for lo, score, _ in edges[end]), default=NOTHING)
-        found, turn = [], count()
+        found, turn = [], count(0, -1)  # of equal sums the latest first, which goes straight to the start
         agenda = [(-best[-1], next(turn), 0.0, len(unit), None)]
         while agenda and len(found) < n:
             total, _, behind, end, path = heapq.heappop(agenda)
