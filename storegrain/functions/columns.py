@@ -38,11 +38,13 @@ def flag(condition: Column) -> Column:
 
 
 def clip(value: Column, low=None, high=None) -> Column:
+    """``value`` within the bounds; null stays null (``greatest`` and ``least`` would pass over it)."""
+    bounded = value
     if low is not None:
-        value = F.greatest(value, F.lit(low))
+        bounded = F.greatest(bounded, F.lit(low))
     if high is not None:
-        value = F.least(value, F.lit(high))
-    return value
+        bounded = F.least(bounded, F.lit(high))
+    return F.when(value.isNotNull(), bounded)
 
 
 def lookup(mapping: dict, key, default=None) -> Column:

@@ -19,7 +19,7 @@ def _is_number(df: DataFrame, name: str) -> bool:
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    """Rows that agree on every business column, once; ids and timestamps take their smallest value.
+    """Rows that agree on every business column, once; ids and timestamps are those of the copy with the smallest ones.
 
     Copies combine inside each task before the shuffle.
     """
@@ -27,7 +27,8 @@ def drop_copies(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c in BOOKKEEPING]
     if not rest:
         return df.dropDuplicates()
-    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest]).select(*df.columns)
+    first = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__first"))
+    return first.select(*[F.col(f"__first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def numeric_columns(df: DataFrame, names) -> list[str]:
@@ -93,11 +94,11 @@ def remove_outliers(df: DataFrame, columns=OUTLIER_COLUMNS, width: float = 3.0,
 
 
 def cast_types(df: DataFrame) -> DataFrame:
-    """Tolerant casts: text that is no number becomes 0; integers are truncated."""
+    """Tolerant casts: text that is no number and numbers out of range become 0; integers are truncated."""
     changes = {}
     for name in INTEGER_COLUMNS + FLOAT_COLUMNS:
         if name in df.columns:
             number = F.col(name).cast("double") if _is_number(df, name) else F.col(name).try_cast("double")
             number = F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0))
-            changes[name] = number.cast("bigint") if name in INTEGER_COLUMNS else number
+            changes[name] = F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint")) if name in INTEGER_COLUMNS else number
     return df.withColumns(changes) if changes else df

@@ -47,7 +47,7 @@ def to_region_names(df: DataFrame) -> DataFrame:
 
 
 def project(df: DataFrame, schema: T.StructType, leave_out=()) -> DataFrame:
-    """The columns a table knows, in table order and with the table's types."""
+    """The columns a table knows, in table order and with the table's types; values out of range become null."""
     out = []
     for field in schema.fields:
         if field.name not in df.columns or field.name in leave_out:
@@ -58,8 +58,8 @@ def project(df: DataFrame, schema: T.StructType, leave_out=()) -> DataFrame:
                 column = F.round(column)
             elif isinstance(kind, T.StringType):
                 # Text such as 1.5E8 is a whole number of money, too.
-                column = F.coalesce(column.try_cast("bigint"), F.round(column.try_cast("double")).cast("bigint"))
-        out.append(column.cast(field.dataType).alias(field.name))
+                column = F.coalesce(column.try_cast("bigint"), F.round(column.try_cast("double")).try_cast("bigint"))
+        out.append(column.try_cast(field.dataType).alias(field.name))
     return df.select(*out)
 
 

@@ -114,12 +114,14 @@ def page_completeness(pages: DataFrame) -> DataFrame:
     """Per request: rows read so far, rows promised, and whether reading may stop.
 
     ``pages(request, page, page_size, total, n_rows)``; a request is complete when
-    its rows reach the promised total or its last page is short.
+    its rows reach the promised total, or its last page is short and no page before it is missing.
     """
     grouped = pages.groupBy("request").agg(
         F.count("*").alias("n_pages"), F.sum("n_rows").alias("n_rows"), F.max("total").alias("total"),
-        F.max_by(F.col("n_rows") < F.col("page_size"), "page").alias("short_end"))
-    return grouped.withColumn("complete", (F.col("n_rows") >= F.col("total")) | F.col("short_end"))
+        F.max_by(F.col("n_rows") < F.col("page_size"), "page").alias("short_end"),
+        (F.countDistinct("page") == F.max("page") - F.min("page") + 1).alias("no_gap"))
+    return grouped.withColumn(
+        "complete", (F.col("n_rows") >= F.col("total")) | (F.col("short_end") & F.col("no_gap"))).drop("no_gap")
 
 
 def collection_log(targets: DataFrame, rows: DataFrame, code: str = "dong_code", now=None) -> DataFrame:

@@ -12,8 +12,6 @@ from storegrain.operators.mapping import nan_to_null, project, to_region_names,
 from storegrain.operators.runs import run_list
 from storegrain.operators.upsert import upsert
 # Class lists up to this length are written into the description of a feature set.
-META_CLASSES = 10_000
-
 
 def _stamped(df: DataFrame, schema: T.StructType, run_id: str, stamp: str) -> DataFrame:
     known = project(nan_to_null(df), schema, leave_out=("pipeline_run_id", stamp))
@@ -37,10 +35,17 @@ def append_labeled(df: DataFrame, path: str, run_id: str) -> None:
     append_run(df, path, run_id, schemas.LABELED_STORES, "labeled_at")
 
 
-def read_runs(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """A run-partitioned table; naming a run prunes to its folder."""
-    df = spark.read.option("basePath", path).parquet(path)
-    df = df.withColumn("pipeline_run_id", F.col("pipeline_run_id").cast("string"))
+def read_runs(spark: SparkSession, path: str, run_id: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """A run-partitioned table; naming a run prunes to its folder.
+
+    Run ids are text, whatever they look like. A table without files needs ``schema``; it is then empty.
+    """
+    if schema is None:
+        schema = spark.read.option("basePath", path).parquet(path).schema
+    # the type of a folder's value must be given, or 00012 would be read as 12
+    fields = [f for f in schema.fields if f.name != "pipeline_run_id"]
+    typed = T.StructType([*fields, T.StructField("pipeline_run_id", T.StringType())])
+    df = spark.read.schema(typed).option("basePath", path).parquet(path)
     return df.filter(F.col("pipeline_run_id") == run_id) if run_id is not None else df
 
 
@@ -49,8 +54,9 @@ def drop_old_runs(spark: SparkSession, path: str, keep: int, stamp: str) -> list
     listed = run_list(read_runs(spark, path), "pipeline_run_id", stamp)
     old = [r[0] for r in listed.orderBy(F.desc("last_at"), F.desc("pipeline_run_id")).offset(keep).collect()]
     sc = spark.sparkContext
+    escape = sc._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     for run_id in old:
-        folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/pipeline_run_id={run_id}")
+        folder = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/pipeline_run_id={escape(run_id)}")
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
     return old
 
@@ -118,12 +124,10 @@ def feature_set_meta(run_id: str, features: DataFrame, columns: list[str], targe
                      classes: DataFrame, source_rows: int | None = None) -> DataFrame:
     """One row describing a feature set; the matrix itself stays in rows.
 
-    The row lists the classes of columns that have at most ``META_CLASSES``; the class
-    table always has all of them.
+    The row lists the classes of every column, as the class table does.
     """
     n = features.agg(F.count("*").alias("n_samples"))
-    longer = classes.filter(F.col("idx") >= META_CLASSES).select("column_name").distinct()
-    lists = classes.join(longer, "column_name", "left_anti").groupBy("column_name").agg(
+    lists = classes.groupBy("column_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", "class"))), lambda x: x["class"]).alias("classes"))
     class_map = lists.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column_name", "classes")))))
     params = F.create_map(*[x for name, values in (

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from storegrain import schemas
 from storegrain.operators import joins, runs, upsert
+from storegrain.session import staging_path
 from storegrain.sources import tables
 
 TARGET = T.StructType.fromJson(T.StructType([
@@ -120,3 +121,28 @@ def test_last_write_limits_each_task(spark):
 def test_union_fills_missing_columns(spark):
     out = upsert.union_batches(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2,)], "b int"))
     assert sorted(map(tuple, out.collect()), key=str) == [(1, None), (None, 2)]
+
+
+def test_run_ids_stay_text(spark):
+    path = staging_path(spark, "ids")
+    rows = spark.createDataFrame([("1", 5)], "biz_id string, age bigint")
+    for run_id in ("007", "008", "a:b"):
+        tables.append_cleaned(rows, path, run_id)
+    assert {r.pipeline_run_id for r in tables.read_runs(spark, path).collect()} == {"007", "008", "a:b"}
+    assert tables.read_runs(spark, path, "007").count() == 1
+    schema = tables.read_runs(spark, path).schema
+    assert len(tables.drop_old_runs(spark, path, 1, "cleaned_at")) == 2 and tables.read_runs(spark, path).count() == 1
+    assert len(tables.drop_old_runs(spark, path, 0, "cleaned_at")) == 1
+    assert tables.read_runs(spark, path, schema=schema).collect() == []
+
+
+def test_values_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    from storegrain.functions.columns import clip
+    from storegrain.operators import cleaning
+
+    clipped = spark.createDataFrame([(None,), (7.0,)], "x double").select(clip(F.col("x"), 1, 5)).collect()
+    assert {r[0] for r in clipped} == {None, 5.0}
+    big = cleaning.cast_types(spark.createDataFrame([("1e30",), ("12.7",)], "employee_count string"))
+    assert {r[0] for r in big.collect()} == {0, 12}
