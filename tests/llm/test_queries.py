@@ -115,6 +115,6 @@ def test_op4_held_out(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     grades = quality.graded(spark.read.parquet(f"{folder}/labels.parquet"))
     model = quality.train(docs, grades.where("id % 2 = 0"))
-    rows = quality.judge(docs.join(grades.where("id % 2 = 1"), docs.doc_id == grades.id), model, tail=0.5).select("selected", grades.grade).collect()
+    rows = quality.judge(docs.join(grades.where("id % 2 = 1").withColumnRenamed("grade", "truth"), docs.doc_id == grades.id), model).select("selected", "truth").collect()
     share = {g: np.mean([r[0] for r in rows if r[1] == g]) for g in range(3)}
     assert share[2] > 0.97 and share[0] < 0.25 and share[1] < 0.4
