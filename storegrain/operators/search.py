@@ -118,15 +118,16 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
 # -- exact search -----------------------------------------------------------
 
 def _unit_rows(vectors, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors as a matrix and the mask of the usable inputs."""
+    """Unit vectors as a matrix and the mask of the usable inputs; NaN, infinite or null elements make a vector unusable."""
     width = width or next((len(v) for v in vectors if v is not None and len(v)), 0)
     usable = np.array([v is not None and len(v) == width and width > 0 for v in vectors], dtype=bool)
     if not usable.any():
         return np.empty((0, width)), usable
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v, ok in zip(vectors, usable) if ok])
     length = np.linalg.norm(matrix, axis=1)
-    usable[np.flatnonzero(usable)[length == 0]] = False
-    return matrix[length > 0] / length[length > 0, None], usable
+    whole = np.isfinite(length) & (length > 0)
+    usable[np.flatnonzero(usable)[~whole]] = False
+    return matrix[whole] / length[whole, None], usable
 
 
 def _matches(names, queries: np.ndarray, keys, rows: np.ndarray, k: int, query_id: str, doc_id: str) -> pd.DataFrame:

@@ -29,14 +29,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", **options)
     df.write.mode(mode).options(header=True, **options).csv(path)
 
 
-def read_store_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed store API pages, one JSON document per line; a page without items adds no rows."""
-    pages = spark.read.schema(schemas.STORE_PAGE).json(path)
+def rejected_pages(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """``file, record`` of every landed page that is no JSON document of the schema; the readers below leave these out."""
+    known = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    pages = spark.read.schema(known).json(path, multiLine=multi_line).select("*", F.col("_metadata.file_path").alias("file"))
+    # Spark refuses to read the corrupt column alone, so what could be parsed is looked at, too
+    parsed = F.length(F.to_json(F.struct(*schema.names)))
+    return pages.filter(F.col("_corrupt_record").isNotNull() & (parsed >= 0)).select(
+        "file", F.col("_corrupt_record").alias("record"))
+
+
+def read_store_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Landed store API pages, one JSON document per line or (``multi_line``) per file; a page without items adds no rows.
+
+    Broken pages are in ``rejected_pages``.
+    """
+    pages = spark.read.schema(schemas.STORE_PAGE).json(path, multiLine=multi_line)
     return pages.select("page", F.explode("body.items").alias("item")).select("page", "item.*")
 
 
-def read_status_pages(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.schema(schemas.STATUS_PAGE).json(path)
+def read_status_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Landed status pages, as ``read_store_pages`` reads them."""
+    pages = spark.read.schema(schemas.STATUS_PAGE).json(path, multiLine=multi_line)
     return pages.select(F.explode("data").alias("item")).select("item.*")
 
 

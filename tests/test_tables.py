@@ -146,3 +146,26 @@ def test_values_stay_whole(spark):
     assert {r[0] for r in clipped} == {None, 5.0}
     big = cleaning.cast_types(spark.createDataFrame([("1e30",), ("12.7",)], "employee_count string"))
     assert {r[0] for r in big.collect()} == {0, 12}
+
+
+def test_broken_and_long_pages(spark, tmp_path):
+    from storegrain.sources import files
+
+    good = '{"page": 1, "body": {"items": [{}, {}]}}'
+    (tmp_path / "lines.json").write_text(good + "\n" + good[:-9] + "\n")
+    (tmp_path / "long").mkdir()
+    (tmp_path / "long" / "page.json").write_text(good.replace(", ", ",\n"))
+    lines, long = str(tmp_path / "lines.json"), str(tmp_path / "long")
+    assert files.read_store_pages(spark, lines).count() >= 2
+    assert files.rejected_pages(spark, lines, schemas.STORE_PAGE).count() == 1
+    assert files.read_store_pages(spark, long, multi_line=True).count() == 2
+    assert files.rejected_pages(spark, long, schemas.STORE_PAGE, multi_line=True).count() == 0
+
+
+def test_unusable_vectors():
+    import numpy as np
+
+    from storegrain.operators.search import _unit_rows
+
+    rows, usable = _unit_rows([[3.0, 4.0], [float("nan"), 1.0], [0.0, 0.0], [1.0, None], None])
+    assert usable.tolist() == [True, False, False, False, False] and np.allclose(rows, [[0.6, 0.8]])
