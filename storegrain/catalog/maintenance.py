@@ -70,8 +70,7 @@ LEFT JOIN (SELECT dong_code, floating_pop * 1000 AS residents FROM ({plain(DONG_
 def merge_population(spark, folder):
     rows = stores(spark, folder).select("biz_id", F.col("adong_name").alias("dong_code"))
     people = view(spark, folder, DONG_SQL).select("dong_code", (F.col("floating_pop") * 1000).alias("residents"))
-    # Taken as too large to broadcast: the hot districts go their own way.
-    return joins.attach(rows, people, "dong_code", small=False).select("biz_id", "dong_code", "residents")
+    return joins.attach(rows, people, "dong_code").select("biz_id", "dong_code", "residents")
 
 
 @query("distinct_biz", f"WITH lines AS ({LINES}) SELECT DISTINCT biz_id FROM lines WHERE biz_id IS NOT NULL")

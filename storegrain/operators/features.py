@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storegrain import schemas
 from storegrain.functions.columns import flag, one_if_zero
-from storegrain.operators.joins import attach, fits_broadcast
+from storegrain.operators.joins import attach
 from storegrain.operators.quantiles import exact_quantiles
 from storegrain.operators.ranking import global_index
 from storegrain.session import stage
@@ -73,20 +73,18 @@ def fit_encoder(df: DataFrame, columns=None, single_sort: int = SINGLE_SORT_CLAS
     return stage(reduce(DataFrame.unionByName, numbered).select("column_name", "class", "idx"), "encoder")
 
 
-def encode(df: DataFrame, classes: DataFrame, columns=None, null_is_unknown: bool = True,
-           small: bool | None = None) -> DataFrame:
+def encode(df: DataFrame, classes: DataFrame, columns=None, null_is_unknown: bool = True) -> DataFrame:
     """Replace values by their class number; -1 for a value not seen in fitting.
 
-    ``small`` passes on what ``fits_broadcast(classes)`` said.
+    One left join for each column, so the rows are read once however long a class list is.
     """
     columns = [c for c in (columns or schemas.CATEGORICAL) if c in df.columns]
     order = df.columns
-    small = fits_broadcast(classes) if small is None else small
     for name in columns:
         table = classes.filter(F.col("column_name") == name).select(F.col("class").alias(name), F.col("idx").alias("_idx"))
         if null_is_unknown:
             df = df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN)))
-        df = attach(df, table, name, small=small)
+        df = attach(df, table, name)
         df = df.withColumn(name, F.coalesce("_idx", F.lit(UNSEEN).cast("bigint"))).drop("_idx")
     return df.select(*order)
 
@@ -95,10 +93,9 @@ def decode(df: DataFrame, classes: DataFrame, columns=None) -> DataFrame:
     """Class numbers back to values; -1 becomes ``unknown``."""
     columns = [c for c in (columns or schemas.CATEGORICAL) if c in df.columns]
     order = df.columns
-    small = fits_broadcast(classes)
     for name in columns:
         table = classes.filter(F.col("column_name") == name).select(F.col("idx").alias(name), F.col("class").alias("_class"))
-        df = attach(df, table, name, small=small)
+        df = attach(df, table, name)
         df = df.withColumn(name, F.coalesce("_class", F.lit(UNKNOWN))).drop("_class")
     return df.select(*order)
 

@@ -1,65 +1,17 @@
-"""Joins against tables with one row per key, safe for hot keys."""
+"""Joins against tables with one row per key, and the last write per key."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-# A side is broadcast only when both of these were measured to hold.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
-# Keys followed individually once the other side is too large to broadcast.
-HOT_KEYS = 200
-
-
-@dataclass(frozen=True)
-class Size:
-    rows: int
-    text_bytes: int
-
-
-def measure(df: DataFrame) -> Size:
-    """Row count and size of the rows as text, in one pass."""
-    row = df.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b"),
-    ).first()
-    return Size(row["n"], row["b"])
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int = BROADCAST_BYTES) -> bool:
-    size = measure(df)
-    return size.rows <= rows and size.text_bytes <= text_bytes
-
-
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> list:
-    """The most frequent keys: every key with over 1/limit of the rows is among them.
-
-    Counting combines on the map side, and only ``limit`` rows reach the driver.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return [row[0] for row in counts.orderBy(F.desc("count"), key).limit(limit).collect()]
-
 
-def attach(left: DataFrame, right: DataFrame, key: str, *, rows: int = BROADCAST_ROWS,
-           text_bytes: int = BROADCAST_BYTES, small: bool | None = None) -> DataFrame:
-    """Left join with a table that has at most one row per ``key``.
+def attach(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table that has at most one row per ``key``; rows without a key match nothing.
 
-    A right side measured to be small is broadcast. A larger one is shuffled,
-    except for the hottest keys of the left side: their right rows are at most
-    ``HOT_KEYS`` and are broadcast, so no task receives all rows of a hot key.
-    Rows without a key match nothing and go the same way. ``small`` passes on
-    a measurement the caller has already made.
+    Spark broadcasts the right side where its size allows it. Otherwise both sides are shuffled, and adaptive
+    execution cuts the partition of a hot key (or of the null keys) into several tasks. Each side is read once.
     """
-    if fits_broadcast(right, rows, text_bytes) if small is None else small:
-        return left.join(F.broadcast(right), key, "left")
-    hot = hot_keys(left, key)
-    is_hot = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
-    hot_right = right.filter(F.col(key).isin(hot)) if hot else right.limit(0)
-    hot_part = left.filter(is_hot).join(F.broadcast(hot_right), key, "left")
-    cold_part = left.filter(~is_hot).join(right, key, "left")
-    return hot_part.unionByName(cold_part)
+    return left.join(right, key, "left")
 
 
 def last_write(df: DataFrame, key, order: list) -> DataFrame:

@@ -55,7 +55,7 @@ def request_context(requests: DataFrame, cube: DataFrame, found: DataFrame | Non
     """Requests with the statistics of their category, their district and both, and search results if given.
 
     ``cube`` is the output of ``stats_cube``; it is read three times, so hand over a
-    staged one. A category may be the same for most requests, hence the hot-key joins.
+    staged one. A category may be the same for most requests; adaptive execution splits it.
     """
     def scope(level: int, keys: list[str], tag: str) -> DataFrame:
         rows = cube.filter(F.col("level") == level).filter(all_of([F.col(k).isNotNull() for k in keys]))

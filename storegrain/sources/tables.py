@@ -11,7 +11,7 @@ from storegrain.operators.features import Scaler, scaler_from_table, scaler_tabl
 from storegrain.operators.mapping import nan_to_null, project, to_region_names, to_table_names
 from storegrain.operators.runs import run_list
 from storegrain.operators.upsert import upsert
-# Class lists up to this length are written into the description of a feature set.
+
 
 def _stamped(df: DataFrame, schema: T.StructType, run_id: str, stamp: str) -> DataFrame:
     known = project(nan_to_null(df), schema, leave_out=("pipeline_run_id", stamp))
@@ -63,47 +63,85 @@ def drop_old_runs(spark: SparkSession, path: str, keep: int, stamp: str) -> list
 
 # -- versioned tables -------------------------------------------------------
 
+#: Buckets of a new keyed table. One bucket is what a single key costs an upsert: choose it so that a bucket is 1 GB at most.
+BUCKETS = 32
+#: The bucket of rows without a key; they collide with nothing, so its folders only add up.
+KEYLESS = -1
+
+
 class VersionedTable:
-    """A keyed table kept as full versions; readers follow the newest finished one.
+    """A keyed table in hash buckets; an upsert rewrites the buckets that its batch touches and no others.
 
-    A version becomes visible when its row is appended to the version list,
-    after all its files are written, so a failed write changes nothing.
+    Each version has a folder with the buckets it wrote. The version list has a row for each of them, is appended in one file
+    after all data files are written, and so makes a version visible as a whole; a failed write changes nothing.
+    Folders that no reader needs any more stay until ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str):
-        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
 
-    def _listed(self) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_list")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema(schemas.VERSIONS).parquet(f"{self.root}/_list") if fs.exists(path) else None
+    def _path(self, path: str):
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> tuple[int, str | None]:
+    def _listed(self) -> DataFrame:
+        path, fs = self._path(f"{self.root}/_list")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], schemas.VERSIONS)
+        return self.spark.read.schema(schemas.VERSIONS).parquet(f"{self.root}/_list")
+
+    def _newest(self, version: int | None) -> list:
+        """One row for each bucket, and one for each folder of rows without a key: the folders of a version."""
         listed = self._listed()
-        if listed is None:
-            return 0, None
-        row = listed.agg(F.max(F.struct("version", "path"))).first()[0]
-        return (row["version"], row["path"]) if row else (0, None)
-
-    def read(self) -> DataFrame:
-        _, path = self.version()
-        if path is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(path)
-
-    def publish(self, df: DataFrame) -> DataFrame:
-        number, _ = self.version()
-        path = f"{self.root}/v{number + 1:08d}"
-        df.write.mode("overwrite").parquet(path)
-        # Kept as an expression over a range: the list is one row per version.
-        row = self.spark.range(1).select(
-            F.lit(number + 1).cast("bigint").alias("version"), F.lit(path).alias("path"),
-            F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("written_at"))
-        row.write.mode("append").parquet(f"{self.root}/_list")
-        return self.read()
+        listed = listed if version is None else listed.filter(F.col("version") <= version)
+        part = F.when(F.col("bucket") == KEYLESS, F.col("version"))
+        return listed.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("version", "path", "n_buckets")).alias("f")).select(
+            "bucket", "f.*").collect()
+
+    def version(self) -> int:
+        return self._listed().agg(F.max("version")).first()[0] or 0
+
+    def paths(self, version: int | None = None) -> list[str]:
+        return [r.path for r in self._newest(version)]
+
+    def _files(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or an earlier one that has not been vacuumed."""
+        return self._files(self.paths(version))
 
     def upsert(self, batch: DataFrame, order: list, now=None) -> DataFrame:
-        return self.publish(upsert(self.read(), batch, self.key, order, now))
+        """Merge ``batch``; it is read twice (its buckets, its rows), so hand over a stored one if it is costly."""
+        newest = self._newest(None)
+        buckets = newest[0].n_buckets if newest else self.buckets
+        bucket = F.coalesce(F.pmod(F.xxhash64(F.col(self.key).cast(self.schema[self.key].dataType)), F.lit(buckets)).cast("bigint"),
+                            F.lit(KEYLESS).cast("bigint"))
+        bucket = F.when(F.col(self.key).isNull(), F.lit(KEYLESS).cast("bigint")).otherwise(bucket)
+        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}  # one row for each bucket at most
+        if touched:
+            old = self._files([r.path for r in newest if r.bucket in touched - {KEYLESS}])
+            number = max((r.version for r in newest), default=0) + 1
+            folder = f"{self.root}/v{number:08d}"
+            merged = upsert(old, batch, self.key, order, now).withColumn("_bucket", bucket)
+            # keyless rows share a bucket, so they are spread by their content; others have a task for each bucket
+            spread = F.when(F.col("_bucket") == KEYLESS, F.xxhash64(*self.schema.names)).otherwise(F.col("_bucket"))
+            merged.repartition("_bucket", spread).write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+            stamp = datetime.now(timezone.utc)
+            rows = [(number, b, buckets, f"{folder}/_bucket={b}", stamp) for b in sorted(touched)]
+            self.spark.createDataFrame(rows, schemas.VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_list")
+        return self.read()
+
+    def vacuum(self) -> list[str]:
+        """Delete the bucket folders that the newest version does not use; earlier versions can then no longer be read."""
+        used = set(self.paths())
+        old = [r[0] for r in self._listed().select("path").distinct().collect() if r[0] not in used]
+        gone = []
+        for name in old:
+            path, fs = self._path(name)
+            if fs.delete(path, True):
+                gone.append(name)
+        return gone
 
 
 def upsert_stores(spark: SparkSession, root: str, df: DataFrame, order: list, now=None) -> DataFrame:

@@ -16,12 +16,14 @@ def store_page_stream(spark: SparkSession, path: str, files_per_batch: int = 100
 
 
 def stream_upsert(rows: DataFrame, root: str, checkpoint: str, order: list | None = None, now=None) -> StreamingQuery:
-    """Every micro-batch is merged into ``stores``; a repeated batch changes nothing but the version number."""
+    """Every micro-batch is merged into the buckets of ``stores`` it touches; a repeated batch changes nothing but the version number."""
     spark = rows.sparkSession
     order = [F.desc("page")] if order is None else order
 
     def merge(batch: DataFrame, _: int) -> None:
+        batch.persist()  # it is read for its buckets and for its rows
         upsert_stores(spark, root, batch, order, now)
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

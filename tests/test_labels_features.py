@@ -71,12 +71,19 @@ def test_long_class_lists_are_numbered_by_range(spark):
     assert short.exceptAll(long).isEmpty() and short.count() == long.count() == 3_001
 
 
-def test_large_class_tables_are_joined_by_shuffle(spark):
+def test_rows_are_read_once_however_long_class_lists_are(spark):
     df = spark.range(2_000).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('d', id) end as district")
     classes = features.fit_encoder(df)
-    a = features.encode(df, classes, small=True)
-    b = features.encode(df, classes, small=False)
-    assert a.exceptAll(b).isEmpty() and b.count() == 2_000
+    a = sorted(map(tuple, features.encode(df, classes).collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = df.withColumns({"gender": F.lit("M"), "education_level": F.lit("x")})
+        plan = features.encode(wide, features.fit_encoder(wide))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Range (0, 2000") == 1 and "Union" not in plan
+        assert sorted(map(tuple, features.encode(df, classes).collect())) == a and len(a) == 2_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_onehot_unseen_is_zero(spark):

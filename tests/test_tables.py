@@ -47,7 +47,40 @@ def test_versions(spark, tmp_path):
     tables.upsert_stores(spark, root, rows, [F.desc("store_name")])
     out = tables.upsert_stores(spark, root, spark.createDataFrame([("2", "c")], "biz_id string, store_name string"), [F.desc("store_name")])
     assert sorted((r.biz_id, r.store_name) for r in out.collect()) == [("1", "a"), ("2", "c")]
-    assert table.version()[0] == 2
+    assert table.version() == 2
+
+
+def test_upsert_writes_only_touched_buckets(spark, tmp_path):
+    root = str(tmp_path / "stores")
+    table = tables.VersionedTable(spark, root, schemas.STORES, "biz_id", buckets=8)
+    names = spark.range(200).selectExpr("cast(id as string) as biz_id", "concat('s', id) as store_name")
+    table.upsert(names.unionByName(names.limit(2).withColumn("biz_id", F.lit(None).cast("string"))), [F.desc("store_name")])
+    before = table.paths()
+    one = spark.createDataFrame([("7", "new"), ("7", "old")], "biz_id string, store_name string")
+    out = table.upsert(one, [F.asc("store_name")])
+    after = table.paths()
+    assert len(set(before) - set(after)) == 1 and len(set(after) - set(before)) == 1
+    assert out.count() == 202 and out.filter("biz_id is null").count() == 2
+    assert out.filter("biz_id = '7'").first().store_name == "new"
+    # rows without a key are appended, nothing else is touched
+    out = table.upsert(one.limit(1).withColumn("biz_id", F.lit(None).cast("string")), [F.asc("store_name")])
+    assert set(after) < set(table.paths()) and out.filter("biz_id is null").count() == 3
+    # another number of buckets does not matter once the table exists
+    again = tables.VersionedTable(spark, root, schemas.STORES, "biz_id", buckets=3)
+    assert again.upsert(one, [F.asc("store_name")]).count() == 203
+    assert table.read(1).count() == 202 and table.read(1).filter("biz_id = '7'").first().store_name == "s7"
+    assert again.upsert(one.limit(0), [F.asc("store_name")]).count() == 203
+
+
+def test_vacuum_removes_unreferenced_folders(spark, tmp_path):
+    root = str(tmp_path / "stores")
+    table = tables.VersionedTable(spark, root, schemas.STORES, "biz_id", buckets=4)
+    rows = spark.range(50).selectExpr("cast(id as string) as biz_id", "'a' as store_name")
+    for name in ("a", "b"):
+        table.upsert(rows.withColumn("store_name", F.lit(name)), [F.asc("store_name")])
+    gone = table.vacuum()
+    assert len(gone) == 4 and all("v00000001" in p for p in gone)
+    assert table.read().filter("store_name = 'b'").count() == 50 and table.vacuum() == []
 
 
 def test_runs_are_replaced_and_dropped(spark, tmp_path):
@@ -94,21 +127,19 @@ def test_run_life_cycle(spark, stamp):
     assert best == {"trees": "r1", "linear": "r3"}
 
 
-def test_hot_key_join_equals_plain_join(spark):
+def test_join_with_hot_and_null_keys(spark):
     left = spark.range(3_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('k', id % 500) end as k")
     right = spark.range(600).selectExpr("case when id = 0 then 'hot' else concat('k', id) end as k", "id * 2 as v")
-    plain = left.join(right, "k", "left")
-    split = joins.attach(left, right, "k", small=False)
-    assert split.count() == 3_000
-    assert plain.select("id", "k", "v").exceptAll(split.select("id", "k", "v")).isEmpty()
-    measured = joins.attach(left, right, "k", rows=10)
-    assert plain.select("id", "k", "v").exceptAll(measured.select("id", "k", "v")).isEmpty()
-
-
-def test_size_is_measured(spark):
-    size = joins.measure(spark.range(10).selectExpr("repeat('x', 100) as t"))
-    assert size.rows == 10 and size.text_bytes > 1_000
-    assert not joins.fits_broadcast(spark.range(10), rows=9)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    small = sorted(map(tuple, joins.attach(left, right, "k").select("id", "k", "v").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = joins.attach(left, right, "k").select("id", "k", "v")
+        assert "SortMergeJoin" in large._jdf.queryExecution().toString()
+        assert sorted(map(tuple, large.collect())) == small and len(small) == 3_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {v for _, k, v in small if k is None} == {None} and {v for _, k, v in small if k == "hot"} == {0}
 
 
 def test_last_write_limits_each_task(spark):
