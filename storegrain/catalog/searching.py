@@ -82,10 +82,20 @@ def cosine_topk(spark, folder):
 @query("ann_topk")
 def ann_topk(spark, folder):
     docs = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    model = search.fit_index(docs)
+    model = search.fit_index(docs, doc_id="vec_id")
     return search.nearest_approx(model, docs, stage(centroids(spark, folder), "centroids"), 5, doc_id="vec_id")
 
 
+@query("ann_recall", """SELECT count(*) * 5 AS n_exact, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL""")
+def ann_recall(spark, folder):
+    """Recall of the index against exact search, for every vector whose id is divisible by 50."""
+    docs = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = docs.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    found = search.nearest_approx(search.fit_index(docs, doc_id="vec_id"), docs, asked, 5, doc_id="vec_id")
+    exact = search.nearest(docs, asked, 5, doc_id="vec_id")
+    return search.recall(found, exact, "vec_id").select("n_exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def contexts(spark, folder) -> DataFrame:
     """Search results for each distinct pair of district and category among the requests."""
     docs = search.store_documents(stores(spark, folder)).select("id", "text")
@@ -93,7 +103,7 @@ def contexts(spark, folder) -> DataFrame:
     asked = view(spark, folder, REQUESTS_SQL).select(
         F.concat_ws(" ", "district", "business_category").alias("query_id")).distinct()
     asked = stage(search.embed_with_model(asked.withColumn("text", F.col("query_id")), model), "questions")
-    found = search.nearest(stage(search.embed_with_model(docs, model), "index"), asked, 5)
+    found = stage(search.nearest(stage(search.embed_with_model(docs, model), "index"), asked, 5), "found")
     return search.search_context(found, docs)
 
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, Normalizer, RegexTokenizer
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from storegrain.functions.columns import blank_to_null, first_present, lookup
 from storegrain.operators.ranking import top_k
 from storegrain.schemas import STATUS_NAMES
+from storegrain.session import stage
 
 # The functions that run in tasks travel with the job; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +45,10 @@ QUERY_BLOCK = 2_000
 DOC_CHUNK = 20_000
 # Similarities held at a time, 32 MB of doubles.
 MATRIX_CELLS = 4_000_000
+# The index: rows it is fitted on (about), cells at most; queries (at most) and neighbours its number of probes is measured on, and the
+# share of them that must be found.
+FIT_ROWS, MAX_CELLS = 50_000, 1_024
+TUNING_QUERIES, TUNING_K, RECALL = 200, 5, 0.95
 
 
 def _text(df: DataFrame, candidates) -> Column:
@@ -118,9 +125,14 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
 # -- exact search -----------------------------------------------------------
 
 def _unit_rows(vectors, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors as a matrix and the mask of the usable inputs; NaN, infinite or null elements make a vector unusable."""
+    """Unit vectors as a matrix and the mask of the usable inputs.
+
+    Missing and empty vectors and those with NaN, infinite or null elements are unusable; one of another width is an error.
+    """
     width = width or next((len(v) for v in vectors if v is not None and len(v)), 0)
-    usable = np.array([v is not None and len(v) == width and width > 0 for v in vectors], dtype=bool)
+    usable = np.array([v is not None and len(v) > 0 for v in vectors], dtype=bool)
+    if any(len(v) != width for v, ok in zip(vectors, usable) if ok):
+        raise ValueError("vectors of different widths")
     if not usable.any():
         return np.empty((0, width)), usable
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v, ok in zip(vectors, usable) if ok])
@@ -197,6 +209,18 @@ def _broadcast_top_k(docs, queries, k, doc_id, query_id, vector, schema) -> Data
     return docs.mapInPandas(run, schema)
 
 
+def _matcher(schema: T.StructType, k: int, query_id: str, doc_id: str, vector: str):
+    """The best k of one chunk of documents for each query of one block."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        matrix, asked = _unit_rows(list(right[vector])) if len(right) else (np.empty((0, 0)), None)
+        unit, ok = _unit_rows(list(left[vector]), matrix.shape[1]) if len(left) and len(matrix) else (matrix, None)
+        if not len(matrix) or not len(unit):
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
+        return _matches(right[query_id].to_numpy()[asked], matrix, left[doc_id].to_numpy()[ok], unit, k, query_id, doc_id)
+
+    return run
+
+
 def _grid_top_k(docs, queries, n_queries, k, doc_id, query_id, vector, schema, block, chunk) -> DataFrame:
     blocks = -(-n_queries // block) * 2
     chunks = max(1, -(-docs.count() // chunk) * 2)
@@ -210,55 +234,137 @@ def _grid_top_k(docs, queries, n_queries, k, doc_id, query_id, vector, schema, b
     left = docs.withColumn("_chunk", spread(doc_id, chunks)).withColumn("_block", every(blocks))
     right = queries.withColumn("_block", spread(query_id, blocks)).withColumn("_chunk", every(chunks))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        matrix, asked = _unit_rows(list(right[vector])) if len(right) else (np.empty((0, 0)), None)
-        unit, ok = _unit_rows(list(left[vector]), matrix.shape[1]) if len(left) and len(matrix) else (matrix, None)
-        if not len(matrix) or not len(unit):
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        return _matches(right[query_id].to_numpy()[asked], matrix, left[doc_id].to_numpy()[ok], unit, k, query_id, doc_id)
-
     grid = ["_chunk", "_block"]
-    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(run, schema)
+    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(_matcher(schema, k, query_id, doc_id, vector), schema)
 
 
 # -- approximate search -----------------------------------------------------
 
-def _unit_vectors(df: DataFrame, vector: str) -> DataFrame:
-    """Unit vectors; rows without a direction are left out."""
+def _unit_vectors(df: DataFrame, vector: str, width: int | None = None) -> DataFrame:
+    """Unit vectors as ``_unit``; rows without a direction are left out, one of another width than ``width`` is an error."""
     raw = df.withColumn("_raw", array_to_vector(F.transform(F.col(vector), lambda x: x.cast("double"))))
     squares = F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return Normalizer(inputCol="_raw", outputCol="_unit").transform(raw.filter(squares > 0)).drop("_raw")
+    fits = F.lit(True) if width is None else F.when(F.size(vector) == width, True).otherwise(
+        F.raise_error(F.lit("vectors of different widths")).cast("boolean"))
+    # NaN counts as larger than infinity
+    usable = F.when((squares > 0) & (squares < float("inf")), fits).otherwise(False)
+    return Normalizer(inputCol="_raw", outputCol="_unit").transform(raw.filter(usable)).drop("_raw")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Cells of unit vectors and the number of cells to look at for each query."""
+
+    model: KMeansModel
+    probes: int
+
+    @property
+    def centres(self) -> np.ndarray:
+        return _unit_rows(self.model.clusterCenters())[0]
+
+
+def fit_index(docs: DataFrame, vector: str = "embedding", doc_id: str = "id", cells: int | None = None,
+              fit_rows: int = FIT_ROWS, recall_target: float = RECALL, seed: int = 42) -> Index | None:
+    """Centres of cells for unit vectors (the square root of the row count, at most ``MAX_CELLS``).
+
+    They are fitted on about ``fit_rows`` rows, chosen by the hash of their id; every row is put into a cell later. The number of probes
+    is measured on the same sample: as many nearest cells as hold ``recall_target`` of the true neighbours of some sampled vectors
+    (in the whole table neighbours are nearer, so that no more are missed there). None if no row has a direction.
+    """
+    total = docs.count()
+    share = min(1.0, fit_rows / max(1, total))
+    chosen = docs.filter(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else docs
+    sample = stage(_unit_vectors(chosen, vector).select(F.col(doc_id).alias("id"), F.col(vector).alias("vector"), "_unit"), "index-sample")
+    if sample.isEmpty():
+        return None
+    cells = cells or min(MAX_CELLS, max(2, round(total ** 0.5)))
+    model = KMeans(k=cells, featuresCol="_unit", predictionCol="_cell", distanceMeasure="cosine", maxIter=10, seed=seed).fit(sample)
+    return Index(model, _measured_probes(model, sample, recall_target))
+
+
+def _measured_probes(model: KMeansModel, sample: DataFrame, target: float) -> int:
+    asked = sample.orderBy(F.xxhash64(F.lit("tuning"), "id"), "id").limit(TUNING_QUERIES).select(F.col("id").alias("query_id"), "vector")
+    asked = stage(asked, "tuning-queries")
+    near = nearest(sample.select("id", "vector"), asked, TUNING_K + 1, vector="vector").filter("id != query_id")
+    cells = {r[0]: r[1] for r in asked.collect()}  # at most TUNING_QUERIES rows, and TUNING_K + 1 for each below
+    pairs = near.join(model.transform(sample).select("id", "_cell"), "id").select("query_id", "_cell").collect()
+    if not pairs:
+        return len(model.clusterCenters())
+    centres = _unit_rows(model.clusterCenters())[0]
+    place = {q: np.argsort(np.argsort(-(centres @ np.asarray(v, dtype=np.float64)), kind="stable")) for q, v in cells.items()}
+    needed = sorted(int(place[r["query_id"]][r["_cell"]]) + 1 for r in pairs)
+    return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]
+
+
+def _probes(queries: DataFrame, centres: np.ndarray, query_id: str, vector: str, probes: int) -> DataFrame:
+    """``query_id, vector, _cell``: each query once for each of the cells with the nearest centres."""
+    schema = T.StructType([queries.schema[query_id], queries.schema[vector], T.StructField("_cells", T.ArrayType(T.IntegerType()))])
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            unit, ok = _unit_rows(list(frame[vector]), centres.shape[1])
+            nearest_cells = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
+            if len(unit):
+                yield frame[ok].assign(_cells=list(nearest_cells.astype(np.int32)))
 
-def fit_index(docs: DataFrame, vector: str = "embedding", bucket_length: float = 0.5, tables: int = 4, seed: int = 42):
-    """A locality-sensitive hash model over unit vectors."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    return lsh.fit(_unit_vectors(docs, vector))
+    return queries.select(query_id, vector).mapInPandas(run, schema).select(query_id, vector, F.explode("_cells").alias("_cell"))
 
 
-def nearest_approx(index, docs: DataFrame, queries: DataFrame, k: int = 5, *, max_distance: float = 1.4,
-                   doc_id: str = "id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """Top-k among documents that share a hash bucket with the query.
+def nearest_approx(index: Index | None, docs: DataFrame, queries: DataFrame, k: int = 5, *, probes: int | None = None,
+                   doc_id: str = "id", query_id: str = "query_id", vector: str = "embedding",
+                   block: int = QUERY_BLOCK, chunk: int = DOC_CHUNK) -> DataFrame:
+    """Top-k by cosine among the documents in the ``probes`` cells nearest to a query (as many as the index has measured,
+    if not given): ``(query_id, id, similarity, rank)``.
 
-    On unit vectors the squared Euclidean distance is twice the cosine distance. Of documents
-    with one and the same vector only the k with the smallest ids can be among the best,
-    and equal queries have equal answers, so copies are taken out before buckets are compared.
+    Cells are cut into chunks of documents and blocks of queries by measured counts, so a crowded cell is many
+    matrix products of bounded size and no row is made for a pair. A query that finds fewer than ``k`` documents in its cells is
+    answered by exact search. Ids must be unique on both sides.
     """
-    docs = top_k(docs.select(doc_id, vector), [vector], [F.col(doc_id)], k).drop("rank")
-    queries = queries.select(query_id, vector)
-    asked = queries.groupBy(vector).agg(F.min(query_id).alias("_asked"))
-    left, right = _unit_vectors(docs, vector), _unit_vectors(asked, vector)
-    pairs = index.approxSimilarityJoin(left, right, max_distance, "_distance").select(
-        F.col("datasetB._asked").alias("_asked"), F.col(f"datasetA.{doc_id}").alias(doc_id),
-        (1 - F.col("_distance") * F.col("_distance") / 2).alias("similarity"))
-    best = top_k(pairs, ["_asked"], [F.round("similarity", 9).desc(), F.col(doc_id)], k)
-    return queries.join(asked, vector).join(best, "_asked").select(query_id, doc_id, "similarity", "rank")
+    if index is None:
+        return nearest(docs, queries, k, doc_id=doc_id, query_id=query_id, vector=vector)
+    schema = T.StructType([queries.schema[query_id], docs.schema[doc_id], T.StructField("similarity", T.DoubleType())])
+    docs, queries = docs.select(doc_id, vector), queries.select(query_id, vector)
+    centres = index.centres
+    placed = stage(index.model.transform(_unit_vectors(docs, vector, centres.shape[1])).select(doc_id, vector, "_cell"), "cells")
+    asked = stage(_probes(queries, centres, query_id, vector, probes or index.probes), "probes")
+
+    # one row for each cell, at most as many as there are centres
+    chunks = placed.groupBy("_cell").agg(F.ceil(F.count("*") / chunk).alias("_chunks"))
+    blocks = asked.groupBy("_cell").agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    sizes = F.broadcast(stage(chunks.join(blocks, "_cell"), "cell-sizes"))
+
+    def spread(name: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.col(n))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    left = placed.join(sizes, "_cell").withColumn("_chunk", spread(doc_id, "_chunks")).withColumn("_block", every("_blocks"))
+    right = asked.join(sizes, "_cell").withColumn("_block", spread(query_id, "_blocks")).withColumn("_chunk", every("_chunks"))
+    grid = ["_cell", "_chunk", "_block"]
+    matched = left.select(doc_id, vector, *grid).groupBy(*grid).cogroup(right.select(query_id, vector, *grid).groupBy(*grid))
+    found = stage(matched.applyInPandas(_matcher(schema, k, query_id, doc_id, vector), schema), "found")
+
+    full = found.groupBy(query_id).agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(query_id)
+    rest = stage(queries.join(full, query_id, "left_anti"), "short-queries")
+    if not rest.isEmpty():
+        exact = nearest(docs, rest, k, doc_id=doc_id, query_id=query_id, vector=vector).drop("rank")
+        found = found.join(full, query_id, "left_semi").unionByName(exact)
+    return top_k(found, [query_id], [F.round("similarity", 9).desc(), F.col(doc_id)], k)
+
+
+def recall(approximate: DataFrame, exact: DataFrame, doc_id: str = "id", query_id: str = "query_id") -> DataFrame:
+    """One row: how many of the exact results the approximate search has."""
+    hit = approximate.select(query_id, doc_id, F.lit(1).alias("_hit"))
+    return exact.select(query_id, doc_id).join(hit, [query_id, doc_id], "left").agg(
+        F.count("*").alias("n_exact"), F.count("_hit").alias("n_found"), (F.count("_hit") / F.count("*")).alias("recall"))
 
 
 def search_context(found: DataFrame, documents: DataFrame, *, doc_id: str = "id", query_id: str = "query_id") -> DataFrame:
     """One numbered text per query from at most k results."""
-    rows = found.join(documents.select(doc_id, "text"), doc_id)
+    # k rows for each query: the hits are broadcast where they are few, so that the texts need no shuffle
+    few = found.count() <= QUERY_BLOCK
+    rows = documents.select(doc_id, "text").join(F.broadcast(found) if few else found, doc_id)
     line = F.format_string("Case %d (similarity %.2f)\n%s", F.col("rank"), F.col("similarity"), F.col("text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
     return rows.groupBy(query_id).agg(F.array_join(lines, "\n\n").alias("context"))

@@ -115,9 +115,8 @@ class VersionedTable:
         """Merge ``batch``; it is read twice (its buckets, its rows), so hand over a stored one if it is costly."""
         newest = self._newest(None)
         buckets = newest[0].n_buckets if newest else self.buckets
-        bucket = F.coalesce(F.pmod(F.xxhash64(F.col(self.key).cast(self.schema[self.key].dataType)), F.lit(buckets)).cast("bigint"),
-                            F.lit(KEYLESS).cast("bigint"))
-        bucket = F.when(F.col(self.key).isNull(), F.lit(KEYLESS).cast("bigint")).otherwise(bucket)
+        key = F.col(self.key).cast(self.schema[self.key].dataType)
+        bucket = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(KEYLESS).cast("bigint")
         touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}  # one row for each bucket at most
         if touched:
             old = self._files([r.path for r in newest if r.bucket in touched - {KEYLESS}])

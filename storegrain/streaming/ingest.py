@@ -22,8 +22,10 @@ def stream_upsert(rows: DataFrame, root: str, checkpoint: str, order: list | Non
 
     def merge(batch: DataFrame, _: int) -> None:
         batch.persist()  # it is read for its buckets and for its rows
-        upsert_stores(spark, root, batch, order, now)
-        batch.unpersist()
+        try:
+            upsert_stores(spark, root, batch, order, now)
+        finally:
+            batch.unpersist()
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -59,6 +59,50 @@ def test_approximate_search_finds_itself(spark):
     assert got.filter("abs(similarity - 1) > 1e-6").isEmpty()
 
 
+@pytest.mark.parametrize("block, chunk", [(2_000, 20_000), (3, 11)])
+def test_approximate_search_of_all_cells_is_exact(spark, block, chunk):
+    docs, queries = vectors(spark, 300, 4, "id"), vectors(spark, 20, 5, "query_id")
+    # a third of the rows is one vector
+    docs = docs.unionByName(docs.filter("id = 3").withColumn("id", F.explode(F.sequence(F.lit(400), F.lit(549))))).repartition(5)
+    index = search.fit_index(docs, cells=12)
+    got = search.nearest_approx(index, docs, queries, 4, probes=12, block=block, chunk=chunk)
+    assert found(got) == brute(docs, queries, 4)
+
+
+def test_recall_on_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(60, 16))
+    points = middle[rng.integers(0, 60, 6_000)] + 0.3 * rng.normal(size=(6_000, 16))
+    docs = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id bigint, embedding array<float>")
+    asked = docs.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    index = search.fit_index(docs, fit_rows=2_000)
+    row = search.recall(search.nearest_approx(index, docs, asked, 5), search.nearest(docs, asked, 5)).first()
+    assert row.n_exact == 600 and row.recall >= 0.9
+
+
+def test_short_cells_fall_back_to_exact_search(spark):
+    docs, queries = vectors(spark, 40, 7, "id"), vectors(spark, 6, 8, "query_id")
+    index = search.fit_index(docs, cells=20)
+    got = found(search.nearest_approx(index, docs, queries, 30, probes=1))
+    assert got == brute(docs, queries, 30)
+    assert all(len(x) == 40 for x in found(search.nearest_approx(index, docs, queries, 50)).values())
+
+
+def test_unusable_vectors_and_widths(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [None, 1.0]), (4, [inf, 0.0]), (5, None), (6, []), (7, [0.0, 0.0]), (8, [1.0, 1.0])]
+    docs = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [nan, 0.0])], "query_id bigint, embedding array<float>")
+    assert found(search.nearest(docs, asked, 5)) == {1: [1, 8]}
+    assert found(search.nearest_approx(search.fit_index(docs), docs, asked, 2)) == {1: [1, 8]}
+    none = docs.filter("id in (5, 6, 7)")
+    assert search.fit_index(none) is None and search.nearest_approx(None, none, asked, 5).isEmpty()
+    wide = docs.unionByName(spark.createDataFrame([(9, [1.0, 2.0, 3.0])], docs.schema))
+    for run in (lambda: search.nearest(wide, asked, 5), lambda: search.nearest_approx(search.fit_index(docs), wide, asked, 5)):
+        with pytest.raises(Exception, match="different widths"):
+            run().collect()
+
+
 def test_documents_skip_empty_parts(spark):
     rows = [("1", None, "food", None, "A-dong", None, "", "01"), ("2", "N", "", "cafe", None, "G", "nan", "09")]
     df = spark.createDataFrame(rows, "biz_id string, store_name string, category_large string, category_mid string, adong_name string, "
