@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: n-best segmentation by a backward A* search over the piece lattice.
 
 The pieces and scores come from a model file of the sentencepiece library (its path is a parameter). A text is cut where no
-piece of the vocabulary can span two characters. A forward Viterbi pass over the lattice of a unit gives its best segmentation and the
+piece of the vocabulary can span two characters (letters of one script and signs are in different groups, say). A forward Viterbi pass over the lattice of a unit gives its best segmentation and the
 score of the second best. The n best of a text can differ from its best only in the n - 1 units that lose least by
 their second; in these an A* search from the end to the start, with the forward scores as exact heuristics, meets the segmentations
 in falling order of their scores. Units repeat, so a task keeps those it has solved (at most twice ``KEPT_UNITS``).
@@ -27,13 +27,32 @@ from storegrain.session import ship
 SPACE = "▁"
 #: Stands for a "▁" of the text itself; it cannot occur in valid UTF-8.
 OWN = "\ud800"
-KEPT_UNITS = 120_000
+KEPT_UNITS = 200_000
 #: What an unknown character costs below the least score of a piece, as in the library's lattice.
 UNKNOWN = 10.0
 N_BEST = 2
 NOTHING = -float("inf")
 
 
+def joined_characters(pieces) -> list[list[str]]:
+    """Groups of characters, the largest first: two that are neighbours in a piece are in one group; no piece spans two groups."""
+    home: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while home.setdefault(c, c) != c:
+            c = home[c]
+        return c
+
+    for piece in pieces:
+        text = piece.lstrip(SPACE)
+        for c in text if len(piece) > 1 else "":
+            home[find(c)] = find(text[0])
+    groups: dict[str, list[str]] = {}
+    for c in sorted(home):
+        groups.setdefault(find(c), []).append(c)
+    return sorted(groups.values(), key=lambda g: (-len(g), g))
+
+
 class Vocabulary:
     def __init__(self, model_file: str):
         import sentencepiece
@@ -53,32 +72,39 @@ class Vocabulary:
         self.decoded = out
         self.longest = max(map(len, self.ids))
         self.unknown = min(s for s in self.scores.values() if s > -1e8) - UNKNOWN
-        joined = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             self.units = re.compile(r"(?s).+")  # a piece runs over the start of a word: nothing can be cut
         else:
-            inside = "".join(map(re.escape, sorted(joined)))
-            self.units = re.compile(rf"(?s){SPACE}*[{inside}]+|{SPACE}+|.")
-        # score of every piece, None for a beginning that is no piece itself
-        self.begins = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))))
-        self.begins.update(self.scores)
+            runs = "|".join(f"[{''.join(map(re.escape, group))}]+" for group in joined_characters(self.ids))
+            self.units = re.compile(rf"(?s){SPACE}*(?:{runs})|{SPACE}+|." if runs else rf"(?s){SPACE}+|.")
+        # by character: score of the piece that ends there (None: no piece) and what may follow
+        self.tree: dict = {}
+        for piece, score in self.scores.items():
+            follow = self.tree
+            for c in piece[:-1]:
+                follow = follow.setdefault(c, [None, {}])[1]
+            follow.setdefault(piece[-1], [None, {}])[0] = score
         self.solved: dict = {}
         self.older: dict = {}
 
     def viterbi(self, unit: str) -> tuple[float, bytes, float]:
         """Best score of a unit, its ids as bytes, and what the second best loses (infinite if there is none)."""
-        size, get, scores, ids = len(unit), self.begins.get, self.scores, self.ids
+        size, tree, ids = len(unit), self.tree, self.ids
         best, second, back = [0.0] + [NOTHING] * size, [NOTHING] * (size + 1), [0] * (size + 1)
         for lo in range(size):
             one, two = best[lo], second[lo]
-            if unit[lo] not in scores:  # a character that is no piece
+            step = tree.get(unit[lo])
+            if step is None or step[0] is None:  # a character that is no piece
                 best[lo + 1], second[lo + 1], back[lo + 1] = max(
                     (best[lo + 1], max(second[lo + 1], one + self.unknown), back[lo + 1]),
                     (one + self.unknown, max(best[lo + 1], two + self.unknown), lo))
-            for hi in range(lo + 1, size + 1):
-                score = get(unit[lo:hi], NOTHING)
-                if score == NOTHING:  # no piece begins like this
+            hi, follow = lo, tree
+            for c in unit[lo:]:
+                step = follow.get(c)
+                if step is None:  # no piece begins like this
                     break
+                score, follow = step
+                hi += 1
                 if score is not None:
                     new = one + score
                     if new > best[hi]:
@@ -87,6 +113,8 @@ class Vocabulary:
                         best[hi], back[hi] = new, lo
                     elif new > second[hi]:
                         second[hi] = new
+                if not follow:
+                    break
         found, hi = [], size
         while hi:
             lo = back[hi]
