@@ -129,7 +129,9 @@ class VersionedTable:
             stamp = datetime.now(timezone.utc)
             rows = [(number, b, buckets, f"{folder}/_bucket={b}", stamp) for b in sorted(touched)]
             self.spark.createDataFrame(rows, schemas.VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_list")
-        return self.read()
+            kept = [r.path for r in newest if r.bucket not in touched - {KEYLESS}]
+            return self._files(kept + [r[3] for r in rows])
+        return self._files([r.path for r in newest])
 
     def vacuum(self) -> list[str]:
         """Delete the bucket folders that the newest version does not use; earlier versions can then no longer be read."""
