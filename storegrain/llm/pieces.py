@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding: n-best segmentation by a backward A* search over the piece lattice.
 
 The pieces and scores come from a model file of the sentencepiece library (its path is a parameter). A text is cut where no
-piece of the vocabulary can span two characters (letters of one script and signs are in different groups, say). A forward Viterbi pass over the lattice of a unit gives its best segmentation and the
-score of the second best. The n best of a text can differ from its best only in the n - 1 units that lose least by
-their second; in these an A* search from the end to the start, with the forward scores as exact heuristics, meets the segmentations
-in falling order of their scores. Units repeat, so a task keeps those it has solved (at most twice ``KEPT_UNITS``).
+piece of the vocabulary can span two characters (letters of one script and signs are in different groups, say). In every unit a
+forward Viterbi pass over its lattice gives the best score up to each place, and an A* search from the end to the start, with
+these scores as exact heuristics, meets the n best segmentations in falling order of their scores. The n best of a text are put together
+from those of its units; they can differ from its best only in the n - 1 units that lose least by their second.
+Units repeat, so a task keeps those it has solved (at most twice ``KEPT_UNITS``).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import heapq
 import re
 from array import array
 from functools import lru_cache
-from itertools import count
+from heapq import heappop, heappush, heappushpop
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ OWN = "\ud800"
 KEPT_UNITS = 200_000
 #: What an unknown character costs below the least score of a piece, as in the library's lattice.
 UNKNOWN = 10.0
-N_BEST = 2
+N_BEST = 3
 NOTHING = -float("inf")
 
 
@@ -86,104 +87,111 @@ class Vocabulary:
             follow.setdefault(piece[-1], [None, {}])[0] = score
         self.solved: dict = {}
         self.older: dict = {}
+        self.kept_for = 0
 
-    def viterbi(self, unit: str) -> tuple[float, bytes, float]:
-        """Best score of a unit, its ids as bytes, and what the second best loses (infinite if there is none)."""
-        size, tree, ids = len(unit), self.tree, self.ids
-        best, second, back = [0.0] + [NOTHING] * size, [NOTHING] * (size + 1), [0] * (size + 1)
+    def viterbi(self, unit: str) -> tuple[float, list[float], list[list[tuple[int, float]]]]:
+        """Best score of a unit, the best score up to each place in it, and the pieces that end there: start, score."""
+        size, tree = len(unit), self.tree
+        best, edges = [0.0] + [NOTHING] * size, [[] for _ in range(size + 1)]
         for lo in range(size):
-            one, two = best[lo], second[lo]
-            step = tree.get(unit[lo])
+            one, step = best[lo], tree.get(unit[lo])
             if step is None or step[0] is None:  # a character that is no piece
-                best[lo + 1], second[lo + 1], back[lo + 1] = max(
-                    (best[lo + 1], max(second[lo + 1], one + self.unknown), back[lo + 1]),
-                    (one + self.unknown, max(best[lo + 1], two + self.unknown), lo))
+                edges[lo + 1].append((lo, self.unknown))
+                if one + self.unknown > best[lo + 1]:
+                    best[lo + 1] = one + self.unknown
             hi, follow = lo, tree
-            for c in unit[lo:]:
+            for c in unit[lo: lo + self.longest]:
                 step = follow.get(c)
                 if step is None:  # no piece begins like this
                     break
                 score, follow = step
                 hi += 1
                 if score is not None:
-                    new = one + score
-                    if new > best[hi]:
-                        old = best[hi]
-                        second[hi] = old if old > two + score else two + score
-                        best[hi], back[hi] = new, lo
-                    elif new > second[hi]:
-                        second[hi] = new
+                    edges[hi].append((lo, score))
+                    if one + score > best[hi]:
+                        best[hi] = one + score
                 if not follow:
                     break
-        found, hi = [], size
-        while hi:
-            lo = back[hi]
-            one = ids.get(unit[lo:hi])
-            found += [one] if one is not None else self.piece_ids(unit[lo:hi])[::-1]
-            hi = lo
-        return best[size], array("i", found[::-1]).tobytes(), best[size] - second[size]
+        return best[size], best, edges
 
     def piece_ids(self, piece: str) -> tuple:
         """The id of a piece, or those of the bytes of a character that is none."""
         known = self.ids.get(piece)
         return (known,) if known is not None else tuple(self.bytes[b] for b in (SPACE if piece == OWN else piece).encode())
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple]]]:
-        """For each end in the unit the pieces that end there: start, score, ids."""
-        out = [[] for _ in range(len(unit) + 1)]
-        for lo in range(len(unit)):
-            for hi in range(lo + 1, min(len(unit), lo + self.longest) + 1):
-                piece = unit[lo:hi]
-                if piece in self.ids:
-                    out[hi].append((lo, self.scores[piece], self.piece_ids(piece)))
-            if unit[lo] not in self.ids:
-                out[lo + 1].append((lo, self.unknown, self.piece_ids(unit[lo])))
-        return out
-
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple]]:
-        """The ``n`` best segmentations of a unit (score, ids), best first; equal ones in a fixed order."""
-        edges = self.edges(unit)
-        best = [0.0] + [NOTHING] * len(unit)
-        for end in range(1, len(unit) + 1):
-            best[end] = max((best[lo] + score for lo, score, _ in edges[end]), default=NOTHING)
-        found, turn = [], count(0, -1)  # of equal sums the latest first, which goes straight to the start
-        agenda = [(-best[-1], next(turn), 0.0, len(unit), None)]
+        """The ``n`` best segmentations of a unit (score, ids), best first; equal ones in a fixed order.
+
+        A* from the end to the start: what is behind plus the best score up to a place is the exact total, so the states come in the
+        order of what they lead to. The best way on is followed at once if nothing on the agenda is better.
+        """
+        _, best, edges = self.viterbi(unit)
+        found, turn = [], 0
+        agenda = [(-best[-1], 0, 0.0, len(unit), None)]
         while agenda and len(found) < n:
-            total, _, behind, end, path = heapq.heappop(agenda)
-            if end == 0:
-                ids = []
-                while path:
-                    ids += path[0]
-                    path = path[1]
-                found.append((-total, tuple(ids)))
-                continue
-            for lo, score, ids in edges[end]:
-                heapq.heappush(agenda, (-(best[lo] + score + behind), next(turn), score + behind, lo, (ids, path)))
+            total, _, behind, end, path = heappop(agenda)
+            while end:
+                ways, on = edges[end], None
+                if len(ways) == 1:
+                    (lo, score), = ways
+                    behind, end, path = score + behind, lo, (lo, end, path)
+                    continue
+                for lo, score in reversed(ways):
+                    turn -= 1  # of equal sums the latest first, which goes straight to the start with the longest pieces
+                    state = (-(best[lo] + score + behind), turn, score + behind, lo, (lo, end, path))
+                    if on is None:
+                        on = state
+                    elif state < on:
+                        heappush(agenda, on)
+                        on = state
+                    else:
+                        heappush(agenda, state)
+                total, _, behind, end, path = on if not agenda or on < agenda[0] else heappushpop(agenda, on)
+            ids = ()
+            while path:
+                lo, hi, path = path
+                ids += self.piece_ids(unit[lo:hi])
+            found.append((-total, ids))
         return found
 
-    def unit(self, unit: str) -> tuple[float, bytes, float]:
-        """The result of ``viterbi``, kept for the next time; units that are not met again go when the store is full."""
-        known = self.older.get(unit) or self.viterbi(unit)
+    def unit(self, unit: str, n: int) -> tuple:
+        """Score and ids of the best segmentation of a unit, then what each further one of the ``n`` best loses and its ids (as bytes).
+
+        Kept for the next time; units that are not met again go when the store is full. If there is no second, its loss is infinite.
+        """
+        known = self.older.get(unit)
+        if known is None:
+            (best, ids), *others = self.n_best(unit, n)
+            known = (best, array("i", ids).tobytes())
+            for score, ids in others:
+                known += (best - score, array("i", ids).tobytes())
+            if not others:
+                known += (-NOTHING,)
         if len(self.solved) >= KEPT_UNITS:
             self.older, self.solved = self.solved, {}
         self.solved[unit] = known
         return known
 
-    def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, dict]]]:
-        """Ids of the best segmentation as bytes, and the ``n`` best scores, each with the ids of the units that differ from the best."""
+    def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, bytes]]]:
+        """Ids of the best segmentation as bytes, and score and ids of each of the ``n`` best, best first."""
+        if n != self.kept_for:
+            self.solved, self.older, self.kept_for = {}, {}, n
         # the library puts a space before a text
         units = self.units.findall(SPACE + text.replace(SPACE, OWN).replace(" ", SPACE)) if text else []
-        solved = [self.solved.get(u) or self.unit(u) for u in units]
-        top = sum([s[0] for s in solved])
+        solved = [self.solved.get(u) or self.unit(u, n) for u in units]
+        top, ids = sum([s[0] for s in solved]), [s[1] for s in solved]
         ranked = [(0.0, {})]
         for i in heapq.nsmallest(n - 1, range(len(solved)), key=[s[2] for s in solved].__getitem__):
-            best, raw, _ = solved[i]
-            # of segmentations with the best score the one that is written counts as the best
-            others = [f for f in self.n_best(units[i], n) if np.array(f[1], np.int32).tobytes() != raw][: n - 1]
-            options = [(0.0, {})] + [(best - score, {i: ids}) for score, ids in others]
+            options = [(0.0, {}), *((loss, {i: raw}) for loss, raw in zip(solved[i][2::2], solved[i][3::2]))]
             ranked = heapq.nsmallest(n, [(loss + more, changed | change) for loss, changed in ranked for more, change in options],
                                      key=lambda x: x[0])
-        return b"".join([s[1] for s in solved]), [(top - loss, changed) for loss, changed in ranked]
+        out = []
+        for loss, changed in ranked:
+            parts = ids.copy() if changed else ids
+            for i, raw in changed.items():
+                parts[i] = raw
+            out.append((top - loss, b"".join(parts)))
+        return out[0][1], out
 
     def decode(self, ids) -> str:
         """The text of a list of ids; the space that ``encode`` puts first goes. Unknown and control ids are nothing."""
@@ -202,29 +210,39 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-ENCODED = "n_pieces long, piece_ids array<int>, scores array<double>"
+ENCODED = "n_pieces long, piece_ids array<int>, scores array<double>, other_ids array<array<int>>"
+
+
+def _id_lists(raw: list[bytes | None]) -> pa.ListArray:
+    """Lists of ids from their bytes."""
+    edges = np.cumsum([0, *(len(x or b"") // 4 for x in raw)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), np.frombuffer(b"".join(x or b"" for x in raw), np.int32),
+                                    mask=pa.array([x is None for x in raw], pa.bool_()))
 
 
 def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", n_best: int = N_BEST) -> DataFrame:
-    """``docs`` with ``piece_ids`` of the best segmentation, their number and the ``n_best`` best ``scores``, best first.
+    """``docs`` with ``piece_ids`` of the best segmentation, their number, the ``n_best`` best ``scores``, best first, and ``other_ids``: the
+    ids of the segmentations of the second and further scores.
 
-    A character that is no piece is written as its bytes. A null text has null ids, an empty one no ids; both have the number 0, and no score but
-    that of nothing (0). Columns with these names are replaced, others stay; rows are worked on one by one; an empty table stays empty.
-    Fewer scores than ``n_best`` mean that there are no more segmentations.
+    A character that is no piece is written as its bytes. A null text has null ids, an empty one no ids; both have the number 0, no score but
+    that of nothing (0) and no other ids. Columns with these names are replaced, others stay; rows are worked on one by one; an empty table
+    stays empty. Fewer scores than ``n_best`` mean that there are no more segmentations.
     """
     def work():
         known = vocabulary(model_file)
 
         def step(column):
-            ids, scores = [], []
+            ids, scores, others = [], [], []
             for text in column.to_pylist():
                 raw, ranked = known.encode(text or "", n_best)
                 ids.append(raw if text is not None else None)
                 scores.append([s for s, _ in ranked])
-            edges = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), np.frombuffer(b"".join(x or b"" for x in ids), np.int32),
-                                             mask=pa.array([x is None for x in ids]))
-            return [pa.array(np.diff(edges), pa.int64()), lists, pa.array(scores, pa.list_(pa.float64()))]
+                others.append([x for _, x in ranked[1:]])
+            lists = _id_lists(ids)
+            rest = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]).astype(np.int32)),
+                                            _id_lists([x for row in others for x in row]))
+            sizes = np.diff(np.asarray(lists.offsets))
+            return [pa.array(sizes, pa.int64()), lists, pa.array(scores, pa.list_(pa.float64())), rest]
         return step
 
     return with_columns(docs, text_col, ENCODED, work)

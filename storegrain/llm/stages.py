@@ -34,7 +34,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_pieces, piece_ids, scores, round_trip`` of what is left."""
+    """``doc_id, n_pieces, piece_ids, scores, other_ids, round_trip`` of what is left."""
     model = pieces.default_model()
     found = pieces.decode_ids(pieces.encode_texts(docs.select("doc_id", "text"), model), model)
-    return found.select("doc_id", "n_pieces", "piece_ids", "scores", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return found.select("doc_id", "n_pieces", "piece_ids", "scores", "other_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

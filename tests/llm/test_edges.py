@@ -141,6 +141,28 @@ def test_pieces_brute_force():
         assert known.n_best(unit, 1)[0][0] == known.viterbi(unit)[0]
 
 
+def test_pieces_of_every_rank(spark):
+    known, draw = pieces.vocabulary(pieces.default_model()), random.Random(3)
+    texts = ["the rest of the matter", *("".join(draw.choice("the ron aé 漢\n▁ ") for _ in range(draw.randint(1, 9))) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = pieces.N_BEST
+    assert n > 2
+    for r in pieces.encode_texts(docs, pieces.default_model()).collect():
+        whole = pieces.SPACE + r.text.replace(pieces.SPACE, pieces.OWN).replace(" ", pieces.SPACE)
+        ways = [[(0.0, ())]] + [[] for _ in whole]
+        for hi in range(1, len(whole) + 1):  # all segmentations of each beginning that can be among the best
+            for lo in range(max(0, hi - known.longest), hi):
+                piece = whole[lo:hi]
+                score = known.scores.get(piece, known.unknown if hi - lo == 1 else None)
+                if score is not None:
+                    ways[hi] += [(s + score, ids + known.piece_ids(piece)) for s, ids in ways[lo]]
+            ways[hi].sort(key=lambda x: -x[0])
+            ways[hi] = [x for x in ways[hi] if len(ways[hi]) <= n or x[0] >= ways[hi][n - 1][0]]
+        ranked, possible = list(zip(r.scores, map(tuple, [r.piece_ids, *r.other_ids]), strict=True)), ways[-1]
+        assert r.scores == [s for s, _ in possible[:n]] and set(ranked) <= set(possible) and len(set(ranked)) == min(n, len(possible))
+        assert all(known.decode(ids) == r.text for _, ids in ranked)
+
+
 def test_quality(spark, odd, none):
     grades = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (7, None, 1), (7, 1, 1), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, quality.graded(grades))
