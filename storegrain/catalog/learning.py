@@ -1,7 +1,4 @@
-"""Training, scoring, evaluation and stored state.
-
-Few boosting rounds keep the check quick; ``training.BOOSTED_TREES`` holds the full setting.
-"""
+"""Training, scoring, evaluation and stored state, with the full settings of ``training``."""
 
 from __future__ import annotations
 
@@ -17,9 +14,6 @@ from storegrain.plans import stages, training
 from storegrain.session import stage, staging_path
 from storegrain.sources import tables
 
-ROUNDS = {"maxIter": 3}
-SMALL_NETWORK = {"maxIter": 15, "layers": [32, 16]}
-
 
 def feature_table(spark, folder) -> tuple[DataFrame, stages.FeatureState]:
     rows = stages.label_stage(stages.clean_stage(stores(spark, folder)))
@@ -29,7 +23,7 @@ def feature_table(spark, folder) -> tuple[DataFrame, stages.FeatureState]:
 
 
 def trees(data: DataFrame, state: stages.FeatureState) -> training.TaskModels:
-    return training.train(data.filter("split = 'train'"), state.columns, "trees", **ROUNDS)
+    return training.train(data.filter("split = 'train'"), state.columns, "trees")
 
 
 @query("train_score")
@@ -62,7 +56,7 @@ def ensemble_score(spark, folder):
 @query("mlp_survival")
 def mlp_survival(spark, folder):
     data, state = feature_table(spark, folder)
-    network = training.train(data.filter("split = 'train'"), state.columns, "network", **SMALL_NETWORK)
+    network = training.train(data.filter("split = 'train'"), state.columns, "network")
     return network.predict(data).select("biz_id", "p_survival_1yr", "p_survival_3yr")
 
 

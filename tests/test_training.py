@@ -1,11 +1,15 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from storegrain import schemas
+from storegrain.catalog import load_all
 from storegrain.operators import labels, requests, runs
 from storegrain.plans import stages, training
 
 HEADS = [f"p_{t}" for t in schemas.TARGETS]
+REGISTRY = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +84,20 @@ def test_failures_are_logged(spark, folder, tmp_path):
     events = training.RunLog(spark, f"{tmp_path}/training_runs").events()
     state = runs.run_state(events).first()
     assert state.status == "failed" and "nonsense" in state.error_message
+
+
+def test_registered_queries_train_with_the_full_settings(monkeypatch):
+    from storegrain.catalog import learning
+
+    asked = []
+    monkeypatch.setattr(learning, "feature_table", lambda *_: (SimpleNamespace(filter=lambda _: None), SimpleNamespace(columns=["a"])))
+    monkeypatch.setattr(learning.training, "train", lambda df, columns, family, **options: asked.append((family, options)) or stop())
+    for name in ("train_score", "feature_importance", "mlp_survival"):
+        with pytest.raises(InterruptedError):
+            REGISTRY[name].run(None, None)
+    assert asked == [("trees", {}), ("trees", {}), ("network", {})]
+    assert training.BOOSTED_TREES["maxIter"] == 300 and training.HIDDEN_LAYERS == [256, 128, 64]
+
+
+def stop():
+    raise InterruptedError
