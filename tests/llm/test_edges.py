@@ -112,6 +112,11 @@ def test_minhash_brute_force(spark):
     assert {r.doc_id: r.component_id for r in rows} == {i: find(i) for i in texts}
 
 
+def test_large_buckets_are_divided_by_every_other_band():
+    turns = range(1, minhash.REFINE_BY + 1)
+    assert all({(x - y) % minhash.BANDS, (y - x) % minhash.BANDS} & {*turns} for x in range(minhash.BANDS) for y in range(x))
+
+
 def test_pieces(spark, odd, none):
     model = pieces.default_model()
     rows = pieces.decode_ids(pieces.encode_texts(odd, model), model).collect()
