@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storegrain.llm import decontaminate, minhash, pieces, quality, secret_scan
 from storegrain.llm.common import table
+from storegrain.session import stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +17,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), that with the smallest id."""
-    groups = minhash.near_duplicates(docs, k=5, percent=80)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group of near duplicates (five words, 0.8): that with the smallest id (a null id last), of equal ids the first."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = minhash.near_duplicates(rows, "__row", k=5, percent=80).select("__row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
+    kept = groups.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

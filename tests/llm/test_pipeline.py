@@ -34,3 +34,11 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark, folder):
         for y in sets[:i]:
             both = len(x & y)
             assert 100 * both < 80 * (len(x) + len(y) - both)
+
+
+def test_near_dedup_stage_keeps_one_row_where_ids_repeat(spark, folder):
+    one, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one), (1, one), (2, one), (2, other), (3, other), (None, one), (None, "u v w x y z"), (4, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, stages.near_dedup_stage(spark, docs, folder).collect()), key=repr)
+    assert kept == sorted([(1, one), (2, other), (None, "u v w x y z"), (4, None), (5, None)], key=repr)
