@@ -81,6 +81,15 @@ def cosine_topk(spark, folder):
 
 @query("ann_topk")
 def ann_topk(spark, folder):
+    """Neighbours of every vector whose id is divisible by 50."""
+    docs = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = docs.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return search.nearest_approx(search.fit_index(docs, doc_id="vec_id"), docs, asked, 5, doc_id="vec_id")
+
+
+@query("ann_centroids")
+def ann_centroids(spark, folder):
+    """Neighbours of the mean of each label."""
     docs = table(spark, folder, "embeddings").select("vec_id", "embedding")
     model = search.fit_index(docs, doc_id="vec_id")
     return search.nearest_approx(model, docs, stage(centroids(spark, folder), "centroids"), 5, doc_id="vec_id")

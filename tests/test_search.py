@@ -133,3 +133,11 @@ def test_text_search_prefers_shared_words(spark):
     assert found(got) == {"q": ["a", "c"]}
     text = search.search_context(got, docs).first().context
     assert text.startswith("Case 1 (similarity ") and "Case 2" in text and "coffee roaster" in text
+
+
+def test_ann_topk_answers_every_fiftieth_vector(spark, folder):
+    from storegrain.catalog import load_all
+
+    asked = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 50 = 0 AND embedding IS NOT NULL").collect()}
+    rows = load_all()["ann_topk"].run(spark, folder).collect()
+    assert {r.query_id for r in rows} == asked and len(rows) == 5 * len(asked)
