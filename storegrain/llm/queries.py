@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storegrain.llm import (
-    decontaminate, minhash, pieces, quality, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
+    decontaminate, minhash, pieces, pii, quality, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
 )
 from storegrain.llm.common import table
 from storegrain.session import staging_path
@@ -126,3 +126,8 @@ def op8_token_counts(spark, folder):
     path = staging_path(spark, "token-files")
     token_files.write_tokens(table(spark, folder, "documents"), path, *token_files.default_tokenizer())
     return token_files.count_tokens(spark, path)
+
+
+@query("op12_pii")
+def op12_pii(spark, folder):
+    return pii.digests(pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from storegrain.llm.automata import Graph, deterministic, linked
 from storegrain.llm.common import with_columns
+from storegrain.llm.spans import cut_spans
 
 #: Bytes whose states are held at a time.
 BLOCK = 1 << 18
@@ -149,25 +150,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every stretch that spans cover replaced by ``mark``; null texts stay null, other columns stay."""
-    found = find_secrets(docs, text_col, rules)
-    # stretches that overlap are replaced as one
-    merged = F.aggregate(
-        F.sort_array(F.transform("secret_spans", lambda s: F.struct(s["start"].alias("lo"), s["end"].alias("hi")))),
-        F.array().cast("array<struct<lo:bigint,hi:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["hi"] >= s["lo"]),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(
-                F.element_at(done, -1)["lo"].alias("lo"), F.greatest(F.element_at(done, -1)["hi"], s["hi"]).alias("hi"))))
-        ).otherwise(F.concat(done, F.array(s))))
-    text = F.col(f"`{text_col}`")
-    edges = found.withColumn("__cut", merged)
-    parts = F.transform(F.sequence(F.lit(0), F.size("__cut")), lambda i: F.substring(
-        text, F.when(i == 0, 1).otherwise(F.get("__cut", i - 1)["hi"] + 1).cast("int"),
-        (F.coalesce(F.get("__cut", i)["lo"], F.char_length(text).cast("long"))
-         - F.when(i == 0, 0).otherwise(F.get("__cut", i - 1)["hi"])).cast("int")))
-    clean = F.when(F.size("__cut") > 0, F.array_join(parts, mark)).otherwise(text)
-    return edges.withColumn(text_col, clean).select(*docs.columns)
+    """``docs`` with every stretch that spans cover replaced by ``mark``; null texts stay null, all other columns stay."""
+    found = find_secrets(docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text")), "text", rules)
+    return cut_spans(found, docs.columns, text_col, "secret_spans", mark)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -179,5 +164,3 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("secret_spans", lambda s: s["kind"].isin(names))
     count = lambda name: F.size(F.filter("secret_spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     return found.select(id_col, *(count(n) for n in names), F.sha2(joined(base), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
-
-
