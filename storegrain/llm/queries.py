@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storegrain.llm import (
-    decontaminate, minhash, pieces, pii, quality, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
+    decontaminate, minhash, pieces, pii, quality, repair, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
 )
 from storegrain.llm.common import table
 from storegrain.session import staging_path
@@ -131,3 +131,9 @@ def op8_token_counts(spark, folder):
 @query("op12_pii")
 def op12_pii(spark, folder):
     return pii.digests(pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    return repair.digests(repair.repair(repair.damaged(conversations)), conversations.select("conv_id"))
