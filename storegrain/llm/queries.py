@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storegrain.llm import (
-    decontaminate, minhash, pieces, pii, quality, repair, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
+    decontaminate, minhash, pieces, pii, quality, repair, secret_scan, sharding, suffix_dedup, token_files, trie, urls, winnowing,
 )
 from storegrain.llm.common import table
 from storegrain.session import staging_path
@@ -137,3 +137,27 @@ def op12_pii(spark, folder):
 def op11_conversation_repair(spark, folder):
     conversations = table(spark, folder, "conversations")
     return repair.digests(repair.repair(repair.damaged(conversations)), conversations.select("conv_id"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+            f"lambda c, b: {step}), 4294967295)")
+
+
+@query("op13_conversation_trie", rf"""
+WITH t AS (SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations),
+own AS (SELECT conv_id, list(turn ORDER BY pos) AS turns FROM t GROUP BY 1),
+ids AS (SELECT conv_id, turns, conv_id - conv_id % 5 AS source, {_crc32('conv_id::VARCHAR')} % 9 AS h FROM own WHERE conv_id IS NOT NULL),
+s AS MATERIALIZED (SELECT ids.conv_id, list_concat(coalesce(o.turns[1:ids.h], []), ids.turns[ids.h + 1:]) AS seq FROM ids LEFT JOIN own o ON o.conv_id = ids.source),
+p AS MATERIALIZED (SELECT conv_id, seq[1:d] AS path, d, d = len(seq) AS ends FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM s)),
+n AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM p GROUP BY 1, 2),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(path[d].t)) ELSE 0 END AS saved FROM n LEFT JOIN k USING (path)),
+u AS (SELECT path[1:a] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(range(d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN f q ON f.d > 0 AND q.path = f.path[1:f.d - 1]""")
+def op13_conversation_trie(spark, folder):
+    return trie.trie_nodes(*trie.rebuilt(trie.turn_keys(table(spark, folder, "conversations"))))
