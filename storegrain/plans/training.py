@@ -1,4 +1,4 @@
-"""Model families, training, evaluation and batch scoring on MLlib."""
+"""Model families (boosted trees, linear models, networks), training, evaluation and batch scoring."""
 
 from __future__ import annotations
 
@@ -8,19 +8,18 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
+    LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from storegrain import schemas
 from storegrain.functions.columns import clip
 from storegrain.operators import metrics as quality
 from storegrain.operators import requests, splits
-from storegrain.plans import stages
+from storegrain.plans import boosting, stages
 from storegrain.session import stage
 
 # Task name and whether it is a classification.
@@ -28,13 +27,12 @@ TASKS = [(t, t.startswith("survival")) for t in schemas.TARGETS]
 
 # Hyperparameters.
 BOOSTED_TREES = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8,
-                 "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3, "seed": 42}
+                 "columnRate": 0.8, "minChildWeight": 3.0, "seed": 42}
 HIDDEN_LAYERS = [256, 128, 64]
 PARALLEL_TASKS = 3
 
 # Model classes per family: regression, classification.
 MODEL_CLASSES = {
-    "trees": (GBTRegressionModel, GBTClassificationModel),
     "linear": (LinearRegressionModel, LogisticRegressionModel),
     "network": (LinearRegressionModel, MultilayerPerceptronClassificationModel),
 }
@@ -42,9 +40,6 @@ MODEL_CLASSES = {
 
 def _estimator(family: str, task: str, classify: bool, width: int, options: dict):
     columns = {"featuresCol": "features", "labelCol": task}
-    if family == "trees":
-        params = {**BOOSTED_TREES, **options}
-        return GBTClassifier(**columns, **params) if classify else GBTRegressor(**columns, **params)
     if family == "linear":
         return LogisticRegression(**columns, **options) if classify else LinearRegression(**columns, **options)
     if family == "network":
@@ -56,6 +51,12 @@ def _estimator(family: str, task: str, classify: bool, width: int, options: dict
     raise ValueError(f"unknown model family {family}")
 
 
+def clip_heads(df: DataFrame, prefix: str = "p_") -> DataFrame:
+    """Risk within 0..1, break-even at least 1."""
+    risk, months = f"{prefix}risk_score", f"{prefix}break_even_months"
+    return df.withColumns({risk: clip(F.col(risk), 0.0, 1.0), months: clip(F.col(months), 1.0)})
+
+
 @dataclass
 class TaskModels:
     """One fitted model per target."""
@@ -76,45 +77,67 @@ class TaskModels:
                 out = out.drop("_guess", "_probability", "_raw")
             else:
                 out = model.setPredictionCol(f"p_{task}").transform(out)
-        return out.withColumns({
-            "p_risk_score": clip(F.col("p_risk_score"), 0.0, 1.0),
-            "p_break_even_months": clip(F.col("p_break_even_months"), 1.0),
-        }).drop("features")
+        return clip_heads(out).drop("features")
 
     def save(self, spark: SparkSession, path: str) -> None:
         for task, model in self.models.items():
             model.write().overwrite().save(f"{path}/{task}")
-        info = [(self.family, i, c) for i, c in enumerate(self.columns)]
-        spark.createDataFrame(info, "family string, position int, feature string").coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/info")
+        _save_info(spark, path, self.family, self.columns)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "TaskModels":
+    def load(spark: SparkSession, path: str) -> "TaskModels | TreeModels":
         rows = spark.read.parquet(f"{path}/info").orderBy("position").collect()  # one row per feature
+        columns = [r.feature for r in rows]
+        if rows[0].family == "trees":
+            return TreeModels(columns, boosting.BoostedModel.load(spark, f"{path}/trees"))
         kinds = MODEL_CLASSES[rows[0].family]
-        models = {task: kinds[classify].load(f"{path}/{task}") for task, classify in TASKS}
-        return TaskModels(rows[0].family, [r.feature for r in rows], models)
+        return TaskModels(rows[0].family, columns, {task: kinds[classify].load(f"{path}/{task}") for task, classify in TASKS})
+
+    def info(self) -> dict:
+        return {"name": self.family, "tasks": ",".join(self.models), "n_features": len(self.columns)}
+
+
+@dataclass
+class TreeModels:
+    """Boosted trees of all targets."""
+
+    columns: list[str]
+    model: boosting.BoostedModel
+    family: str = "trees"
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds ``p_<target>`` for every head; risk within 0..1, break-even at least 1."""
+        return clip_heads(self.model.predict(df))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.save(spark, f"{path}/trees")
+        _save_info(spark, path, self.family, self.columns)
 
     def importance(self, spark: SparkSession, k: int = 10) -> DataFrame:
-        """The ``k`` most important features per target; tree models only."""
-        rows = [
-            (task, name, float(score)) for task, model in self.models.items()
-            for name, score in zip(self.columns, model.featureImportances.toArray())
-        ]
-        table = spark.createDataFrame(rows, "task string, feature string, importance double")
+        """The ``k`` most important features per target, by the mean gain of their splits; shares sum to 1 over all features."""
+        table = spark.createDataFrame(self.model.importance(), "task string, feature string, importance double")
         window = Window.partitionBy("task").orderBy(F.desc("importance"), "feature")
         return table.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
     def info(self) -> dict:
-        return {"name": self.family, "tasks": ",".join(self.models), "n_features": len(self.columns)}
+        return {"name": self.family, "tasks": ",".join(t for t, _ in self.model.heads), "n_features": len(self.columns)}
+
 
+def _save_info(spark: SparkSession, path: str, family: str, columns: list[str]) -> None:
+    spark.createDataFrame([(family, i, c) for i, c in enumerate(columns)], "family string, position int, feature string").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/info")
 
-def train(df: DataFrame, columns: list[str], family: str = "trees", parallel: int = PARALLEL_TASKS, **options) -> TaskModels:
+
+def train(df: DataFrame, columns: list[str], family: str = "trees", parallel: int = PARALLEL_TASKS, **options) -> TaskModels | TreeModels:
     """Fit the six heads on a feature table; heads are fitted side by side.
 
-    Classification labels are whether the target exceeds one half.
+    Classification labels are whether the target exceeds one half. Null inputs are an error for linear models and networks; trees
+    count them as smallest.
     """
     labelled = df.withColumns({t: (F.col(t) > 0.5).cast("double") if c else F.col(t).cast("double") for t, c in TASKS})
+    if family == "trees":
+        settings = boosting.Settings(**{**BOOSTED_TREES, **options})
+        return TreeModels(columns, boosting.fit(labelled.select(*columns, *schemas.TARGETS), columns, TASKS, settings))
     vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(labelled)
     data = stage(vectors.select("features", *schemas.TARGETS), "training")
 
@@ -126,7 +149,7 @@ def train(df: DataFrame, columns: list[str], family: str = "trees", parallel: in
         return TaskModels(family, columns, dict(pool.map(fit, TASKS)))
 
 
-def ensemble(df: DataFrame, members: list[TaskModels], weights: list[float] | None = None) -> DataFrame:
+def ensemble(df: DataFrame, members: list[TaskModels | TreeModels], weights: list[float] | None = None) -> DataFrame:
     """Weighted mean of the members' heads, all on the same rows; equal weights by default."""
     weights = weights or [1.0 / len(members)] * len(members)
     heads = [f"p_{t}" for t, _ in TASKS]
@@ -145,7 +168,7 @@ def weighted_mean(df: DataFrame, sources: dict[str, list[str]], weights: list[fl
     return df.withColumns(columns).drop(*[c for parts in sources.values() for c in parts])
 
 
-def score(df: DataFrame, state: stages.FeatureState, models: TaskModels, key: str) -> DataFrame:
+def score(df: DataFrame, state: stages.FeatureState, models: TaskModels | TreeModels, key: str) -> DataFrame:
     """Model rows to final predictions, one row out per row in; inputs stay beside the scores."""
     inputs = [c for c in df.columns if c not in schemas.TARGETS]
     carried = df.select("*", F.struct(*inputs).alias("_inputs"))
@@ -162,7 +185,7 @@ def evaluate_model(scored: DataFrame, name: str) -> DataFrame:
 @dataclass
 class TrainingResult:
     run_id: str
-    models: TaskModels
+    models: TaskModels | TreeModels
     state: stages.FeatureState
     metrics: DataFrame
     events: DataFrame
@@ -203,7 +226,7 @@ def train_run(stores: DataFrame, root: str, key: str = "biz_id", family: str = "
         log.write(run_id, "completed", model_type=family, metrics=numbers, model_path=f"{root}/models/{run_id}",
                   artifacts_path=f"{root}/state/{run_id}")
     except Exception as error:
-        log.write(run_id, "failed", model_type=family, error_message=str(error)[:1000])
+        log.write(run_id, "failed", model_type=family, error_message=str(error))
         raise
     return TrainingResult(run_id, models, state, metrics, log.events(), sizes)
 
