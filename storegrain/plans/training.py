@@ -29,6 +29,9 @@ TASKS = [(t, t.startswith("survival")) for t in schemas.TARGETS]
 BOOSTED_TREES = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8,
                  "columnRate": 0.8, "minChildWeight": 3.0, "seed": 42}
 HIDDEN_LAYERS = [256, 128, 64]
+PATIENCE = 20
+#: A network is trained in legs of a few iterations; between them the validation part is looked at.
+NETWORK_ITERATIONS, LEG_ITERATIONS = 120, 4
 PARALLEL_TASKS = 3
 
 # Model classes per family: regression, classification.
@@ -46,11 +49,41 @@ def _estimator(family: str, task: str, classify: bool, width: int, options: dict
         if classify:
             layers = [width, *options.get("layers", HIDDEN_LAYERS), 2]
             return MultilayerPerceptronClassifier(
-                **columns, layers=layers, maxIter=options.get("maxIter", 100), seed=42)
+                **columns, layers=layers, maxIter=options.get("maxIter", NETWORK_ITERATIONS), seed=42)
         return LinearRegression(**columns)
     raise ValueError(f"unknown model family {family}")
 
 
+def log_loss(scored: DataFrame, task: str) -> float | None:
+    """Mean log loss of the ``probability`` of a 0/1 target; None without rows."""
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), vector_to_array("probability")[1]))
+    return scored.agg(F.avg(-F.when(F.col(task) > 0.5, F.log(p)).otherwise(F.log1p(-p)))).first()[0]
+
+
+def fit_in_legs(estimator: MultilayerPerceptronClassifier, data: DataFrame, valid: DataFrame, task: str,
+                leg: int = LEG_ITERATIONS, patience: int = PATIENCE):
+    """Train a network leg by leg, each from the weights of the one before; stop after ``patience`` legs without a smaller loss on ``valid``.
+
+    Returns the model of the best leg and the legs: task, leg, iterations so far, loss on the validation part, whether it is the best so far.
+    Without validation rows all legs are one.
+    """
+    limit, legs, best, kept = estimator.getMaxIter(), [], None, None
+    if valid.isEmpty():
+        return estimator.fit(data), legs
+    model = None
+    while (done := len(legs) * leg) < limit:
+        step = estimator.copy().setMaxIter(min(leg, limit - done))
+        model = (step if model is None else step.setInitialWeights(model.weights)).fit(data)
+        loss = log_loss(model.transform(valid), task)
+        better = best is None or loss < best
+        legs.append((task, len(legs) + 1, min(limit, done + leg), loss, better))
+        if better:
+            best, kept = loss, model
+        elif len(legs) - max(i for _, i, _, _, good in legs if good) >= patience:
+            break
+    return kept, legs
+
+
 def clip_heads(df: DataFrame, prefix: str = "p_") -> DataFrame:
     """Risk within 0..1, break-even at least 1."""
     risk, months = f"{prefix}risk_score", f"{prefix}break_even_months"
@@ -64,6 +97,8 @@ class TaskModels:
     family: str
     columns: list[str]
     models: dict = field(default_factory=dict)
+    #: Of networks: task, leg, iterations, validation loss, best so far.
+    legs: list[tuple] = field(default_factory=list)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``p_<target>`` for every head; risk within 0..1, break-even at least 1."""
@@ -93,6 +128,9 @@ class TaskModels:
         kinds = MODEL_CLASSES[rows[0].family]
         return TaskModels(rows[0].family, columns, {task: kinds[classify].load(f"{path}/{task}") for task, classify in TASKS})
 
+    def legs_table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.legs, "task string, leg int, iterations int, valid_loss double, is_best boolean")
+
     def info(self) -> dict:
         return {"name": self.family, "tasks": ",".join(self.models), "n_features": len(self.columns)}
 
@@ -128,25 +166,33 @@ def _save_info(spark: SparkSession, path: str, family: str, columns: list[str])
         "overwrite").parquet(f"{path}/info")
 
 
-def train(df: DataFrame, columns: list[str], family: str = "trees", parallel: int = PARALLEL_TASKS, **options) -> TaskModels | TreeModels:
+def train(df: DataFrame, columns: list[str], family: str = "trees", parallel: int = PARALLEL_TASKS, valid: DataFrame | None = None, **options) -> TaskModels | TreeModels:
     """Fit the six heads on a feature table; heads are fitted side by side.
 
     Classification labels are whether the target exceeds one half. Null inputs are an error for linear models and networks; trees
-    count them as smallest.
+    count them as smallest. ``valid`` are rows by which networks stop early (``leg``, ``patience``).
     """
-    labelled = df.withColumns({t: (F.col(t) > 0.5).cast("double") if c else F.col(t).cast("double") for t, c in TASKS})
+    def with_labels(rows):
+        return rows.withColumns({t: (F.col(t) > 0.5).cast("double") if c else F.col(t).cast("double") for t, c in TASKS})
+
+    labelled = with_labels(df)
     if family == "trees":
         settings = boosting.Settings(**{**BOOSTED_TREES, **options})
         return TreeModels(columns, boosting.fit(labelled.select(*columns, *schemas.TARGETS), columns, TASKS, settings))
-    vectors = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(labelled)
-    data = stage(vectors.select("features", *schemas.TARGETS), "training")
+    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error")
+    data = stage(assembler.transform(labelled).select("features", *schemas.TARGETS), "training")
+    held = None if valid is None or family != "network" else stage(assembler.transform(with_labels(valid)).select("features", *schemas.TARGETS), "validation")
+    pace = {k: options[k] for k in ("leg", "patience") if k in options}
+    options = {k: v for k, v in options.items() if k not in pace}
 
     def fit(task):
         name, classify = task
-        return name, _estimator(family, name, classify, len(columns), options).fit(data)
+        estimator = _estimator(family, name, classify, len(columns), options)
+        return name, *(fit_in_legs(estimator, data, held, name, **pace) if classify and held is not None else (estimator.fit(data), []))
 
     with ThreadPoolExecutor(parallel) as pool:
-        return TaskModels(family, columns, dict(pool.map(fit, TASKS)))
+        found = list(pool.map(fit, TASKS))
+    return TaskModels(family, columns, {name: model for name, model, _ in found}, [x for _, _, legs in found for x in legs])
 
 
 def ensemble(df: DataFrame, members: list[TaskModels | TreeModels], weights: list[float] | None = None) -> DataFrame:
@@ -217,7 +263,9 @@ def train_run(stores: DataFrame, root: str, key: str = "biz_id", family: str = "
               test_size=counts.get("test", 0), n_features=len(state.columns))
     log.write(run_id, "training", model_type=family)
     try:
-        models = train(stored.filter("split = 'train'"), state.columns, family, **options)
+        models = train(stored.filter("split = 'train'"), state.columns, family, valid=stored.filter("split = 'val'"), **options)
+        for task, number, iterations, loss, _ in getattr(models, "legs", []):
+            log.write(run_id, "training", model_type=family, metrics={f"{task}_leg": float(number), f"{task}_iterations": float(iterations), f"{task}_valid_loss": loss})
         log.write(run_id, "evaluating", model_type=family)
         metrics = stage(evaluate_model(models.predict(stored.filter("split = 'test'")), family), "metrics")
         models.save(spark, f"{root}/models/{run_id}")

@@ -86,6 +86,24 @@ def test_failures_are_logged(spark, folder, tmp_path):
     assert state.status == "failed" and "nonsense" in state.error_message
 
 
+def test_networks_stop_by_the_validation_part(spark, prepared):
+    _, state, data = prepared
+    parts = data.withColumn("part", F.pmod(F.xxhash64("biz_id"), F.lit(4)))
+    train, valid = parts.filter("part > 0").drop("part"), parts.filter("part = 0").drop("part")
+    models = training.train(train, state.columns, "network", valid=valid, layers=[6], maxIter=60, leg=3, patience=2)
+    table = models.legs_table(spark).collect()
+    for task in ("survival_1yr", "survival_3yr"):
+        legs = [r for r in table if r.task == task]
+        assert [r.leg for r in legs] == list(range(1, len(legs) + 1)) and legs[-1].iterations == min(60, 3 * len(legs))
+        best = min(legs, key=lambda r: r.valid_loss)
+        assert best.is_best and (len(legs) - best.leg == 2 or legs[-1].iterations == 60)
+        seen = training.VectorAssembler(inputCols=state.columns, outputCol="features").transform(valid)
+        assert training.log_loss(models.models[task].transform(seen), task) == pytest.approx(best.valid_loss)
+    assert in_range(models.predict(data))
+    again = training.train(train, state.columns, "network", valid=valid.limit(0), layers=[6], maxIter=5)
+    assert again.legs == [] and in_range(again.predict(data))
+
+
 def test_registered_queries_train_with_the_full_settings(monkeypatch):
     from storegrain.catalog import learning
 
@@ -95,7 +113,7 @@ def test_registered_queries_train_with_the_full_settings(monkeypatch):
     for name in ("train_score", "feature_importance", "mlp_survival"):
         with pytest.raises(InterruptedError):
             REGISTRY[name].run(None, None)
-    assert asked == [("trees", {}), ("trees", {}), ("network", {})]
+    assert asked == [("trees", {}), ("trees", {}), ("network", {"valid": None})]
     assert training.BOOSTED_TREES["maxIter"] == 300 and training.HIDDEN_LAYERS == [256, 128, 64]
 
 
