@@ -128,3 +128,15 @@ def with_columns(df: DataFrame, text: str, added: str, work: Callable[[], Callab
     ship(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     return df.mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, text_col: str = "text", *more) -> DataFrame:
+    """``row`` (all columns but the text as a struct), ``text`` and ``more``: no column of ``docs`` can clash with working columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(True).alias("none")]
+    return docs.select(F.struct(*others).alias("row"), F.col(f"`{text_col}`").alias("text"), *more)
+
+
+def unpacked(rows: DataFrame, columns: list[str], text_col: str = "text", text=None, **replaced) -> DataFrame:
+    """The ``columns`` of ``packed`` rows again; ``text`` and ``replaced`` take the place of columns of those names."""
+    new = {text_col: F.col("text") if text is None else text, **replaced}
+    return rows.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))

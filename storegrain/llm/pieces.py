@@ -5,7 +5,8 @@ piece of the vocabulary can span two characters (letters of one script and signs
 forward Viterbi pass over its lattice gives the best score up to each place, and an A* search from the end to the start, with
 these scores as exact heuristics, meets the n best segmentations in falling order of their scores. The n best of a text are put together
 from those of its units; they can differ from its best only in the n - 1 units that lose least by their second.
-Units repeat, so a task keeps those it has solved (at most twice ``KEPT_UNITS``).
+The pieces that end at each place come from one automaton of all pieces. Units repeat, so a worker keeps those it has solved, up to
+``KEPT_BYTES`` twice, but none longer than ``KEPT_LENGTH``.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from bisect import insort
 from functools import lru_cache
-from heapq import heappop, heappush, heappushpop
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ from storegrain.session import ship
 SPACE = "▁"
 #: Stands for a "▁" of the text itself; it cannot occur in valid UTF-8.
 OWN = "\ud800"
-KEPT_UNITS = 200_000
+KEPT_BYTES, KEPT_LENGTH = 64 << 20, 200
+#: Marks for units met once; they decide what is kept once the store has been full, never a result.
+MARKS = 1 << 20
+#: About what the keys, tuples and numbers of a kept unit take besides its characters and ids.
+ENTRY_BYTES = 420
 #: What an unknown character costs below the least score of a piece, as in the library's lattice.
 UNKNOWN = 10.0
 N_BEST = 3
@@ -78,104 +83,117 @@ class Vocabulary:
         else:
             runs = "|".join(f"[{''.join(map(re.escape, group))}]+" for group in joined_characters(self.ids))
             self.units = re.compile(rf"(?s){SPACE}*(?:{runs})|{SPACE}+|." if runs else rf"(?s){SPACE}+|.")
-        # by character: score of the piece that ends there (None: no piece) and what may follow
-        self.tree: dict = {}
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
         for piece, score in self.scores.items():
-            follow = self.tree
-            for c in piece[:-1]:
-                follow = follow.setdefault(c, [None, {}])[1]
-            follow.setdefault(piece[-1], [None, {}])[0] = score
+            self.automaton.add_word(piece, (len(piece), score, self.ids[piece]))
+        self.automaton.make_automaton()
+        self.alone = frozenset(p for p in self.ids if len(p) == 1)
         self.solved: dict = {}
         self.older: dict = {}
-        self.kept_for = 0
-
-    def viterbi(self, unit: str) -> tuple[float, list[float], list[list[tuple[int, float]]]]:
-        """Best score of a unit, the best score up to each place in it, and the pieces that end there: start, score."""
-        size, tree = len(unit), self.tree
-        best, edges = [0.0] + [NOTHING] * size, [[] for _ in range(size + 1)]
-        for lo in range(size):
-            one, step = best[lo], tree.get(unit[lo])
-            if step is None or step[0] is None:  # a character that is no piece
-                edges[lo + 1].append((lo, self.unknown))
-                if one + self.unknown > best[lo + 1]:
-                    best[lo + 1] = one + self.unknown
-            hi, follow = lo, tree
-            for c in unit[lo: lo + self.longest]:
-                step = follow.get(c)
-                if step is None:  # no piece begins like this
-                    break
-                score, follow = step
-                hi += 1
-                if score is not None:
-                    edges[hi].append((lo, score))
-                    if one + score > best[hi]:
-                        best[hi] = one + score
-                if not follow:
-                    break
-        return best[size], best, edges
+        self.kept_for = self.kept_bytes = 0
+        self.met = bytearray(MARKS)
 
     def piece_ids(self, piece: str) -> tuple:
         """The id of a piece, or those of the bytes of a character that is none."""
         known = self.ids.get(piece)
         return (known,) if known is not None else tuple(self.bytes[b] for b in (SPACE if piece == OWN else piece).encode())
 
-    def n_best(self, unit: str, n: int) -> list[tuple[float, tuple]]:
+    def viterbi(self, unit: str) -> tuple[float, list[float], list[list[tuple]]]:
+        """Best score of a unit, the best score up to each place in it, and the pieces that end there: start, score, id."""
+        size = len(unit)
+        best, edges = [0.0] + [NOTHING] * size, [[] for _ in range(size + 1)]
+        if self.alone.issuperset(unit):
+            for at, (length, score, number) in self.automaton.iter(unit):  # ends rise, so what lies before is final
+                lo = at + 1 - length
+                edges[at + 1].append((lo, score, number))
+                score += best[lo]
+                if score > best[at + 1]:
+                    best[at + 1] = score
+            return best[size], best, edges
+        for at, (length, score, number) in self.automaton.iter(unit):
+            edges[at + 1].append((at + 1 - length, score, number))
+        for hi, c in enumerate(unit, 1):
+            if c not in self.alone:  # a character that is no piece
+                edges[hi].append((hi - 1, self.unknown, self.piece_ids(c)))
+            best[hi] = max([best[lo] + score for lo, score, _ in edges[hi]])
+        return best[size], best, edges
+
+    def n_best(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a unit (score, ids), best first; equal ones in a fixed order.
 
         A* from the end to the start: what is behind plus the best score up to a place is the exact total, so the states come in the
-        order of what they lead to. The best way on is followed at once if nothing on the agenda is better.
+        order of what they lead to. The best way on is followed at once if nothing on the agenda is better. As every state leads to a
+        segmentation with just its total, no more states than are still wanted need to be kept.
         """
         _, best, edges = self.viterbi(unit)
         found, turn = [], 0
         agenda = [(-best[-1], 0, 0.0, len(unit), None)]
         while agenda and len(found) < n:
-            total, _, behind, end, path = heappop(agenda)
+            wanted = n - len(found)
+            total, _, behind, end, path = agenda.pop(0)
             while end:
-                ways, on = edges[end], None
+                ways = edges[end]
                 if len(ways) == 1:
-                    (lo, score), = ways
-                    behind, end, path = score + behind, lo, (lo, end, path)
+                    (end, score, number), = ways
+                    behind, path = score + behind, (number, path)
                     continue
-                for lo, score in reversed(ways):
+                on = None
+                for lo, score, number in reversed(ways):
                     turn -= 1  # of equal sums the latest first, which goes straight to the start with the longest pieces
-                    state = (-(best[lo] + score + behind), turn, score + behind, lo, (lo, end, path))
+                    after = score + behind
+                    key = -(best[lo] + after)
                     if on is None:
-                        on = state
-                    elif state < on:
-                        heappush(agenda, on)
-                        on = state
-                    else:
-                        heappush(agenda, state)
-                total, _, behind, end, path = on if not agenda or on < agenda[0] else heappushpop(agenda, on)
-            ids = ()
+                        on = (key, turn, after, lo, (number, path))
+                        continue
+                    if len(agenda) >= wanted and key > agenda[-1][0] and key > on[0]:
+                        continue
+                    state = (key, turn, after, lo, (number, path))
+                    if state < on:
+                        state, on = on, state
+                    insort(agenda, state)
+                    del agenda[wanted:]
+                if agenda and agenda[0] < on:
+                    insort(agenda, on)
+                    on = agenda.pop(0)
+                total, _, behind, end, path = on
+            ids = []
             while path:
-                lo, hi, path = path
-                ids += self.piece_ids(unit[lo:hi])
+                number, path = path
+                ids.append(number) if type(number) is int else ids.extend(number)
             found.append((-total, ids))
         return found
 
     def unit(self, unit: str, n: int) -> tuple:
         """Score and ids of the best segmentation of a unit, then what each further one of the ``n`` best loses and its ids (as bytes).
 
-        Kept for the next time; units that are not met again go when the store is full. If there is no second, its loss is infinite.
+        Kept for the next time; units that are not met again go when the store is full, and from then on only those met twice are kept. If
+        there is no second, its loss is infinite.
         """
         known = self.older.get(unit)
+        wanted = len(unit) <= KEPT_LENGTH
         if known is None:
+            if self.older and wanted:
+                mark = hash(unit) % MARKS
+                wanted, self.met[mark] = self.met[mark], 1
             (best, ids), *others = self.n_best(unit, n)
             known = (best, array("i", ids).tobytes())
             for score, ids in others:
                 known += (best - score, array("i", ids).tobytes())
             if not others:
                 known += (-NOTHING,)
-        if len(self.solved) >= KEPT_UNITS:
-            self.older, self.solved = self.solved, {}
-        self.solved[unit] = known
+        if wanted:
+            if self.kept_bytes >= KEPT_BYTES:
+                self.older, self.solved, self.kept_bytes, self.met = self.solved, {}, 0, bytearray(MARKS)
+            self.solved[unit] = known
+            self.kept_bytes += ENTRY_BYTES + len(unit) + sum(map(len, known[1::2]))
         return known
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, bytes]]]:
         """Ids of the best segmentation as bytes, and score and ids of each of the ``n`` best, best first."""
         if n != self.kept_for:
-            self.solved, self.older, self.kept_for = {}, {}, n
+            self.solved, self.older, self.kept_for, self.kept_bytes = {}, {}, n, 0
         # the library puts a space before a text
         units = self.units.findall(SPACE + text.replace(SPACE, OWN).replace(" ", SPACE)) if text else []
         solved = [self.solved.get(u) or self.unit(u, n) for u in units]
@@ -220,21 +238,24 @@ def _id_lists(raw: list[bytes | None]) -> pa.ListArray:
                                     mask=pa.array([x is None for x in raw], pa.bool_()))
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", n_best: int = N_BEST) -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", n_best: int = N_BEST, round_trip: bool = False) -> DataFrame:
     """``docs`` with ``piece_ids`` of the best segmentation, their number, the ``n_best`` best ``scores``, best first, and ``other_ids``: the
     ids of the segmentations of the second and further scores.
 
     A character that is no piece is written as its bytes. A null text has null ids, an empty one no ids; both have the number 0, no score but
     that of nothing (0) and no other ids. Columns with these names are replaced, others stay; rows are worked on one by one; an empty table
-    stays empty. Fewer scores than ``n_best`` mean that there are no more segmentations.
+    stays empty. Fewer scores than ``n_best`` mean that there are no more segmentations. With ``round_trip`` there is a column of that name as
+    well: whether decoding the best ids gives the text back (null ids: a null text).
     """
     def work():
         known = vocabulary(model_file)
 
         def step(column):
-            ids, scores, others = [], [], []
+            ids, scores, others, same = [], [], [], []
             for text in column.to_pylist():
                 raw, ranked = known.encode(text or "", n_best)
+                if round_trip:
+                    same.append(text is None or known.decode(np.frombuffer(raw, np.int32).tolist()) == text)
                 ids.append(raw if text is not None else None)
                 scores.append([s for s, _ in ranked])
                 others.append([x for _, x in ranked[1:]])
@@ -242,10 +263,10 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", n_bes
             rest = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]).astype(np.int32)),
                                             _id_lists([x for row in others for x in row]))
             sizes = np.diff(np.asarray(lists.offsets))
-            return [pa.array(sizes, pa.int64()), lists, pa.array(scores, pa.list_(pa.float64())), rest]
+            return [pa.array(sizes, pa.int64()), lists, pa.array(scores, pa.list_(pa.float64())), rest, *([pa.array(same, pa.bool_())] if round_trip else [])]
         return step
 
-    return with_columns(docs, text_col, ENCODED, work)
+    return with_columns(docs, text_col, ENCODED + ", round_trip boolean" * round_trip, work)
 
 
 def decode_ids(docs: DataFrame, model_file: str, ids_col: str = "piece_ids", name: str = "decoded") -> DataFrame:

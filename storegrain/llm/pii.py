@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storegrain.llm.common import with_columns
+from storegrain.llm.common import packed, with_columns
 from storegrain.llm.spans import cut_spans
 
 #: Characters on either side of a span in which words count, what one such kind of word adds or takes, and the least score.
@@ -163,7 +163,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def mask(docs: DataFrame, text_col: str = "text", mark: str = "[private]") -> DataFrame:
     """``docs`` with each stretch that spans cover replaced by ``mark``; null texts stay null, all other columns stay."""
-    found = find_personal_data(docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text")))
+    found = find_personal_data(packed(docs, text_col))
     return cut_spans(found, docs.columns, text_col, "pii_spans", mark)
 
 

@@ -110,8 +110,7 @@ def op5_document_fingerprints(spark, folder):
 def op3_sentencepiece(spark, folder):
     """Ids and scores of every text, and whether decoding gives the text back."""
     model = pieces.default_model()
-    found = pieces.decode_ids(pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), model), model)
-    return found.select("doc_id", "n_pieces", "piece_ids", "scores", "other_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), model, round_trip=True).drop("text")
 
 
 @query("op4_quality_classifier")

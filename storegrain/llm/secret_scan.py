@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storegrain.llm.automata import Graph, deterministic, linked
-from storegrain.llm.common import with_columns
+from storegrain.llm.common import packed, with_columns
 from storegrain.llm.spans import cut_spans
 
 #: Bytes whose states are held at a time.
@@ -151,7 +151,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every stretch that spans cover replaced by ``mark``; null texts stay null, all other columns stay."""
-    found = find_secrets(docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text")), "text", rules)
+    found = find_secrets(packed(docs, text_col), "text", rules)
     return cut_spans(found, docs.columns, text_col, "secret_spans", mark)
 
 

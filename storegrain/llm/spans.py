@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storegrain.llm.common import unpacked
+
 
 def _stretches(spans: str):
     """Spans (start, end) as disjoint stretches (lo, hi) in order; those that touch or overlap are one."""
@@ -19,14 +21,10 @@ def _stretches(spans: str):
 
 
 def cut_spans(found: DataFrame, columns: list[str], text_col: str, spans: str, mark: str) -> DataFrame:
-    """``row, text, spans`` (the whole row as a struct, its text, its spans) to the row's ``columns``, the text with ``mark`` for each stretch.
-
-    As rows travel in a struct no column of theirs can clash with the working columns. A null text stays null.
-    """
+    """Packed rows with ``spans`` of their text to the rows' ``columns``, the text with ``mark`` for each stretch; a null text stays null."""
     edges = found.withColumn("cut", _stretches(spans))
     parts = F.transform(F.sequence(F.lit(0), F.size("cut")), lambda i: F.substring(
         F.col("text"), F.when(i == 0, 1).otherwise(F.get("cut", i - 1)["hi"] + 1).cast("int"),
         (F.coalesce(F.get("cut", i)["lo"], F.char_length("text").cast("long"))
          - F.when(i == 0, 0).otherwise(F.get("cut", i - 1)["hi"])).cast("int")))
-    clean = F.when(F.size("cut") > 0, F.array_join(parts, mark)).otherwise(F.col("text"))
-    return edges.select(*(clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns))
+    return unpacked(edges, columns, text_col, F.when(F.size("cut") > 0, F.array_join(parts, mark)).otherwise(F.col("text")))

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names for every operator."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +169,24 @@ def test_pieces_of_every_rank(spark):
         assert all(known.decode(ids) == r.text for _, ids in ranked)
 
 
+def test_pieces_of_a_million_letters():
+    known, draw, began = pieces.vocabulary(pieces.default_model()), random.Random(5), time.time()
+    for text in ("a" * 1_000_000, "".join(draw.choice("abcdefghij") for _ in range(1_000_000))):
+        raw, ranked = known.encode(text, 3)
+        assert known.decode(np.frombuffer(raw, np.int32).tolist()) == text and len(ranked) == 3
+        assert all(known.decode(np.frombuffer(x, np.int32).tolist()) == text for _, x in ranked[1:])
+    assert time.time() - began < 60
+
+
+def test_pieces_do_not_depend_on_the_store(monkeypatch):
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("the of and rest matter onion spring tion".split()) + str(draw.randrange(30)) for _ in range(40)) for _ in range(30)]
+    plain = [pieces.Vocabulary(pieces.default_model()).encode(t, 3) for t in texts[:4]]
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 2000)
+    small = pieces.Vocabulary(pieces.default_model())
+    assert [small.encode(t, 3) for t in texts + texts[:4]][-4:] == plain
+
+
 def test_quality(spark, odd, none):
     grades = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (7, None, 1), (7, 1, 1), (3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, quality.graded(grades))
