@@ -93,7 +93,7 @@ class Vocabulary:
         self.solved: dict = {}
         self.older: dict = {}
         self.kept_for = self.kept_bytes = 0
-        self.met = bytearray(MARKS)
+        self.met, self.limit = bytearray(MARKS), KEPT_BYTES
 
     def piece_ids(self, piece: str) -> tuple:
         """The id of a piece, or those of the bytes of a character that is none."""
@@ -184,7 +184,7 @@ class Vocabulary:
             if not others:
                 known += (-NOTHING,)
         if wanted:
-            if self.kept_bytes >= KEPT_BYTES:
+            if self.kept_bytes >= self.limit:
                 self.older, self.solved, self.kept_bytes, self.met = self.solved, {}, 0, bytearray(MARKS)
             self.solved[unit] = known
             self.kept_bytes += ENTRY_BYTES + len(unit) + sum(map(len, known[1::2]))
@@ -238,17 +238,20 @@ def _id_lists(raw: list[bytes | None]) -> pa.ListArray:
                                     mask=pa.array([x is None for x in raw], pa.bool_()))
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", n_best: int = N_BEST, round_trip: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", n_best: int = N_BEST, round_trip: bool = False,
+                 kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """``docs`` with ``piece_ids`` of the best segmentation, their number, the ``n_best`` best ``scores``, best first, and ``other_ids``: the
     ids of the segmentations of the second and further scores.
 
     A character that is no piece is written as its bytes. A null text has null ids, an empty one no ids; both have the number 0, no score but
     that of nothing (0) and no other ids. Columns with these names are replaced, others stay; rows are worked on one by one; an empty table
     stays empty. Fewer scores than ``n_best`` mean that there are no more segmentations. With ``round_trip`` there is a column of that name as
-    well: whether decoding the best ids gives the text back (null ids: a null text).
+    well: whether decoding the best ids gives the text back (null ids: a null text). ``kept_bytes`` bounds what a Python worker keeps of solved units
+    (twice): more memory saves time and changes no result.
     """
     def work():
         known = vocabulary(model_file)
+        known.limit = kept_bytes
 
         def step(column):
             ids, scores, others, same = [], [], [], []

@@ -110,7 +110,8 @@ def op5_document_fingerprints(spark, folder):
 def op3_sentencepiece(spark, folder):
     """Ids and scores of every text, and whether decoding gives the text back."""
     model = pieces.default_model()
-    return pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), model, round_trip=True).drop("text")
+    return pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), model, round_trip=True,
+                               kept_bytes=3 * pieces.KEPT_BYTES).drop("text")
 
 
 @query("op4_quality_classifier")
