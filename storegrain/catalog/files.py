@@ -241,6 +241,21 @@ def stream_dedupe(spark, folder):
     return spark.read.schema(once.schema).parquet(f"{root}/out")
 
 
+@query("stream_latest", """
+WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seen_at, event_id, event_type, round(value, 4) AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts DESC, event_id DESC) AS rn FROM g)
+WHERE rn = 1 AND ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def stream_latest(spark, folder):
+    """The last event of each run of a user's events that the watermark has passed, with its values."""
+    root = staging_path(spark, "latest")
+    out = ingest.stream_latest(event_stream(spark, folder), "user_id", "ts", ["ts", "event_id"])
+    ingest.to_parquet(out, f"{root}/out", f"{root}/_checkpoint").awaitTermination()
+    done = spark.read.schema(out.schema).parquet(f"{root}/out")
+    return rounded(done, 4, "value").select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"), "event_id", "event_type", "value")
+
+
 @query("stream_windows", """
 SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
 FROM events GROUP BY 1, 2

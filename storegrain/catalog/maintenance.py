@@ -36,8 +36,9 @@ def dedupe_latest(spark, folder):
 
 # -- joins ------------------------------------------------------------------
 
-STATUS_SQL = """SELECT CAST(o_orderkey AS STRING) AS b_no, CASE o_orderstatus WHEN 'F' THEN '01' WHEN 'P' THEN '02' ELSE '03' END
-  AS b_stt_cd, CAST(CAST(o_orderdate AS DATE) AS STRING) AS end_dt FROM {orders} WHERE o_totalprice > 100000"""
+# Every order reports a status; a fifth of them under a number that no store has.
+STATUS_SQL = """SELECT CAST(o_orderkey + CASE WHEN o_totalprice > 100000 THEN 0 ELSE 1000000000000 END AS STRING) AS b_no,
+  CASE o_orderstatus WHEN 'F' THEN '01' WHEN 'P' THEN '02' ELSE '03' END AS b_stt_cd, CAST(CAST(o_orderdate AS DATE) AS STRING) AS end_dt FROM {orders}"""
 
 
 @query("join_status", with_stores(f"""
@@ -52,8 +53,10 @@ def attach_status(rows: DataFrame, status: DataFrame) -> DataFrame:
     return joins.attach(rows, once.withColumnRenamed("b_no", "biz_id"), "biz_id")
 
 
-DONG_SQL = """SELECT n_name || '-' || CAST(c_custkey % 4 AS STRING) AS dong_code, round(avg(c_acctbal), 4) AS avg_sales,
-  count(*) AS floating_pop FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1 HAVING avg(c_acctbal) > 4000"""
+# Every district; those with low sales under a code that no store has.
+DONG_SQL = """SELECT CASE WHEN avg_sales > 4000 THEN code ELSE 'former ' || code END AS dong_code, avg_sales, floating_pop
+  FROM (SELECT n_name || '-' || CAST(c_custkey % 4 AS STRING) AS code, round(avg(c_acctbal), 4) AS avg_sales, count(*) AS floating_pop
+    FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1)"""
 
 
 @query("merge_commercial", with_stores(f"""

@@ -50,11 +50,40 @@ def embed_with_function(spark, folder):
     return embedded.select("doc_id", F.col("embedding")[0].cast("bigint").alias("n_chars"))
 
 
+@query("embed_failures", """
+SELECT count(*) FILTER (length(text) % 7 > 0) AS n_embedded, count(*) FILTER (length(text) % 7 = 0) AS n_failed, true AS all_failed_retried FROM documents""")
+def embed_failures(spark, folder):
+    """An embedder that refuses any batch with a text whose length is divisible by seven: only those texts fail in the end."""
+    def embedder(texts):
+        if any(len(t) % 7 == 0 for t in texts):
+            raise ValueError("length")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counts = search.embed_counts(stage(search.embed_or_explain(docs, embedder), "embedded"))
+    return counts.select("n_embedded", "n_failed", (F.col("n_retried") >= F.col("n_failed")).alias("all_failed_retried"))
+
+
 @query("doc_count", with_stores("SELECT count(*) AS n_docs FROM stores"))
 def doc_count(spark, folder):
-    path = staging_path(spark, "collection")
-    search.store_documents(stores(spark, folder)).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n_docs"))
+    """Documents in the search index: those with a vector."""
+    return index(spark, folder).filter("embedding is not null").agg(F.count("*").alias("n_docs"))
+
+
+@query("stored_index", """
+SELECT count(*) AS n_docs, count(*) FILTER (vec_id % 50 = 0) * 5 AS n_exact, true AS enough FROM embeddings WHERE embedding IS NOT NULL""")
+def stored_index(spark, folder):
+    """An index that lasts: built with the even ids, the odd ones added (twice, as by a retry), asked for every vector whose id is divisible by 50."""
+    docs = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    path, even = staging_path(spark, "stored-index"), F.col("vec_id") % 2 == 0
+    known = search.StoredIndex(spark, path, "vec_id").reset(docs.filter(even))
+    for _ in range(2):
+        known.add(docs.filter(~even), "odd")
+    asked = docs.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    again = search.StoredIndex(spark, path, "vec_id")
+    found = search.recall(again.search(asked, 5), search.nearest(docs, asked, 5, doc_id="vec_id"), "vec_id")
+    n_docs = again.count().first()[0]
+    return found.select(F.lit(n_docs).cast("long").alias("n_docs"), "n_exact", (F.col("recall") >= 0.9).alias("enough"))
 
 
 def centroids(spark, folder) -> DataFrame:

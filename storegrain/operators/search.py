@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from storegrain.functions.columns import blank_to_null, first_present, lookup
 from storegrain.operators.ranking import top_k
@@ -104,24 +104,52 @@ def embed_with(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]]
                batch_size: int = 100) -> DataFrame:
     """Embeds with a caller's function, batch by batch.
 
-    A batch whose call fails, or in which any text gets no vector, is left out as a whole.
+    A batch whose call fails, or in which any text gets no vector, is left out as a whole; ``embed_or_explain`` keeps its rows.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    return embed_or_explain(df, embedder, text, batch_size, retry=False).filter("embedding is not null").drop("error", "attempts")
+
+
+def embed_or_explain(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "text",
+                     batch_size: int = 100, retry: bool = True) -> DataFrame:
+    """Adds ``embedding``, ``error`` and ``attempts``: every row stays, one without a vector says why.
+
+    Texts are embedded batch by batch. If the call for a batch fails, or any of its texts gets no vector, its texts are tried again one by one,
+    so that only those which fail alone stay without a vector. Columns with the new names are replaced.
+    """
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("embedding", "error", "attempts")])
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType()),
+                           T.StructField("attempts", T.IntegerType())])
+
+    def tried(texts: list) -> tuple[list, str | None]:
+        try:
+            vectors = embedder(texts)
+        except Exception as error:
+            return [None] * len(texts), f"{type(error).__name__}: {error}"
+        if len(vectors) != len(texts) or any(v is None or not len(v) for v in vectors):
+            return [None] * len(texts), "no vector"
+        return [np.asarray(v, dtype=np.float32) for v in vectors], None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 batch = frame.iloc[start:start + batch_size]
-                try:
-                    vectors = embedder(list(batch[text]))
-                except Exception:
-                    continue
-                if len(vectors) == len(batch) and all(v is not None and len(v) for v in vectors):
-                    yield batch.assign(embedding=[np.asarray(v, dtype=np.float32) for v in vectors])
+                texts = list(batch[text])
+                vectors, error = tried(texts)
+                errors, attempts = [error] * len(texts), 1
+                if error is not None and retry:
+                    single = [tried([t]) for t in texts]
+                    vectors, errors, attempts = [v[0] for v, _ in single], [e for _, e in single], 2
+                yield batch.assign(embedding=vectors, error=errors, attempts=attempts)
 
     return df.mapInPandas(run, schema)
 
 
+def embed_counts(embedded: DataFrame) -> DataFrame:
+    """``n_embedded, n_failed, n_retried`` of the rows of ``embed_or_explain``."""
+    return embedded.agg(F.count("embedding").alias("n_embedded"), F.count("error").alias("n_failed"),
+                        F.count(F.when(F.col("attempts") > 1, 1)).alias("n_retried"))
+
+
 # -- exact search -----------------------------------------------------------
 
 def _unit_rows(vectors, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -296,6 +324,73 @@ def _measured_probes(model: KMeansModel, sample: DataFrame, target: float) -> in
     return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]
 
 
+# -- stored index -----------------------------------------------------------
+
+class StoredIndex:
+    """A cell index that lasts: centres and probes, and the documents in one folder for each cell.
+
+    ``add`` puts new documents into cells without fitting again; rows of a document come once in each added batch, so ids must be new. Each batch
+    is its own folder, named by the caller: writing a batch again (a retry) replaces it. A search reads only the folders of the cells that its
+    queries look at.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, doc_id: str = "id", vector: str = "embedding"):
+        self.spark, self.path, self.doc_id, self.vector = spark, path.rstrip("/"), doc_id, vector
+
+    def reset(self, docs: DataFrame, **options) -> "StoredIndex":
+        """Fit cells to ``docs`` and write them as the only batch; what was stored before goes."""
+        model = fit_index(docs, self.vector, self.doc_id, **options)
+        if model is None:
+            raise ValueError("no document has a direction")
+        width = len(model.centres[0])
+        rows = [(i, c.tolist(), model.probes, width) for i, c in enumerate(model.centres)]
+        fitted = self.spark.createDataFrame(rows, "_cell int, centre array<double>, probes int, width int")
+        fitted.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
+        self._placed(docs, model.centres).withColumn("batch", F.lit("reset")).write.mode("overwrite").partitionBy("batch", "_cell").parquet(f"{self.path}/documents")
+        return self
+
+    def add(self, docs: DataFrame, batch: str) -> "StoredIndex":
+        """Put further documents into the cells; only the folders of this batch are written."""
+        if batch == "reset":
+            raise ValueError("that name is taken by the first batch")
+        rows = self._placed(docs, self._centres()[0])
+        rows.write.mode("overwrite").partitionBy("_cell").parquet(f"{self.path}/documents/batch={batch}")
+        return self
+
+    def documents(self) -> DataFrame:
+        """All documents that are in the index, with ``batch`` and ``_cell``."""
+        return self.spark.read.option("basePath", f"{self.path}/documents").parquet(f"{self.path}/documents")
+
+    def count(self) -> DataFrame:
+        """``n_docs``: documents with a usable vector."""
+        return self.documents().agg(F.count("*").alias("n_docs"))
+
+    def search(self, queries: DataFrame, k: int = 5, *, query_id: str = "query_id", probes: int | None = None) -> DataFrame:
+        """Top-k by cosine in the ``probes`` cells nearest to each query; only their folders are read. A query that finds fewer than ``k`` is searched exactly."""
+        centres, measured = self._centres()
+        asked = stage(_probes(queries, centres, query_id, self.vector, probes or measured), "probes")
+        wanted = sorted(r[0] for r in asked.select("_cell").distinct().collect())  # one number for each cell at most
+        docs = self.documents().filter(F.col("_cell").isin(wanted)).select(self.doc_id, self.vector, "_cell")
+        return _searched(docs, asked, self.documents(), queries, k, self.doc_id, query_id, self.vector, QUERY_BLOCK, DOC_CHUNK)
+
+    def _centres(self) -> tuple[np.ndarray, int]:
+        rows = self.spark.read.parquet(f"{self.path}/centres").orderBy("_cell").collect()  # at most MAX_CELLS rows
+        return np.array([r.centre for r in rows]), rows[0].probes
+
+    def _placed(self, docs: DataFrame, centres: np.ndarray) -> DataFrame:
+        """``docs`` with the cell of their nearest centre; rows without a direction are left out, vectors of another width are an error."""
+        vector = self.vector
+        schema = T.StructType([*docs.schema.fields, T.StructField("_cell", T.IntegerType())])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                unit, ok = _unit_rows(list(frame[vector]), centres.shape[1])
+                if len(unit):
+                    yield frame[ok].assign(_cell=np.argmax(unit @ centres.T, axis=1).astype(np.int32))
+
+        return docs.mapInPandas(run, schema)
+
+
 def _probes(queries: DataFrame, centres: np.ndarray, query_id: str, vector: str, probes: int) -> DataFrame:
     """``query_id, vector, _cell``: each query once for each of the cells with the nearest centres."""
     schema = T.StructType([queries.schema[query_id], queries.schema[vector], T.StructField("_cells", T.ArrayType(T.IntegerType()))])
@@ -322,11 +417,18 @@ def nearest_approx(index: Index | None, docs: DataFrame, queries: DataFrame, k:
     """
     if index is None:
         return nearest(docs, queries, k, doc_id=doc_id, query_id=query_id, vector=vector)
-    schema = T.StructType([queries.schema[query_id], docs.schema[doc_id], T.StructField("similarity", T.DoubleType())])
     docs, queries = docs.select(doc_id, vector), queries.select(query_id, vector)
     centres = index.centres
     placed = stage(index.model.transform(_unit_vectors(docs, vector, centres.shape[1])).select(doc_id, vector, "_cell"), "cells")
     asked = stage(_probes(queries, centres, query_id, vector, probes or index.probes), "probes")
+    return _searched(placed, asked, docs, queries, k, doc_id, query_id, vector, block, chunk)
+
+
+def _searched(placed: DataFrame, asked: DataFrame, docs: DataFrame, queries: DataFrame, k: int, doc_id: str, query_id: str, vector: str,
+              block: int, chunk: int) -> DataFrame:
+    """Top-k of the ``asked`` queries among the documents ``placed`` in their cells; exact search among ``docs`` for those that find too few."""
+    schema = T.StructType([queries.schema[query_id], docs.schema[doc_id], T.StructField("similarity", T.DoubleType())])
+    docs, queries = docs.select(doc_id, vector), queries.select(query_id, vector)
 
     # one row for each cell, at most as many as there are centres
     chunks = placed.groupBy("_cell").agg(F.ceil(F.count("*") / chunk).alias("_chunks"))

@@ -39,6 +39,18 @@ def stream_dedupe(rows: DataFrame, key: str, stamp: str, delay: str = "1 day") -
     return rows.withWatermark(stamp, delay).dropDuplicatesWithinWatermark([key])
 
 
+def stream_latest(rows: DataFrame, key: str, stamp: str, order: list[str], delay: str = "1 day") -> DataFrame:
+    """The latest row per key, given out once no row of the key has come for ``delay`` and the watermark has passed that.
+
+    The state of a key is one session: a later row (by ``order``) replaces the one that is kept and extends the session. Rows of a key that lie further
+    apart are sessions of their own, each with its latest row. Works on streams (append mode) and on tables.
+    """
+    if rows.isStreaming:
+        rows = rows.withWatermark(stamp, delay)
+    latest = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("latest")
+    return rows.groupBy(F.session_window(stamp, delay).alias("w"), F.col(key).alias("_key")).agg(latest).select("latest.*")
+
+
 def collection_windows(rows: DataFrame, stamp: str, group: str, amount: str, size: str = "1 day",
                        slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Row count and sum per time window and group. Works on streams and on tables;

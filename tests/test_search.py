@@ -141,3 +141,42 @@ def test_ann_topk_answers_every_fiftieth_vector(spark, folder):
     asked = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 50 = 0 AND embedding IS NOT NULL").collect()}
     rows = load_all()["ann_topk"].run(spark, folder).collect()
     assert {r.query_id for r in rows} == asked and len(rows) == 5 * len(asked)
+
+
+def test_stored_index_lasts_grows_and_prunes(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 6)) * 4
+    rows = [(i, (centres[i % 8] + rng.normal(size=6)).tolist()) for i in range(400)] + [(900, None), (901, [0.0] * 6)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    first = search.StoredIndex(spark, path).reset(docs.filter("id < 200"), cells=8)
+    assert first.count().first()[0] == 200
+    for _ in range(2):  # a batch that is written again replaces itself
+        first.add(docs.filter("id >= 200"), "later")
+    again = search.StoredIndex(spark, path)
+    assert again.count().first()[0] == 400
+    asked = docs.filter("id % 50 = 0").withColumnRenamed("id", "query_id").filter("query_id < 400")
+    exact = search.nearest(docs.filter("id < 400"), asked, 5)
+    assert search.recall(again.search(asked, 5, probes=3), exact).first().recall >= 0.9
+    one = again.documents().filter(F.col("_cell").isin([2]))
+    assert "PartitionFilters: [isnotnull(_cell" in one._jdf.queryExecution().toString() or "PartitionFilters: [(_cell" in one._jdf.queryExecution().toString()
+    assert {r.id for r in again.search(asked, 500, probes=1).select("id").collect()} == {r[0] for r in rows[:400]}  # too few in a cell: all are searched
+    with pytest.raises(ValueError):
+        again.add(docs, "reset")
+    with pytest.raises(Exception, match="different widths"):
+        again.add(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"), "wrong")
+    assert search.StoredIndex(spark, path).reset(docs.filter("id < 50"), cells=4).count().first()[0] == 50
+
+
+def test_failed_texts_stay_with_their_error(spark):
+    docs = spark.createDataFrame([(i, "bad" if i in (3, 40) else f"t{i}") for i in range(60)], "id long, text string").coalesce(1)
+
+    def embedder(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[1.0, float(len(t))] for t in texts]
+
+    out = search.embed_or_explain(docs, embedder, batch_size=10)
+    assert search.embed_counts(out).first().asDict() == {"n_embedded": 58, "n_failed": 2, "n_retried": 20}
+    assert {r.id: r.error for r in out.filter("error is not null").collect()} == {3: "ValueError: no", 40: "ValueError: no"}
+    assert search.embed_with(docs, embedder, batch_size=10).count() == 40
