@@ -192,7 +192,6 @@ RUN_EVENTS = _struct(
     (TEXT, "run_id pipeline_run_id model_type status"), (LONG, "train_size val_size test_size n_features"),
     (T.MapType(TEXT, DOUBLE), "metrics"), (TEXT, "model_path artifacts_path error_message"), (TIME, "event_ts"),
 )
-VERSIONS = _struct((LONG, "version bucket n_buckets"), (TEXT, "path"), (TIME, "written_at"))
 _ITEM = T.StructType([
     T.StructField(name, DOUBLE if name in ("lon", "lat") else TEXT)
     for name in API_TO_TABLE if not name.startswith("b_") and name != "end_dt"

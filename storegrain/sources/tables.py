@@ -1,9 +1,7 @@
-"""Parquet tables: run-partitioned appends, versioned upserts, fitted state."""
+"""Parquet tables: run-partitioned appends, upserts by key, fitted state."""
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from storegrain import schemas
@@ -11,6 +9,7 @@ from storegrain.operators.features import Scaler, scaler_from_table, scaler_tabl
 from storegrain.operators.mapping import nan_to_null, project, to_region_names, to_table_names
 from storegrain.operators.runs import run_list
 from storegrain.operators.upsert import upsert
+from storegrain.session import stage
 
 
 def _stamped(df: DataFrame, schema: T.StructType, run_id: str, stamp: str) -> DataFrame:
@@ -61,100 +60,70 @@ def drop_old_runs(spark: SparkSession, path: str, keep: int, stamp: str) -> list
     return old
 
 
-# -- versioned tables -------------------------------------------------------
+# -- keyed tables -----------------------------------------------------------
 
 #: Buckets of a new keyed table. One bucket is what a single key costs an upsert: choose it so that a bucket is 1 GB at most.
 BUCKETS = 32
-#: The bucket of rows without a key; they collide with nothing, so its folders only add up.
+#: The bucket of rows without a key; they collide with nothing, so they are only appended.
 KEYLESS = -1
 
 
-class VersionedTable:
-    """A keyed table in hash buckets; an upsert rewrites the buckets that its batch touches and no others.
+class KeyedTable:
+    """A Parquet table in folders by hash bucket of its key; an upsert overwrites the folders of the buckets that its batch touches.
 
-    Each version has a folder with the buckets it wrote. The version list has a row for each of them, is appended in one file
-    after all data files are written, and so makes a version visible as a whole; a failed write changes nothing.
-    Folders that no reader needs any more stay until ``vacuum``.
+    The merged rows are staged before the old ones are replaced. A batch whose write failed is merged again: that gives the same rows, those of
+    rows without a key apart, which are appended as often as they are written. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
-
-    def _path(self, path: str):
-        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _listed(self) -> DataFrame:
-        path, fs = self._path(f"{self.root}/_list")
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], schemas.VERSIONS)
-        return self.spark.read.schema(schemas.VERSIONS).parquet(f"{self.root}/_list")
-
-    def _newest(self, version: int | None) -> list:
-        """One row for each bucket, and one for each folder of rows without a key: the folders of a version."""
-        listed = self._listed()
-        listed = listed if version is None else listed.filter(F.col("version") <= version)
-        part = F.when(F.col("bucket") == KEYLESS, F.col("version"))
-        return listed.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("version", "path", "n_buckets")).alias("f")).select(
-            "bucket", "f.*").collect()
-
-    def version(self) -> int:
-        return self._listed().agg(F.max("version")).first()[0] or 0
-
-    def paths(self, version: int | None = None) -> list[str]:
-        return [r.path for r in self._newest(version)]
+        self.spark, self.root, self.schema, self.key, self.new_buckets = spark, root.rstrip("/"), schema, key, buckets
 
-    def _files(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    def _stored(self) -> DataFrame | None:
+        """All rows with ``_of`` (the number of buckets) and ``_bucket``; None before the first write."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder) or not any("_of=" in x.getPath().getName() for x in fs.listStatus(folder)):
+            return None
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_of", T.IntegerType()), T.StructField("_bucket", T.IntegerType())])).parquet(self.root)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The newest version, or an earlier one that has not been vacuumed."""
-        return self._files(self.paths(version))
+    def read(self) -> DataFrame:
+        stored = self._stored()
+        return self.spark.createDataFrame([], self.schema) if stored is None else stored.select(*self.schema.names)
 
     def upsert(self, batch: DataFrame, order: list, now=None) -> DataFrame:
         """Merge ``batch``; it is read twice (its buckets, its rows), so hand over a stored one if it is costly."""
-        newest = self._newest(None)
-        buckets = newest[0].n_buckets if newest else self.buckets
+        stored = self._stored()
+        buckets = self.new_buckets if stored is None else stored.select("_of").first()[0]  # once chosen, the number stays
         key = F.col(self.key).cast(self.schema[self.key].dataType)
-        bucket = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(KEYLESS).cast("bigint")
-        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}  # one row for each bucket at most
-        if touched:
-            old = self._files([r.path for r in newest if r.bucket in touched - {KEYLESS}])
-            number = max((r.version for r in newest), default=0) + 1
-            folder = f"{self.root}/v{number:08d}"
-            merged = upsert(old, batch, self.key, order, now).withColumn("_bucket", bucket)
-            # keyless rows share a bucket, so they are spread by their content; others have a task for each bucket
-            spread = F.when(F.col("_bucket") == KEYLESS, F.xxhash64(*self.schema.names)).otherwise(F.col("_bucket"))
-            merged.repartition("_bucket", spread).write.mode("overwrite").partitionBy("_bucket").parquet(folder)
-            stamp = datetime.now(timezone.utc)
-            rows = [(number, b, buckets, f"{folder}/_bucket={b}", stamp) for b in sorted(touched)]
-            self.spark.createDataFrame(rows, schemas.VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/_list")
-            kept = [r.path for r in newest if r.bucket not in touched - {KEYLESS}]
-            return self._files(kept + [r[3] for r in rows])
-        return self._files([r.path for r in newest])
-
-    def vacuum(self) -> list[str]:
-        """Delete the bucket folders that the newest version does not use; earlier versions can then no longer be read."""
-        used = set(self.paths())
-        old = [r[0] for r in self._listed().select("path").distinct().collect() if r[0] not in used]
-        gone = []
-        for name in old:
-            path, fs = self._path(name)
-            if fs.delete(path, True):
-                gone.append(name)
-        return gone
+        bucket = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(KEYLESS).cast("int")
+        touched = {r[0] for r in batch.select(bucket.alias("b")).distinct().collect()}  # one number for each bucket at most
+        if not touched:
+            return self.read()
+        keyed = touched - {KEYLESS}
+        old = self.read().limit(0) if stored is None else stored.filter(F.col("_bucket").isin(*keyed)).select(*self.schema.names) if keyed else self.read().limit(0)
+        merged = upsert(old, batch, self.key, order, now).withColumns({"_of": F.lit(buckets), "_bucket": bucket})
+        # keyless rows share a bucket, so they are spread by their content; others have a task for each bucket
+        spread = F.when(F.col("_bucket") == KEYLESS, F.xxhash64(*self.schema.names)).otherwise(F.col("_bucket"))
+        merged = stage(merged, "merged")
+        parts = merged.repartition("_bucket", spread)
+        if keyed:
+            (parts.filter(F.col("_bucket") != KEYLESS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("_of", "_bucket").parquet(self.root))
+        if KEYLESS in touched:
+            parts.filter(F.col("_bucket") == KEYLESS).write.mode("append").partitionBy("_of", "_bucket").parquet(self.root)
+        return self.read()
 
 
 def upsert_stores(spark: SparkSession, root: str, df: DataFrame, order: list, now=None) -> DataFrame:
     """API or table rows into ``stores`` by ``biz_id``."""
     batch = nan_to_null(to_table_names(df))
-    return VersionedTable(spark, root, schemas.STORES, "biz_id").upsert(batch, order, now)
+    return KeyedTable(spark, root, schemas.STORES, "biz_id").upsert(batch, order, now)
 
 
 def upsert_regions(spark: SparkSession, root: str, df: DataFrame, order: list) -> DataFrame:
     """Region rows into ``region_codes`` by ``region_cd``."""
     batch = to_region_names(df)
-    return VersionedTable(spark, root, schemas.REGION_CODES, "region_cd").upsert(batch, order)
+    return KeyedTable(spark, root, schemas.REGION_CODES, "region_cd").upsert(batch, order)
 
 
 # -- feature sets and fitted state ------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storegrain import schemas
-from storegrain.sources.tables import VersionedTable, upsert_stores
+from storegrain.sources.tables import KeyedTable, upsert_stores
 
 
 def store_page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -16,7 +16,7 @@ def store_page_stream(spark: SparkSession, path: str, files_per_batch: int = 100
 
 
 def stream_upsert(rows: DataFrame, root: str, checkpoint: str, order: list | None = None, now=None) -> StreamingQuery:
-    """Every micro-batch is merged into the buckets of ``stores`` it touches; a repeated batch changes nothing but the version number."""
+    """Every micro-batch is merged into the buckets of ``stores`` it touches; a repeated batch changes nothing."""
     spark = rows.sparkSession
     order = [F.desc("page")] if order is None else order
 
@@ -31,7 +31,7 @@ def stream_upsert(rows: DataFrame, root: str, checkpoint: str, order: list | Non
 
 
 def current_stores(spark: SparkSession, root: str) -> DataFrame:
-    return VersionedTable(spark, root, schemas.STORES, "biz_id").read()
+    return KeyedTable(spark, root, schemas.STORES, "biz_id").read()
 
 
 def stream_dedupe(rows: DataFrame, key: str, stamp: str, delay: str = "1 day") -> DataFrame:

@@ -49,3 +49,22 @@ def test_first_row_per_key(spark, tmp_path):
     stream = ingest.stream_dedupe(spark.readStream.schema("ts timestamp, k string").parquet(path), "k", "ts", "1 day").select("k")
     ingest.to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_latest_row_per_key(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def write(rows):
+        spark.createDataFrame(rows, "ts string, k string, v int").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        stream = ingest.stream_latest(spark.readStream.schema("ts timestamp, k string, v int").parquet(path), "k", "ts", ["ts", "v"], "1 hour")
+        ingest.to_parquet(stream, out, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.k, r.v) for r in spark.read.schema("ts timestamp, k string, v int").parquet(out).collect())
+
+    write([("2024-01-01 10:00:00", "a", 1), ("2024-01-01 10:30:00", "a", 2), ("2024-01-01 10:30:00", "a", 3), ("2024-01-01 10:10:00", "b", 4)])
+    assert run() == []  # a later row may still come
+    write([("2024-01-01 11:10:00", "a", 5), ("2024-01-01 13:00:00", "c", 6)])
+    assert run() == [("b", 4)]  # a was extended and is still open
+    write([("2024-01-01 18:00:00", "c", 7), ("2024-01-01 10:40:00", "b", 8)])
+    assert run() == [("a", 5), ("b", 4), ("c", 6)]  # b's row came behind the watermark

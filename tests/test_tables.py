@@ -39,48 +39,48 @@ def test_upsert_twice_changes_nothing(spark):
     assert once.exceptAll(twice).isEmpty() and twice.count() == 2
 
 
-def test_versions(spark, tmp_path):
+def test_upserts_of_names_from_two_sources(spark, tmp_path):
     root = str(tmp_path / "stores")
-    table = tables.VersionedTable(spark, root, schemas.STORES, "biz_id")
+    table = tables.KeyedTable(spark, root, schemas.STORES, "biz_id")
     assert table.read().count() == 0
     rows = spark.createDataFrame([("1", "a"), ("2", "b")], "bizesId string, bizesNm string")
     tables.upsert_stores(spark, root, rows, [F.desc("store_name")])
     out = tables.upsert_stores(spark, root, spark.createDataFrame([("2", "c")], "biz_id string, store_name string"), [F.desc("store_name")])
     assert sorted((r.biz_id, r.store_name) for r in out.collect()) == [("1", "a"), ("2", "c")]
-    assert table.version() == 2
+
+
+def files_of(root):
+    return {str(p) for p in root.rglob("*.parquet")}
 
 
 def test_upsert_writes_only_touched_buckets(spark, tmp_path):
-    root = str(tmp_path / "stores")
-    table = tables.VersionedTable(spark, root, schemas.STORES, "biz_id", buckets=8)
+    folder = tmp_path / "stores"
+    table = tables.KeyedTable(spark, str(folder), schemas.STORES, "biz_id", buckets=8)
     names = spark.range(200).selectExpr("cast(id as string) as biz_id", "concat('s', id) as store_name")
     table.upsert(names.unionByName(names.limit(2).withColumn("biz_id", F.lit(None).cast("string"))), [F.desc("store_name")])
-    before = table.paths()
+    before = files_of(folder)
     one = spark.createDataFrame([("7", "new"), ("7", "old")], "biz_id string, store_name string")
     out = table.upsert(one, [F.asc("store_name")])
-    after = table.paths()
-    assert len(set(before) - set(after)) == 1 and len(set(after) - set(before)) == 1
+    after = files_of(folder)
+    changed = {p.split("_bucket=")[1].split("/")[0] for p in before ^ after}
+    assert len(changed) == 1 and changed != {"-1"}
     assert out.count() == 202 and out.filter("biz_id is null").count() == 2
     assert out.filter("biz_id = '7'").first().store_name == "new"
     # rows without a key are appended, nothing else is touched
     out = table.upsert(one.limit(1).withColumn("biz_id", F.lit(None).cast("string")), [F.asc("store_name")])
-    assert set(after) < set(table.paths()) and out.filter("biz_id is null").count() == 3
-    # another number of buckets does not matter once the table exists
-    again = tables.VersionedTable(spark, root, schemas.STORES, "biz_id", buckets=3)
+    assert after < files_of(folder) and out.filter("biz_id is null").count() == 3
+    # another number of buckets does not matter once the table exists, the same batch again changes no row
+    again = tables.KeyedTable(spark, str(folder), schemas.STORES, "biz_id", buckets=3)
     assert again.upsert(one, [F.asc("store_name")]).count() == 203
-    assert table.read(1).count() == 202 and table.read(1).filter("biz_id = '7'").first().store_name == "s7"
     assert again.upsert(one.limit(0), [F.asc("store_name")]).count() == 203
+    plan = again._stored().filter(F.col("_bucket").isin(1, 2))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [_bucket" in plan or "PartitionFilters: [isnotnull(_bucket" in plan
 
 
-def test_vacuum_removes_unreferenced_folders(spark, tmp_path):
-    root = str(tmp_path / "stores")
-    table = tables.VersionedTable(spark, root, schemas.STORES, "biz_id", buckets=4)
-    rows = spark.range(50).selectExpr("cast(id as string) as biz_id", "'a' as store_name")
-    for name in ("a", "b"):
-        table.upsert(rows.withColumn("store_name", F.lit(name)), [F.asc("store_name")])
-    gone = table.vacuum()
-    assert len(gone) == 4 and all("v00000001" in p for p in gone)
-    assert table.read().filter("store_name = 'b'").count() == 50 and table.vacuum() == []
+def test_table_of_keyless_rows_only(spark, tmp_path):
+    table = tables.KeyedTable(spark, str(tmp_path / "t"), schemas.STORES, "biz_id")
+    rows = spark.createDataFrame([(None, "a")], "biz_id string, store_name string")
+    assert table.upsert(rows, [F.asc("store_name")]).count() == 1 and table.upsert(rows, [F.asc("store_name")]).count() == 2
 
 
 def test_runs_are_replaced_and_dropped(spark, tmp_path):
