@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from storegrain.operators.quantiles import exact_quantiles, values_at_ranks
+from pyspark.sql import functions as F
+
+from storegrain.operators.quantiles import exact_quantiles, ranked_values, values_at_ranks
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -53,3 +55,30 @@ def test_big_integers_keep_every_digit(spark):
     df = spark.range(20_000).selectExpr(f"{base} + id * 3 as x")
     assert values_at_ranks(df, "x", [0, 7_777, 19_999], 20_000, gather=50) == {
         0: base, 7_777: base + 3 * 7_777, 19_999: base + 3 * 19_999}
+
+
+def test_columns_of_several_types_together(spark):
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1), float(i % 3), rng.randrange(1 << 60), None if i % 2 else i, rng.randrange(9)) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "a double, b float, c bigint, d int, e smallint").withColumn("f", F.lit(None).cast("double"))
+    got = exact_quantiles(df, {c: PROBS for c in df.columns}, direct=0, gather=30)
+    for i, name in enumerate("abde"):
+        values = [r["abcde".index(name)] for r in rows]
+        assert got[name] == pytest.approx(list(np.quantile([v for v in values if v is not None], PROBS)), rel=1e-12)
+    ordered = sorted(r[2] for r in rows)
+    whole = ranked_values(df, {"c": [0, 4_321, 5_999], "e": [17]}, {"c": 6_000, "e": 6_000}, gather=30)
+    assert whole == {"c": {k: ordered[k] for k in (0, 4_321, 5_999)}, "e": {17: 0}}
+    assert got["f"] == [None] * len(PROBS)
+
+
+def test_the_number_of_jobs_does_not_grow_with_the_columns(spark):
+    def jobs(n):
+        df = spark.range(20_000).select(*[((F.col("id") * (2 * i + 3)) % 19_997).cast("double").alias(f"c{i}") for i in range(n)])
+        group = f"quantiles-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in df.columns}, direct=0, gather=1_000)
+        assert got["c0"] == exact_quantiles(df.select("c0"), {"c0": [0.25, 0.5, 0.75]})["c0"]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(24) <= jobs(3) + 2
