@@ -202,13 +202,30 @@ STATS_TEXT = f"""SELECT level, category, district,
   || CASE WHEN active + closed > 0 THEN chr(10) || 'trading ' || {text_sql('active')} || ' ('
     || {percent_sql('100e0 * active / (active + closed)')} || '), closed ' || {text_sql('closed')} || ' ('
     || {percent_sql('100e0 * closed / (active + closed)')} || '), suspended ' || {text_sql('suspended')} || ', unknown '
-    || {text_sql('total - active - suspended - closed')} ELSE '' END AS stats_text
-FROM cube"""
-
-
-@query("stats_text", with_stores(STATS_TEXT, cube=CUBE))
+    || {text_sql('total - active - suspended - closed')} ELSE '' END
+  || coalesce(chr(10) || 'top categories: ' || t1.list, '') || coalesce(chr(10) || 'top sub-categories: ' || t2.list, '')
+  || coalesce(chr(10) || 'top districts: ' || t3.list, '') AS stats_text
+FROM cube""" + "".join(f"""
+LEFT JOIN (SELECT level AS l, category AS c, district AS d, list FROM tops WHERE kind = '{kind}') t{i}
+  ON t{i}.l = level AND t{i}.c IS NOT DISTINCT FROM category AND t{i}.d IS NOT DISTINCT FROM district"""
+    for i, kind in enumerate(("category", "sub_category", "district"), 1))
+
+TOPS = """SELECT level, category, district, kind, string_agg(value || '(' || format('{:,}', n) || ')', ', ' ORDER BY rk) AS list
+FROM (SELECT *, row_number() OVER (PARTITION BY level, category, district, kind ORDER BY n DESC, value) AS rk FROM (
+  SELECT 3 AS level, NULL AS category, NULL AS district, 'category' AS kind, category_large AS value, count(*) AS n
+  FROM stores GROUP BY ALL
+  UNION ALL SELECT 2, NULL, adong_name, 'category', category_large, count(*) FROM stores GROUP BY ALL
+  UNION ALL SELECT 1, category_large, NULL, 'sub_category', category_mid, count(*) FROM stores GROUP BY ALL
+  UNION ALL SELECT 1, category_large, NULL, 'district', adong_name, count(*) FROM stores GROUP BY ALL
+  UNION ALL SELECT 0, category_large, adong_name, 'sub_category', category_mid, count(*) FROM stores GROUP BY ALL)
+  WHERE value <> '')
+WHERE rk <= CASE WHEN level = 0 THEN 3 ELSE 5 END GROUP BY 1, 2, 3, 4"""
+
+
+@query("stats_text", with_stores(STATS_TEXT, cube=CUBE, tops=TOPS))
 def stats_text(spark, folder):
-    return reports.stats_text(stats.stats_cube(stores(spark, folder)))
+    rows = stores(spark, folder)
+    return reports.stats_text(stats.stats_cube(rows), stats.scope_tops(rows))
 
 
 @query("last_turns", """

@@ -30,8 +30,14 @@ def share_text(value) -> Column:
     return percent_text(value * 100)
 
 
-def stats_text(stats: DataFrame) -> DataFrame:
-    """Text block per scope row of ``stats_cube``: size, rates, status counts."""
+def stats_text(stats: DataFrame, tops: DataFrame | None = None) -> DataFrame:
+    """Text block per scope row of ``stats_cube``: size, rates, status counts and, from ``scope_tops``, the top lists."""
+    lists = []
+    if tops is not None:
+        scope_key = F.to_json(F.struct("level", "category", "district")).alias("_scope")
+        names = {"top_categories": "top categories", "top_sub_categories": "top sub-categories", "top_districts": "top districts"}
+        stats = attach(stats.withColumn("_scope", scope_key), tops.select(scope_key, *names), "_scope")
+        lists = [F.concat(F.lit(f"{title}: "), F.col(name)) for name, title in names.items()]
     scope = F.concat_ws(" / ", F.coalesce("category", F.lit("all categories")), F.coalesce("district", F.lit("all districts")))
     head = F.concat(scope, F.lit(": "), count_text("total"), F.lit(" stores"))
     rates = F.when(
@@ -39,7 +45,7 @@ def stats_text(stats: DataFrame) -> DataFrame:
         F.concat(F.lit("trading "), count_text("active"), F.lit(" ("), percent_text("survival_rate"), F.lit("), closed "),
                  count_text("closed"), F.lit(" ("), percent_text("closure_rate"), F.lit("), suspended "), count_text("suspended"),
                  F.lit(", unknown "), count_text(F.col("total") - F.col("active") - F.col("closed") - F.col("suspended"))))
-    return stats.select("level", "category", "district", F.concat_ws("\n", head, rates).alias("stats_text"))
+    return stats.select("level", "category", "district", F.concat_ws("\n", head, rates, *lists).alias("stats_text"))
 
 
 def last_turns(turns: DataFrame, k: int = TURNS) -> DataFrame:

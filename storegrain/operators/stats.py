@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from storegrain.functions.columns import contains_text, first_present, lookup
-from storegrain.operators.ranking import listed, top_values
+from storegrain.operators.ranking import listed, top_k, top_values
 from storegrain.schemas import ACTIVE, CATEGORY_SYNONYMS, CLOSED, SUSPENDED
 from storegrain.session import stage
 
@@ -196,6 +196,44 @@ def stats_cube(df: DataFrame) -> DataFrame:
                    [F.countDistinct("district").alias("n_districts")])
 
 
+# Places of the top lists per scope; the pair of a category and a district has shorter ones.
+TOP_PLACES = 5
+PAIR_PLACES = 3
+
+
+def scope_tops(df: DataFrame) -> DataFrame:
+    """Top lists beside ``stats_cube``: ``level, category, district, top_categories, top_sub_categories, top_districts``.
+
+    Overall and per district the most frequent categories, per category the sub-categories and districts, per
+    pair the sub-categories, as ``name(count)`` texts; null where a scope has no such list or no name for it.
+    The stores are counted once; every count then stands for its five lists, and each task
+    keeps only as many names of a list as it has places before the lists meet.
+    """
+    nothing = F.lit(None).cast("string")
+
+    def part(level: int, kind: str, category=nothing, district=nothing):
+        return F.struct(F.lit(level).alias("level"), category.alias("category"), district.alias("district"),
+                        F.lit(kind).alias("kind"), F.col(kind).alias("value"))
+
+    c, d = F.col("category"), F.col("district")
+    parts = F.array(part(3, "category"), part(2, "category", district=d), part(1, "sub_category", c),
+                    part(1, "district", c), part(0, "sub_category", c, d))
+    scope = ["level", "category", "district"]
+    lists = counted(df).select(F.explode(parts).alias("p"), "n").select("p.*", "n").filter("value <> ''")
+    sums = lists.groupBy(*scope, "kind", "value").agg(F.sum("n").alias("n"))
+    best = top_k(sums, [*scope, "kind"], [F.desc("n"), F.asc("value")], TOP_PLACES).filter(
+        (F.col("level") > 0) | (F.col("rank") <= PAIR_PLACES))
+    item = F.struct("rank", F.concat("value", F.lit("("), F.format_number("n", 0), F.lit(")")).alias("text"))
+
+    def text(kind: str) -> Column:
+        items = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item)))
+        return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: x["text"]), ", "))
+
+    return best.groupBy(*scope).agg(
+        text("category").alias("top_categories"), text("sub_category").alias("top_sub_categories"),
+        text("district").alias("top_districts"))
+
+
 def stats_grouping_sets(df: DataFrame) -> DataFrame:
     """The category and the district scope only."""
     finest = _finest(df.select(
