@@ -56,14 +56,18 @@ def sink_csv(spark, folder):
     return files.read_csv_text(spark, path).select("adong_name", F.col("n").cast("bigint").alias("n"))
 
 
-@query("scan_region_files", f"SELECT sido_cd, count(*) AS n, count(DISTINCT sido_cd) AS n_files FROM ({NORMAL}) GROUP BY 1")
+@query("scan_region_files", f"""
+SELECT sido_cd, count(*) AS n, count(DISTINCT CAST(dong_cd AS INTEGER) % 3) AS n_files FROM ({NORMAL}) GROUP BY 1""")
 def scan_region_files(spark, folder):
-    """One file set per province; the scan reads them together."""
+    """Up to three files per province; the scan reads them together and says which file a row came from."""
     root = staging_path(spark, "regions")
     codes = regions.normalize_codes(view(spark, folder, HDONG_SQL))
-    codes.withColumn("file", F.col("sido_cd")).write.partitionBy("file").option("header", True).csv(f"{root}/hdong_codes_all.csv")
+    third = (F.col("dong_cd").cast("int") % 3).alias("third")
+    # One task holds all rows of a folder, so each folder gets one file.
+    codes.withColumns({"file": F.col("sido_cd"), "third": third}).repartition("file", "third").write.partitionBy(
+        "file", "third").option("header", True).csv(f"{root}/hdong_codes_all.csv")
     rows = files.read_region_files(spark, root)
-    return rows.groupBy("sido_cd").agg(F.count("*").alias("n"), F.countDistinct("sido_cd").alias("n_files"))
+    return rows.groupBy("sido_cd").agg(F.count("*").alias("n"), F.countDistinct("source_file", "third").alias("n_files"))
 
 
 # -- landed pages -----------------------------------------------------------
@@ -101,8 +105,8 @@ def scan_status_pages(spark, folder):
     return files.read_status_pages(spark, path).select("b_no", "b_stt_cd", "end_dt")
 
 
-def region_documents(spark, folder) -> str:
-    """The register landed as XML answers: one request per district, pages of at most 100 rows."""
+def region_documents(spark, folder, lost: str = "false") -> str:
+    """The register landed as XML answers: one request per district, pages of at most 100 rows, without the pages ``lost`` says."""
     path = staging_path(spark, "xml")
     register = view(spark, folder, REGISTER_SQL).withColumn("request", F.substring("region_cd", 1, 5))
     total = register.groupBy("request").agg(F.count("*").alias("total"))
@@ -116,7 +120,7 @@ def region_documents(spark, folder) -> str:
         F.lit("<StanReginCd><head><totalCount>"), F.col("total").cast("string"), F.lit("</totalCount><numOfRows>100</numOfRows><pageNo>"),
         F.col("page").cast("string"), F.lit("</pageNo><request>"), F.col("request"), F.lit("</request></head>"), F.col("rows"),
         F.lit("</StanReginCd>"))
-    pages.join(total, "request").select(document.alias("value")).write.text(path)
+    pages.filter(f"NOT ({lost})").join(total, "request").select(document.alias("value")).write.text(path)
     return path
 
 
@@ -125,14 +129,60 @@ def scan_region_xml(spark, folder):
     return files.read_region_xml(spark, region_documents(spark, folder), per_line=True).select("region_cd", "locatadd_nm", "locat_rm")
 
 
+LOST_PAGE = "page = 3 AND request % 4 = 1 OR page = 14 AND request % 4 = 2"
+
+
 @query("page_completeness", f"""
-SELECT substr(region_cd, 1, 5) AS request, count(DISTINCT CAST(floor(CAST(substr(region_cd, 6, 3) AS BIGINT) / 30) AS BIGINT)) AS n_pages,
-  count(*) AS n_rows, count(*) AS total, true AS complete FROM ({REGISTER}) GROUP BY 1""")
+SELECT request, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_rows, any_value(total) AS total,
+  sum(n) >= any_value(total) OR max_by(n < 100, page) AND count(*) = max(page) - min(page) + 1 AS complete
+FROM (SELECT request, page, count(*) AS n, sum(count(*)) OVER (PARTITION BY request) AS total
+  FROM (SELECT substr(region_cd, 1, 5) AS request, CAST(substr(region_cd, 6, 3) AS BIGINT) // 30 + 1 AS page FROM ({REGISTER})) GROUP BY 1, 2)
+WHERE NOT (page = 3 AND CAST(request AS INTEGER) % 4 = 1 OR page = 14 AND CAST(request AS INTEGER) % 4 = 2) GROUP BY 1""")
 def page_completeness(spark, folder):
-    documents = files.read_region_documents(spark, region_documents(spark, folder), per_line=True)
+    """Of some districts a page in the middle never arrived, of others the last one."""
+    documents = files.read_region_documents(spark, region_documents(spark, folder, LOST_PAGE), per_line=True)
     return regions.page_completeness(files.region_pages(documents)).drop("short_end")
 
 
+ASKED = """SELECT DISTINCT n_nationkey, n_name || '-' || CAST(c_custkey % 5 AS STRING) AS dong_code, n_name AS dong_name
+  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""
+
+
+@query("collection_failures", with_stores("""
+SELECT dong_code AS dong_cd, dong_name, coalesce(n, 0) AS store_count,
+  CASE WHEN error_msg IS NOT NULL THEN 'fail' WHEN n > 0 THEN 'success' ELSE 'no_data' END AS status, error_msg
+FROM (SELECT dong_code, dong_name, n, CASE WHEN landed.adong_name IS NOT NULL THEN message
+    WHEN n_nationkey % 2 = 1 THEN 'no answer landed' END AS error_msg
+  FROM asked LEFT JOIN landed ON landed.adong_name = dong_code LEFT JOIN messages ON messages.adong_name = dong_code)""",
+    asked=plain(ASKED),
+    landed_pages="""SELECT adong_name, CAST(biz_id AS BIGINT) // 2000 % 11 AS kind, count(DISTINCT CAST(biz_id AS BIGINT) // 2000) AS pages, count(*) AS n
+  FROM stores GROUP BY 1, 2""",
+    landed="SELECT adong_name, CAST(coalesce(sum(n) FILTER (kind NOT IN (3, 5)), 0) AS BIGINT) AS n FROM landed_pages GROUP BY 1",
+    messages="""SELECT adong_name, string_agg(error || CASE WHEN pages > 1 THEN ' x' || pages ELSE '' END, '; '
+    ORDER BY error || CASE WHEN pages > 1 THEN ' x' || pages ELSE '' END) AS message
+  FROM (SELECT adong_name, pages, CASE kind WHEN 3 THEN 'page is no JSON document' ELSE 'page does not fit its schema: body' END AS error
+    FROM landed_pages WHERE kind IN (3, 5)) GROUP BY 1"""))
+def collection_failures(spark, folder):
+    """Answers per neighbourhood: some cut off, some of another shape, some empty, and some neighbourhoods without any."""
+    path = staging_path(spark, "answers")
+    asked = view(spark, folder, ASKED)
+    rows = stores(spark, folder).select(
+        F.col("adong_name").alias("dong_code"), F.floor(F.col("biz_id").cast("bigint") / 2000).alias("page"),
+        F.struct(F.col("biz_id").alias("bizesId"), F.col("adong_name").alias("adongNm")).alias("item"))
+    pages = rows.groupBy("dong_code", "page").agg(F.collect_list("item").alias("items"))
+    kind = F.col("page") % 11
+    whole = F.to_json(F.struct("page", F.struct("items").alias("body")))
+    answer = F.when(kind == 3, F.expr("left(answer, length(answer) - 5)")).when(
+        kind == 5, F.to_json(F.struct("page", F.lit("busy").alias("body")))).otherwise(F.col("answer"))
+    answers = pages.withColumn("answer", whole).select("dong_code", answer.alias("value"))
+    empty = asked.filter("n_nationkey % 2 = 0").join(rows.select("dong_code").distinct(), "dong_code", "left_anti")
+    answers = answers.unionByName(empty.select("dong_code", F.lit('{"page":0,"body":{"items":[]}}').alias("value")))
+    answers.repartition("dong_code").write.partitionBy("dong_code").text(path)
+    found = files.read_store_pages(spark, path).withColumnRenamed("adongNm", "dong_code")
+    attempts = files.landed_attempts(spark, path, schemas.STORE_PAGE, "dong_code")
+    return regions.collection_log(asked, found, attempts=attempts).drop("collected_at")
+
+
 # -- run tables -------------------------------------------------------------
 
 @query("append_run", with_stores(

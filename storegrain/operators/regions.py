@@ -124,16 +124,30 @@ def page_completeness(pages: DataFrame) -> DataFrame:
         "complete", (F.col("n_rows") >= F.col("total")) | (F.col("short_end") & F.col("no_gap"))).drop("no_gap")
 
 
-def collection_log(targets: DataFrame, rows: DataFrame, code: str = "dong_code", now=None) -> DataFrame:
-    """One log row per requested neighbourhood, also for those without a store."""
+def collection_log(targets: DataFrame, rows: DataFrame, code: str = "dong_code", now=None,
+                   attempts: DataFrame | None = None) -> DataFrame:
+    """One log row per requested neighbourhood, also for those without a store.
+
+    ``attempts(code, error)`` is what was landed for a neighbourhood, one row per answer, ``error`` null for a
+    readable one (``files.landed_attempts``). A neighbourhood with a failed answer, or asked in
+    vain, counts as ``fail`` even if other answers brought stores: its rows are not whole. The message names every different error.
+    """
     counts = rows.groupBy(code).agg(F.count("*").alias("store_count"))
     joined = targets.join(counts, code, "left")
     n = F.coalesce(F.col("store_count"), F.lit(0))
+    error = F.lit(None).cast("string")
+    if attempts is not None:
+        # Equal errors of a neighbourhood combine before the shuffle, so one that failed often is not gathered.
+        errors = attempts.groupBy(code, "error").agg(F.count("*").alias("n"))
+        text = F.when(F.col("error").isNotNull(), F.concat("error", F.when(F.col("n") > 1, F.concat(F.lit(" x"), F.col("n").cast("string"))).otherwise("")))
+        message = F.array_join(F.array_sort(F.collect_list(text)), "; ")
+        errors = errors.groupBy(code).agg(F.lit(True).alias("tried"), message.alias("message"))
+        joined = joined.join(errors, code, "left")
+        error = F.when(F.col("tried").isNull(), "no answer landed").when(F.col("message") != "", F.col("message"))
     return joined.select(
         F.col(code).alias("dong_cd"), F.col("dong_name"), n.alias("store_count"),
-        F.when(n > 0, "success").otherwise("no_data").alias("status"),
-        F.lit(None).cast("string").alias("error_msg"),
-        (F.current_timestamp() if now is None else now).alias("collected_at"))
+        F.when(error.isNotNull(), "fail").when(n > 0, "success").otherwise("no_data").alias("status"),
+        error.alias("error_msg"), (F.current_timestamp() if now is None else now).alias("collected_at"))
 
 
 def response_rate(requested: DataFrame, answered: DataFrame, key: str) -> DataFrame:

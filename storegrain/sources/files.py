@@ -39,6 +39,24 @@ def rejected_pages(spark: SparkSession, path: str, schema: T.StructType, multi_l
         "file", F.col("_corrupt_record").alias("record"))
 
 
+def landed_attempts(spark: SparkSession, path: str, schema: T.StructType, code: str, multi_line: bool = False) -> DataFrame:
+    """One row ``(code, error)`` per answer landed under ``path/code=.../``: null for a readable page, else what is wrong.
+
+    Spark reads the code from the folder, so it is known for a page that is no JSON at all. A page of which not a
+    single field could be read is called broken as a whole, other broken pages by the fields that are missing.
+    """
+    known = T.StructType([
+        *schema.fields, T.StructField("_corrupt_record", T.StringType()), T.StructField(code, T.StringType())])
+    pages = spark.read.schema(known).json(path, multiLine=multi_line)
+    lost = F.array_join(F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in schema.names])), ", ")
+    nothing = F.lit(", ".join(schema.names))
+    broken = F.col("_corrupt_record").isNotNull()
+    error = F.when(broken & (lost == nothing), "page is no JSON document").when(
+        broken, F.concat(F.lit("page does not fit its schema: "), lost)).when(
+        F.col(schema.names[-1]).isNull(), F.lit(f"answer without {schema.names[-1]}"))
+    return pages.select(F.col(code), error.alias("error"))
+
+
 def read_store_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Landed store API pages, one JSON document per line or (``multi_line``) per file; a page without items adds no rows.
 

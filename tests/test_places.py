@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from storegrain import schemas
 from storegrain.operators import nearby, regions
+from storegrain.sources import files
 
 
 def metres(a, b):
@@ -92,3 +94,29 @@ def test_log_has_a_row_for_empty_requests(spark):
     answered = spark.createDataFrame([("1",)], "dong_code string")
     assert tuple(regions.response_rate(targets, answered, "dong_code").first()) == (2, 1, 50.0)
     assert regions.response_rate(targets.limit(0), answered, "dong_code").withColumn("z", F.lit(1)).first().pct == 0.0
+
+
+def test_log_says_what_failed(spark, tmp_path):
+    page = '{"page":1,"body":{"items":[{"bizesId":"9","adongNm":"x"}]}}'
+    land = {"ok": [page], "cut": [page[:-3], page[:-4], page], "shape": ['{"page":2,"body":7}'], "null": ['{"page":2}'],
+            "empty": ['{"page":0,"body":{"items":[]}}']}
+    for code, lines in land.items():
+        folder = tmp_path / f"dong_code={code}"
+        folder.mkdir()
+        (folder / "a.json").write_text("\n".join(lines))
+    attempts = files.landed_attempts(spark, str(tmp_path), schemas.STORE_PAGE, "dong_code")
+    targets = spark.createDataFrame([(c, c) for c in [*land, "never"]], "dong_code string, dong_name string")
+    rows = spark.createDataFrame([("ok",), ("cut",)], "dong_code string")
+    out = {r.dong_cd: (r.store_count, r.status, r.error_msg) for r in regions.collection_log(targets, rows, attempts=attempts).collect()}
+    assert out == {
+        "ok": (1, "success", None), "cut": (1, "fail", "page is no JSON document x2"),
+        "shape": (0, "fail", "page does not fit its schema: body"), "null": (0, "fail", "answer without body"),
+        "empty": (0, "no_data", None), "never": (0, "fail", "no answer landed")}
+
+
+def test_pages_over_several_lines_can_fail_too(spark, tmp_path):
+    for code, text in {"a": '{"page":1,\n "body":{"items":[]}}', "b": '{"page":1,\n "body":{"items":['}.items():
+        (tmp_path / f"dong_code={code}").mkdir()
+        (tmp_path / f"dong_code={code}" / "p.json").write_text(text)
+    found = files.landed_attempts(spark, str(tmp_path), schemas.STORE_PAGE, "dong_code", multi_line=True)
+    assert {r.dong_code: r.error for r in found.collect()} == {"a": None, "b": "page is no JSON document"}
