@@ -155,7 +155,7 @@ FROM (SELECT dong_code, dong_name, n, CASE WHEN landed.adong_name IS NOT NULL TH
     WHEN n_nationkey % 2 = 1 THEN 'no answer landed' END AS error_msg
   FROM asked LEFT JOIN landed ON landed.adong_name = dong_code LEFT JOIN messages ON messages.adong_name = dong_code)""",
     asked=plain(ASKED),
-    landed_pages="""SELECT adong_name, CAST(biz_id AS BIGINT) // 2000 % 11 AS kind, count(DISTINCT CAST(biz_id AS BIGINT) // 2000) AS pages, count(*) AS n
+    landed_pages="""SELECT adong_name, CASE WHEN suffix(adong_name, '1') THEN CAST(biz_id AS BIGINT) // 2000 % 11 ELSE 0 END AS kind, count(DISTINCT CAST(biz_id AS BIGINT) // 2000) AS pages, count(*) AS n
   FROM stores GROUP BY 1, 2""",
     landed="SELECT adong_name, CAST(coalesce(sum(n) FILTER (kind NOT IN (3, 5)), 0) AS BIGINT) AS n FROM landed_pages GROUP BY 1",
     messages="""SELECT adong_name, string_agg(error || CASE WHEN pages > 1 THEN ' x' || pages ELSE '' END, '; '
@@ -170,7 +170,7 @@ def collection_failures(spark, folder):
         F.col("adong_name").alias("dong_code"), F.floor(F.col("biz_id").cast("bigint") / 2000).alias("page"),
         F.struct(F.col("biz_id").alias("bizesId"), F.col("adong_name").alias("adongNm")).alias("item"))
     pages = rows.groupBy("dong_code", "page").agg(F.collect_list("item").alias("items"))
-    kind = F.col("page") % 11
+    kind = F.when(F.endswith("dong_code", F.lit("1")), F.col("page") % 11).otherwise(0)
     whole = F.to_json(F.struct("page", F.struct("items").alias("body")))
     answer = F.when(kind == 3, F.expr("left(answer, length(answer) - 5)")).when(
         kind == 5, F.to_json(F.struct("page", F.lit("busy").alias("body")))).otherwise(F.col("answer"))

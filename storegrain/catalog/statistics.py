@@ -228,10 +228,13 @@ def stats_text(spark, folder):
     return reports.stats_text(stats.stats_cube(rows), stats.scope_tops(rows))
 
 
-@query("last_turns", """
+LAST_TURNS = """
 SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'adviser' END || ': ' || coalesce(text, ''), chr(10)
   ORDER BY turn) AS history
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5 GROUP BY conv_id""")
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5 GROUP BY conv_id"""
+
+
+@query("last_turns", LAST_TURNS)
 def last_turns(spark, folder):
     return reports.last_turns(table(spark, folder, "conversations"))
 

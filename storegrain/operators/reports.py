@@ -118,13 +118,13 @@ TASKS = {
 }
 
 
-def prompt_text(scored: DataFrame, kind: str) -> DataFrame:
-    """Adds ``prompt`` for one of the four kinds of request.
+def prompt(columns: list[str], kind: str) -> Column:
+    """The prompt of one of the four kinds of request, for rows with these columns.
 
     ``stats_text``, ``context``, ``history`` and ``question`` are used where present.
     """
     def given(name: str, title: str) -> Column:
-        if name not in scored.columns:
+        if name not in columns:
             return F.lit(None).cast("string")
         return F.concat(F.lit(f"{title}\n"), F.col(name))
 
@@ -154,4 +154,15 @@ def prompt_text(scored: DataFrame, kind: str) -> DataFrame:
     extra = [given("stats_text", "Statistics"), given("context", "Similar cases")]
     if kind == "question":
         extra += [given("history", "Earlier turns"), given("question", "Question")]
-    return scored.withColumn("prompt", F.concat_ws("\n\n", F.lit(TASKS[kind]), *parts, *extra))
+    return F.concat_ws("\n\n", F.lit(TASKS[kind]), *parts, *extra)
+
+
+def prompt_text(scored: DataFrame, kind: str) -> DataFrame:
+    """Adds ``prompt`` for one kind of request."""
+    return scored.withColumn("prompt", prompt(scored.columns, kind))
+
+
+def all_prompts(scored: DataFrame, *keys: str) -> DataFrame:
+    """``keys, kind, prompt`` for every kind of request, from one pass over the rows."""
+    prompts = F.array(*[F.struct(F.lit(k).alias("kind"), prompt(scored.columns, k).alias("prompt")) for k in TASKS])
+    return scored.select(*keys, F.explode(prompts).alias("_p")).select(*keys, "_p.kind", "_p.prompt")
