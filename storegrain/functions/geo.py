@@ -18,7 +18,8 @@ def half_chord(lat1, lon1, lat2, lon2) -> Column:
 
 
 def half_chord_limit(radius_m: float) -> float:
-    return math.sin(radius_m / (2 * EARTH_RADIUS_M)) ** 2
+    """The squared half chord of a distance; from half the way around the earth on it holds every point."""
+    return math.sin(min(radius_m / (2 * EARTH_RADIUS_M), math.pi / 2)) ** 2
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:

@@ -1,10 +1,12 @@
 """Stores around points.
 
 A radius count never pairs all rows of a cell. Rows are first counted per
-position, positions are binned in cells a quarter of the radius wide, and the
-cells are joined. A pair of cells that lies wholly inside the radius adds its
-count as a number; only pairs the circle cuts are compared position by position,
-and where both cells of such a pair are crowded they are first cut into smaller ones.
+position; positions are points of the unit sphere, binned in cubes half the radius
+wide, so neither the poles nor the 180th meridian is a border. The cubes are joined with
+their neighbours. A pair of cubes that lies wholly inside the radius adds its
+count as a number. Of the pairs the circle cuts, those with many comparisons are divided into
+eighths and judged again, level by level, like the nodes of an octree of counts; only what is then
+still cut is compared position by position.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storegrain.functions.geo import METRES_PER_DEGREE, half_chord_limit, within
+from storegrain.functions.geo import half_chord_limit, within
 from storegrain.session import stage
 
-CELLS_PER_RADIUS = 4
+CELLS_PER_RADIUS = 2
 # Pairs of cells with more comparisons than this are divided again.
-PAIR_LIMIT = 250_000
-FINER = 4
-MAX_LEVELS = 10
+PAIR_LIMIT = 32_768
+FINER = 2
+MAX_LEVELS = 20
 # Relative width of the band around the radius that is left to exact comparison.
 SLACK = 1e-9
+AXES = ("x", "y", "z")
 
 
 def stores_in_radius(df: DataFrame, lat: float, lon: float, radius_m: float = 500.0, lat_col: str = "latitude",
@@ -33,107 +36,97 @@ def stores_in_radius(df: DataFrame, lat: float, lon: float, radius_m: float = 50
 
 
 def _kind(limit: float) -> Column:
-    """Whether two boxes lie inside, outside or across the radius, from bounds that hold for all their points.
-
-    With y the half angle, y**2 - y**4 / 3 <= sin(y)**2 <= y**2, so no sine is taken per pair.
-    """
-    c, half = F.col, math.pi / 360
-    gap_lat = F.greatest(F.lit(0.0), c("a_s") - c("b_t"), c("b_s") - c("a_t")) * half
-    gap_lon = F.greatest(F.lit(0.0), c("a_w") - c("b_e"), c("b_w") - c("a_e")) * half
-    reach_lat = F.greatest(c("a_t") - c("b_s"), c("b_t") - c("a_s")) * half
-    reach_lon = F.greatest(c("a_e") - c("b_w"), c("b_e") - c("a_w")) * half
-    far = reach_lat * reach_lat + c("a_wide") * c("b_wide") * reach_lon * reach_lon
-    near = gap_lat * gap_lat * (1 - gap_lat * gap_lat / 3) + (
-        c("a_thin") * c("b_thin") * gap_lon * gap_lon * (1 - gap_lon * gap_lon / 3))
-    return F.when(far <= limit * (1 - SLACK), "inside").when(near > limit * (1 + SLACK), "outside").otherwise("cut")
+    """Whether two boxes lie inside, outside or across the radius, from bounds that hold for all their points."""
+    c = F.col
+    far = near = F.lit(0.0)
+    for v in AXES:
+        gap = F.greatest(F.lit(0.0), c(f"a_{v}0") - c(f"b_{v}1"), c(f"b_{v}0") - c(f"a_{v}1"))
+        reach = F.greatest(c(f"a_{v}1") - c(f"b_{v}0"), c(f"b_{v}1") - c(f"a_{v}0"))
+        near, far = near + gap * gap, far + reach * reach
+    return F.when(far <= 4 * limit * (1 - SLACK), "inside").when(near > 4 * limit * (1 + SLACK), "outside").otherwise("cut")
 
 
 def _positions(df: DataFrame, group: list[str], lat: str, lon: str) -> DataFrame:
     spots = df.select(*group, F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    spots = spots.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    spots = spots.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
     counted = spots.groupBy(*group, "lat", "lon").agg(F.count("*").alias("n"))
     phi, theta = F.radians("lat"), F.radians("lon")
     # On the unit sphere the squared half chord of two positions needs no further sines.
-    return stage(counted.select("*", F.cos(phi).alias("c"), (F.cos(phi) * F.cos(theta)).alias("x"),
-                                (F.cos(phi) * F.sin(theta)).alias("y"), F.sin(phi).alias("z")), "positions")
+    return stage(counted.select("*", (F.cos(phi) * F.cos(theta)).alias("x"), (F.cos(phi) * F.sin(theta)).alias("y"),
+                                F.sin(phi).alias("z")), "positions")
+
+
+def _cell(width: float, tag: str) -> list[Column]:
+    return [F.floor(F.col(v) / width).alias(f"{tag}{v}") for v in AXES]
 
 
-def _cell(dlat: float, dlon: float, row: str, column: str) -> list[Column]:
-    return [F.floor(F.col("lat") / dlat).alias(row), F.floor(F.col("lon") / dlon).alias(column)]
+def _names(tag: str) -> list[str]:
+    return [f"{tag}{v}" for v in AXES]
 
 
 def _boxes(cells: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """Per cell: points, positions, bounding box, and the range of the cosine of the latitude."""
-    return cells.groupBy(*keys).agg(
-        F.sum("n").alias(f"{tag}_n"), F.count("*").alias(f"{tag}_spots"), F.min("lat").alias(f"{tag}_s"),
-        F.max("lat").alias(f"{tag}_t"), F.min("lon").alias(f"{tag}_w"), F.max("lon").alias(f"{tag}_e"),
-        F.min("c").alias(f"{tag}_thin"),
-        F.when((F.min("lat") <= 0) & (F.max("lat") >= 0), 1.0).otherwise(F.max("c")).alias(f"{tag}_wide"))
+    """Per cell: points, positions and the bounding box of what it holds."""
+    ends = [f(v).alias(f"{tag}_{v}{i}") for v in AXES for i, f in enumerate((F.min, F.max))]
+    return cells.groupBy(*keys).agg(F.sum("n").alias(f"{tag}_n"), F.count("*").alias(f"{tag}_spots"), *ends)
 
 
 def _offsets() -> Column:
     """Cell offsets that can hold a point within the radius: the gap between the cells is short enough."""
-    reach = CELLS_PER_RADIUS + 1
+    reach = range(-CELLS_PER_RADIUS - 1, CELLS_PER_RADIUS + 2)
     steps = [
-        F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-        for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)
-        if max(abs(dy) - 1, 0) ** 2 + max(abs(dx) - 1, 0) ** 2 <= CELLS_PER_RADIUS ** 2
+        F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z"))
+        for i in reach for j in reach for k in reach
+        if sum(max(abs(d) - 1, 0) ** 2 for d in (i, j, k)) <= CELLS_PER_RADIUS ** 2
     ]
     return F.array(*steps)
 
 
 def counts_in_radius(centres: DataFrame, points: DataFrame, radius_m: float, group: list[str] | None = None,
                      lat: str = "latitude", lon: str = "longitude", pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """For every distinct position (and group) of ``centres``: the points within the radius."""
+    """For every distinct position (and group) of ``centres``: the points within the radius.
+
+    Rows without a position, or with NaN for one, are left out.
+    """
     group = group or []
     here = _positions(centres, group, lat, lon)
     there = here if points is centres else _positions(points, group, lat, lon)
     limit = half_chord_limit(radius_m)
-    span = here.select("lat", "lon").unionByName(there.select("lat", "lon")).agg(
-        F.max(F.abs("lat")).alias("lat"), F.max(F.abs("lon")).alias("lon")).first()
-    if span["lat"] is None:
-        return here.select(*group, F.col("lat").alias(lat), F.col("lon").alias(lon), F.lit(0).cast("bigint").alias("n_within"))
-    dlat = radius_m / CELLS_PER_RADIUS / METRES_PER_DEGREE
-    # Enough longitude for a cell to be as wide as it is high at the latitude farthest from the equator.
-    dlon = dlat / max(math.cos(math.radians(span["lat"])), 1e-6)
-    if span["lat"] > 85 or span["lon"] > 180 - 2 * (CELLS_PER_RADIUS + 1) * dlon:
-        raise ValueError("radius counts do not reach over a pole or the 180th meridian")
-
-    cells_a, cells_b = here.select("*", *_cell(dlat, dlon, "ay", "ax")), there.select("*", *_cell(dlat, dlon, "by", "bx"))
-    a = _boxes(cells_a, [*group, "ay", "ax"], "a").withColumn("_o", F.explode(_offsets()))
-    a = a.withColumns({"by": F.col("ay") + F.col("_o.dy"), "bx": F.col("ax") + F.col("_o.dx")}).drop("_o")
-    b = _boxes(cells_b, [*group, "by", "bx"], "b")
-    pairs = a.join(b, [*group, "by", "bx"])
+    # A little wider than the chord asks for, so that rounding never puts a neighbour one cell too far away.
+    width = max(2 * math.sqrt(limit) / CELLS_PER_RADIUS, 1e-9) * (1 + 1e-6)
+    a, b = _names("a"), _names("b")
+
+    boxes = _boxes(here.select("*", *_cell(width, "a")), [*group, *a], "a").withColumn("_o", F.explode(_offsets()))
+    boxes = boxes.withColumns({f"b{v}": F.col(f"a{v}") + F.col(f"_o.{v}") for v in AXES}).drop("_o")
+    pairs = boxes.join(_boxes(there.select("*", *_cell(width, "b")), [*group, *b], "b"), [*group, *b])
 
     found = []
     for level in range(MAX_LEVELS + 1):
         pairs = stage(pairs.withColumn("kind", _kind(limit)).filter("kind <> 'outside'").select(
-            *group, "ay", "ax", "by", "bx", "b_n", "kind", (F.col("a_spots") * F.col("b_spots")).alias("work")), "pairs")
-        spots_a = here.select(*group, "lat", "lon", "x", "y", "z", *_cell(dlat, dlon, "ay", "ax"))
-        spots_b = there.select(
-            *group, *[F.col(v).alias(f"b_{v}") for v in ("x", "y", "z")], "n", *_cell(dlat, dlon, "by", "bx"))
-        whole = pairs.filter("kind = 'inside'").groupBy(*group, "ay", "ax").agg(F.sum("b_n").alias("m"))
-        found.append(spots_a.join(whole, [*group, "ay", "ax"]).select(*group, "lat", "lon", "m"))
+            *group, *a, *b, "b_n", "kind", (F.col("a_spots") * F.col("b_spots")).alias("work")), "pairs")
+        spots_a = here.select(*group, "lat", "lon", *AXES, *_cell(width, "a"))
+        spots_b = there.select(*group, *[F.col(v).alias(f"b_{v}") for v in AXES], "n", *_cell(width, "b"))
+        whole = pairs.filter("kind = 'inside'").groupBy(*group, *a).agg(F.sum("b_n").alias("m"))
+        found.append(spots_a.join(whole, [*group, *a]).select(*group, "lat", "lon", "m"))
         crowded = (F.col("kind") == "cut") & (F.col("work") > pair_limit)
         last = level == MAX_LEVELS or pairs.filter(crowded).isEmpty()
         plain = pairs.filter("kind = 'cut'") if last else pairs.filter((F.col("kind") == "cut") & (F.col("work") <= pair_limit))
-        chord = [F.col(v) - F.col(f"b_{v}") for v in ("x", "y", "z")]
+        chord = [F.col(v) - F.col(f"b_{v}") for v in AXES]
         near = chord[0] * chord[0] + chord[1] * chord[1] + chord[2] * chord[2] <= 4 * limit
         found.append(
-            spots_a.join(plain.select(*group, "ay", "ax", "by", "bx"), [*group, "ay", "ax"])
-            .join(spots_b, [*group, "by", "bx"]).filter(near)
+            spots_a.join(plain.select(*group, *a, *b), [*group, *a])
+            .join(spots_b, [*group, *b]).filter(near)
             .groupBy(*group, "lat", "lon").agg(F.sum("n").alias("m")))
         if last:
             break
-        # The crowded pairs again, with each cell divided FINER times both ways.
-        parents = pairs.filter(crowded).select(*group, F.col("ay").alias("pay"), F.col("ax").alias("pax"),
-                                               F.col("by").alias("pby"), F.col("bx").alias("pbx"))
-        fine = (dlat / FINER, dlon / FINER)
-        fine_a = here.select("*", *_cell(dlat, dlon, "pay", "pax"), *_cell(*fine, "ay", "ax"))
-        fine_b = there.select("*", *_cell(dlat, dlon, "pby", "pbx"), *_cell(*fine, "by", "bx"))
-        pairs = parents.join(_boxes(fine_a, [*group, "pay", "pax", "ay", "ax"], "a"), [*group, "pay", "pax"]).join(
-            _boxes(fine_b, [*group, "pby", "pbx", "by", "bx"], "b"), [*group, "pby", "pbx"])
-        dlat, dlon = fine
+        # The crowded pairs again, with each cell divided FINER times along every axis.
+        pa, pb = _names("pa"), _names("pb")
+        parents = pairs.filter(crowded).select(
+            *group, *[F.col(v).alias(f"p{v}") for v in (*a, *b)])
+        fine_a = here.select("*", *_cell(width, "pa"), *_cell(width / FINER, "a"))
+        fine_b = there.select("*", *_cell(width, "pb"), *_cell(width / FINER, "b"))
+        pairs = parents.join(_boxes(fine_a, [*group, *pa, *a], "a"), [*group, *pa]).join(
+            _boxes(fine_b, [*group, *pb, *b], "b"), [*group, *pb])
+        width /= FINER
 
     parts = reduce(DataFrame.unionByName, found).groupBy(*group, "lat", "lon").agg(F.sum("m").alias("m"))
     return here.join(parts, [*group, "lat", "lon"], "left").select(

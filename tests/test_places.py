@@ -20,7 +20,7 @@ def brute(centres, points, radius):
     return {c: sum(metres(c, p) <= radius for p in points) for c in set(centres)}
 
 
-@pytest.mark.parametrize("limit", [250_000, 10])
+@pytest.mark.parametrize("limit", [nearby.PAIR_LIMIT, 10])
 @pytest.mark.parametrize("lat", [37.5, -0.001, 59.0])
 def test_counts_match_brute_force(spark, lat, limit):
     rng = random.Random(5)
@@ -39,10 +39,23 @@ def test_other_centres_and_groups(spark):
     assert got == {("a", 37.5005): 2, ("a", 10.0): 0, ("c", 37.5): 0}
 
 
-def test_poles_are_refused(spark):
-    df = spark.createDataFrame([(89.9, 0.0)], "latitude double, longitude double")
-    with pytest.raises(ValueError):
-        nearby.counts_in_radius(df, df, 500.0)
+@pytest.mark.parametrize("radius", [800.0, 40_000.0, 3e6, 3e7])
+def test_poles_and_the_180th_meridian_are_no_border(spark, radius):
+    rng = random.Random(8)
+    points = [(90 - rng.random() * 0.02, rng.uniform(-180, 180)) for _ in range(60)] + [(90.0, 0.0), (-90.0, 5.0)]
+    points += [(rng.uniform(-.01, .01), s * (180 - rng.random() * .01)) for s in (1, -1) for _ in range(60)] + [(0.0, 180.0), (0.0, -180.0)]
+    df = spark.createDataFrame(points + [(None, 1.0), (1.0, float("nan"))], "latitude double, longitude double")
+    got = {(r.latitude, r.longitude): r.n_within for r in nearby.counts_in_radius(df, df, radius, pair_limit=50).collect()}
+    assert got == brute(points, points, radius)
+
+
+def test_half_of_all_positions_in_one_block(spark):
+    rng = random.Random(9)
+    points = [(37.5 + rng.random() * 1e-3, 127 + rng.random() * 1e-3) for _ in range(700)]
+    points += [(37.5 + rng.uniform(-.05, .05), 127 + rng.uniform(-.05, .05)) for _ in range(700)]
+    df = spark.createDataFrame(points, "latitude double, longitude double")
+    got = {(r.latitude, r.longitude): r.n_within for r in nearby.counts_in_radius(df, df, 60.0).collect()}
+    assert got == brute(points, points, 60.0)
 
 
 def test_radius_filter_is_pushed_down(spark, tmp_path):
