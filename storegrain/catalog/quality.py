@@ -164,6 +164,29 @@ def eval_report(spark, folder):
     return report.select("model", "summary", F.size(F.from_json("metrics", "map<string,double>")).alias("n_metrics"))
 
 
+REPORTED = ["survival_1yr_acc", "survival_1yr_f1", "survival_3yr_acc", "survival_1yr_auc", "revenue_mae", "revenue_r2", "risk_mae"]
+
+
+@query("report_files", with_stores(
+    " UNION ALL ".join(f"""SELECT '{{"name":"drawn"}}' AS model, {i}::INTEGER AS position, '{m}' AS metric, round({m}, 6) AS value FROM class, auc, reg"""
+                       for i, m in enumerate(REPORTED)),
+    **SCORED_STEPS, **{"class": CLASSIFICATION, "auc": AUC, "reg": REGRESSION}))
+def report_files(spark, folder):
+    """Two reports of one model written as JSON and read again: the metrics of the newer one, in their order."""
+    rows = stage(scored(spark, folder), "scored")
+    area = metrics.auc_metrics(rows).first()
+    errors = metrics.regression_metrics(rows)
+    wide = metrics.classification_metrics(rows).select(
+        "*", *[F.lit(area[c]).alias(c) for c in area.asDict()], *[errors.select(c).scalar().alias(c) for c in errors.columns])
+    path = staging_path(spark, "reports")
+    for day, factor in (("2024-01-01", 2.0), ("2024-01-02", 1.0)):
+        row = wide.select(*[(F.col(c) * factor).alias(c) for c in REPORTED])
+        metrics.write_report(metrics.report_row(row, {"name": "drawn"}, F.lit(day).cast("timestamp")), path)
+    found = metrics.latest_reports(metrics.read_reports(spark, path)).drop("created_at")
+    money = F.col("metric").isin("revenue_mae", "profit_mae")
+    return found.withColumn("value", F.when(money, F.round("value", 2)).otherwise(F.round("value", 6)))
+
+
 # -- requests ---------------------------------------------------------------
 
 REQUESTS = plain(REQUESTS_SQL)

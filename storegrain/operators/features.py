@@ -17,6 +17,10 @@ from storegrain.session import stage
 UNKNOWN = "unknown"
 UNSEEN = -1
 ONEHOT_LIMIT = 5
+# Columns of which a sketch sees at most this many values are counted one by one; a sketch of so few is exact but for
+# equal hashes, so nothing near ONEHOT_LIMIT is missed.
+NEAR_LIMIT = 64
+SKETCH_BITS = 12
 # Class lists up to this size are numbered in one sort; longer ones range by range.
 SINGLE_SORT_CLASSES = 200_000
 
@@ -100,13 +104,45 @@ def decode(df: DataFrame, classes: DataFrame, columns=None) -> DataFrame:
     return df.select(*order)
 
 
-def choose_encoders(df: DataFrame, columns=None, approximate: bool = False) -> DataFrame:
-    """``(column_name, n_classes, encoder)``: few classes get one-hot, others labels."""
+def class_sketches(df: DataFrame, columns=None) -> DataFrame:
+    """``(column_name, sketch)``: a mergeable sketch of the distinct values of every column, from one pass.
+
+    Some kilobytes each: written beside a run, they are united with those of other runs by
+    ``unite_sketches`` without reading the rows again.
+    """
+    columns = [c for c in (columns or schemas.CATEGORICAL) if c in df.columns]
+    wide = df.agg(*[F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(c) for c in columns])
+    return wide.unpivot([], columns, "column_name", "sketch")
+
+
+def unite_sketches(sketches: DataFrame) -> DataFrame:
+    """``(column_name, sketch)`` of the values of all runs together."""
+    return sketches.groupBy("column_name").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def choose_encoders(df: DataFrame, columns=None, approximate: bool = False, sketches: DataFrame | None = None) -> DataFrame:
+    """``(column_name, n_classes, encoder)``: few classes get one-hot, others labels.
+
+    The sketches (of ``df``, or handed over) tell long columns from short ones. The decision is always exact: columns
+    whose estimate is near the limit are counted as sets, which are small by then. The number of classes of a long column is
+    counted exactly too, unless ``approximate`` asks for the estimate; values combine in the tasks before the shuffle.
+    """
     columns = [c for c in (columns or schemas.CATEGORICAL) if c in df.columns]
-    count = F.approx_count_distinct if approximate else F.countDistinct
-    counts = df.agg(*[count(c).alias(c) for c in columns])
-    rows = counts.unpivot([], columns, "column_name", "n_classes")
-    return rows.withColumn("encoder", F.when(F.col("n_classes") <= ONEHOT_LIMIT, "onehot").otherwise("label"))
+    sketches = class_sketches(df, columns) if sketches is None else sketches.filter(F.col("column_name").isin(columns))
+    # One row for each column.
+    guess = dict(sketches.select("column_name", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0))).collect())
+    short = [c for c in columns if guess[c] <= NEAR_LIMIT]
+    long = [c for c in columns if c not in short]
+    counts = dict(guess)
+    if short:
+        sets = df.agg(*[F.size(F.collect_set(F.col(c).cast("string"))).alias(c) for c in short]).first()
+        counts |= sets.asDict()
+    if long and not approximate:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("class")) for c in long])
+        classes = df.select(F.explode(pairs).alias("p")).select("p.*").filter("class IS NOT NULL").distinct()
+        counts |= dict(classes.groupBy("column_name").count().collect())
+    rows = [(c, int(counts[c]), "onehot" if counts[c] <= ONEHOT_LIMIT else "label") for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column_name string, n_classes bigint, encoder string")
 
 
 def onehot(df: DataFrame, name: str, values: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 THRESHOLD = 0.5
 # Score column, label column, metric prefix.
@@ -103,3 +103,21 @@ def report_row(wide: DataFrame, model_info: dict, now=None) -> DataFrame:
     return wide.select(
         (F.current_timestamp() if now is None else now).alias("created_at"), info.alias("model"),
         F.to_json(metrics).alias("metrics"), summary_line(wide.columns).alias("summary"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Reports as JSON lines, added to what ``path`` holds; metrics stay in the order the frame had them."""
+    report.write.mode("append").json(path)
+
+
+def read_reports(spark, path: str) -> DataFrame:
+    """``created_at, model, position, metric, value`` for every metric of every report, in the order of each report."""
+    reports = spark.read.schema("created_at timestamp, model string, metrics string, summary string").json(path)
+    listed = F.posexplode(F.from_json("metrics", "map<string,double>")).alias("position", "metric", "value")
+    return reports.select("created_at", "model", listed)
+
+
+def latest_reports(reports: DataFrame) -> DataFrame:
+    """The metrics of the newest report of each model."""
+    newest = F.max("created_at").over(Window.partitionBy("model"))
+    return reports.withColumn("_newest", newest).filter("created_at = _newest").drop("_newest")

@@ -111,3 +111,21 @@ def test_state_survives_a_round_trip(spark, applicants, tmp_path):
     assert again.columns == state.columns
     a = stages.transform_features(labelled, state, ["biz_id"])
     assert a.exceptAll(stages.transform_features(labelled, again, ["biz_id"])).isEmpty()
+
+
+def test_encoders_are_chosen_by_sketches(spark):
+    rows = spark.range(30_000).selectExpr(
+        "cast(id % 5 as string) as gender", "cast(id % 6 as string) as education_level", "cast(id as string) as district",
+        "cast(null as string) as business_category")
+    want = {"gender": (5, "onehot"), "education_level": (6, "label"), "district": (30_000, "label"), "business_category": (0, "onehot")}
+    exact = features.choose_encoders(rows)
+    assert {r.column_name: (r.n_classes, r.encoder) for r in exact.collect()} == want
+    halves = [features.class_sketches(rows.filter(f"cast(district as int) % 2 = {i}")) for i in (0, 1)]
+    united = features.unite_sketches(halves[0].unionByName(halves[1]))
+    near = features.choose_encoders(rows, approximate=True, sketches=united)
+    got = {r.column_name: (r.n_classes, r.encoder) for r in near.collect()}
+    assert got.pop("district")[0] == pytest.approx(30_000, rel=0.06)
+    assert got == {c: v for c, v in want.items() if c != "district"}
+    plan = features.class_sketches(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan[plan.index("Aggregate"):]  # only the one row of sketches is unpivoted
+    assert {tuple(r)[1:] for r in features.choose_encoders(rows.limit(0)).collect()} == {(0, "onehot")}
