@@ -89,3 +89,16 @@ def test_texts_are_never_null(spark, applicants):
 def test_percent_halves_go_to_even(spark):
     df = spark.createDataFrame([(56.25,), (56.75,), (12.34,), (0.05,)], "x double")
     assert [r[0] for r in df.select(reports.percent_text("x")).collect()] == ["%.1f%%" % v for v in (56.25, 56.75, 12.34, 0.05)]
+
+
+def test_top_lists_of_every_scope(spark):
+    rows = [("a", "x", "d", "01")] * 3 + [("a", "y", "d", "01")] * 3 + [("a", None, "e", None), ("b", "x", None, "03"), (None, "z", "d", "01")]
+    df = spark.createDataFrame(rows, "category_large string, category_mid string, adong_name string, biz_status_cd string")
+    tops = stats.scope_tops(df)
+    got = {(r.level, r.category, r.district): (r.top_categories, r.top_sub_categories, r.top_districts) for r in tops.collect()}
+    assert got == {
+        (3, None, None): ("a(7), b(1)", None, None), (2, None, "d"): ("a(6)", None, None), (2, None, "e"): ("a(1)", None, None),
+        (2, None, None): ("b(1)", None, None), (1, "a", None): (None, "x(3), y(3)", "d(6), e(1)"), (1, "b", None): (None, "x(1)", None),
+        (1, None, None): (None, "z(1)", "d(1)"), (0, "a", "d"): (None, "x(3), y(3)", None), (0, "b", None): (None, "x(1)", None),
+        (0, None, "d"): (None, "z(1)", None)}
+    assert stats.scope_tops(df.limit(0)).isEmpty()
