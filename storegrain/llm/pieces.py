@@ -87,7 +87,7 @@ class Vocabulary:
 
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.scores.items():
-            self.automaton.add_word(piece, (len(piece), score, self.ids[piece]))
+            self.automaton.add_word(piece, (len(piece), score, self.piece_ids(piece)))
         self.automaton.make_automaton()
         self.alone = frozenset(p for p in self.ids if len(p) == 1)
         self.solved: dict = {}
@@ -95,74 +95,89 @@ class Vocabulary:
         self.kept_for = self.kept_bytes = 0
         self.met, self.limit = bytearray(MARKS), KEPT_BYTES
 
-    def piece_ids(self, piece: str) -> tuple:
-        """The id of a piece, or those of the bytes of a character that is none."""
+    def piece_ids(self, piece: str) -> bytes:
+        """The id of a piece, or those of the bytes of a character that is none; four bytes each."""
         known = self.ids.get(piece)
-        return (known,) if known is not None else tuple(self.bytes[b] for b in (SPACE if piece == OWN else piece).encode())
+        return array("i", [known] if known is not None else [self.bytes[b] for b in (SPACE if piece == OWN else piece).encode()]).tobytes()
 
     def viterbi(self, unit: str) -> tuple[float, list[float], list[list[tuple]]]:
-        """Best score of a unit, the best score up to each place in it, and the pieces that end there: start, score, id."""
+        """Best score of a unit, the best score up to each place in it, and the pieces that end there: length, score, ids."""
         size = len(unit)
         best, edges = [0.0] + [NOTHING] * size, [[] for _ in range(size + 1)]
         if self.alone.issuperset(unit):
-            for at, (length, score, number) in self.automaton.iter(unit):  # ends rise, so what lies before is final
-                lo = at + 1 - length
-                edges[at + 1].append((lo, score, number))
-                score += best[lo]
-                if score > best[at + 1]:
-                    best[at + 1] = score
+            for hi, piece in self.automaton.iter(unit):  # ends rise, so what lies before is final
+                hi += 1
+                edges[hi].append(piece)
+                score = piece[1] + best[hi - piece[0]]
+                if score > best[hi]:
+                    best[hi] = score
             return best[size], best, edges
-        for at, (length, score, number) in self.automaton.iter(unit):
-            edges[at + 1].append((at + 1 - length, score, number))
+        for at, piece in self.automaton.iter(unit):
+            edges[at + 1].append(piece)
         for hi, c in enumerate(unit, 1):
             if c not in self.alone:  # a character that is no piece
-                edges[hi].append((hi - 1, self.unknown, self.piece_ids(c)))
-            best[hi] = max([best[lo] + score for lo, score, _ in edges[hi]])
+                edges[hi].append((1, self.unknown, self.piece_ids(c)))
+            best[hi] = max([best[hi - length] + score for length, score, _ in edges[hi]])
         return best[size], best, edges
 
-    def n_best(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best segmentations of a unit (score, ids), best first; equal ones in a fixed order.
+    def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
+        """The ``n`` best segmentations of a unit (score, ids as bytes), best first; equal ones in a fixed order.
 
         A* from the end to the start: what is behind plus the best score up to a place is the exact total, so the states come in the
         order of what they lead to. The best way on is followed at once if nothing on the agenda is better. As every state leads to a
-        segmentation with just its total, no more states than are still wanted need to be kept.
+        segmentation with just its total, the state followed and those on the agenda need be no more than are still wanted.
         """
         _, best, edges = self.viterbi(unit)
         found, turn = [], 0
         agenda = [(-best[-1], 0, 0.0, len(unit), None)]
         while agenda and len(found) < n:
-            wanted = n - len(found)
+            room = n - len(found) - 1
             total, _, behind, end, path = agenda.pop(0)
+            worst = agenda[-1][0] if agenda and len(agenda) == room else -NOTHING
             while end:
                 ways = edges[end]
                 if len(ways) == 1:
-                    (end, score, number), = ways
-                    behind, path = score + behind, (number, path)
+                    (length, score, ids), = ways
+                    end, behind, path = end - length, score + behind, (ids, path)
+                    continue
+                if not room:  # the last that is wanted: nothing needs an agenda
+                    most = NOTHING
+                    for way in reversed(ways):
+                        after = way[1] + behind
+                        length = way[0]
+                        if best[end - length] + after >= most:
+                            most, to, back, ids = best[end - length] + after, end - length, after, way[2]
+                    total, end, behind, path = -most, to, back, (ids, path)
                     continue
                 on = None
-                for lo, score, number in reversed(ways):
+                for length, score, ids in reversed(ways):
                     turn -= 1  # of equal sums the latest first, which goes straight to the start with the longest pieces
-                    after = score + behind
+                    after, lo = score + behind, end - length
                     key = -(best[lo] + after)
                     if on is None:
-                        on = (key, turn, after, lo, (number, path))
+                        on = (key, turn, after, lo, (ids, path))
                         continue
-                    if len(agenda) >= wanted and key > agenda[-1][0] and key > on[0]:
+                    if key > worst and key > on[0]:
                         continue
-                    state = (key, turn, after, lo, (number, path))
+                    state = (key, turn, after, lo, (ids, path))
                     if state < on:
                         state, on = on, state
-                    insort(agenda, state)
-                    del agenda[wanted:]
+                    if state[0] <= worst:
+                        insort(agenda, state)
+                        if len(agenda) >= room:
+                            del agenda[room:]
+                            worst = agenda[-1][0]
                 if agenda and agenda[0] < on:
                     insort(agenda, on)
                     on = agenda.pop(0)
+                    if len(agenda) == room:
+                        worst = agenda[-1][0]
                 total, _, behind, end, path = on
-            ids = []
+            parts = []
             while path:
-                number, path = path
-                ids.append(number) if type(number) is int else ids.extend(number)
-            found.append((-total, ids))
+                ids, path = path
+                parts.append(ids)
+            found.append((-total, b"".join(parts)))
         return found
 
     def unit(self, unit: str, n: int) -> tuple:
@@ -178,16 +193,15 @@ class Vocabulary:
                 mark = hash(unit) % MARKS
                 wanted, self.met[mark] = self.met[mark], 1
             (best, ids), *others = self.n_best(unit, n)
-            known = (best, array("i", ids).tobytes())
+            known = [best, ids]
             for score, ids in others:
-                known += (best - score, array("i", ids).tobytes())
-            if not others:
-                known += (-NOTHING,)
+                known += best - score, ids
+            known = (*known, -NOTHING) if not others else tuple(known)
         if wanted:
             if self.kept_bytes >= self.limit:
                 self.older, self.solved, self.kept_bytes, self.met = self.solved, {}, 0, bytearray(MARKS)
             self.solved[unit] = known
-            self.kept_bytes += ENTRY_BYTES + len(unit) + sum(map(len, known[1::2]))
+            self.kept_bytes += ENTRY_BYTES + len(unit) + len(known) // 2 * len(known[1])
         return known
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[tuple[float, bytes]]]:
@@ -199,7 +213,11 @@ class Vocabulary:
         solved = [self.solved.get(u) or self.unit(u, n) for u in units]
         top, ids = sum([s[0] for s in solved]), [s[1] for s in solved]
         ranked = [(0.0, {})]
-        for i in heapq.nsmallest(n - 1, range(len(solved)), key=[s[2] for s in solved].__getitem__):
+        losses, least = [s[2] for s in solved], []
+        while len(least) < n - 1 and (loss := min(losses, default=-NOTHING)) < -NOTHING:
+            least.append(losses.index(loss))
+            losses[least[-1]] = -NOTHING
+        for i in least:
             options = [(0.0, {}), *((loss, {i: raw}) for loss, raw in zip(solved[i][2::2], solved[i][3::2]))]
             ranked = heapq.nsmallest(n, [(loss + more, changed | change) for loss, changed in ranked for more, change in options],
                                      key=lambda x: x[0])

@@ -161,7 +161,7 @@ def test_pieces_of_every_rank(spark):
                 piece = whole[lo:hi]
                 score = known.scores.get(piece, known.unknown if hi - lo == 1 else None)
                 if score is not None:
-                    ways[hi] += [(s + score, ids + known.piece_ids(piece)) for s, ids in ways[lo]]
+                    ways[hi] += [(s + score, ids + tuple(np.frombuffer(known.piece_ids(piece), np.int32).tolist())) for s, ids in ways[lo]]
             ways[hi].sort(key=lambda x: -x[0])
             ways[hi] = [x for x in ways[hi] if len(ways[hi]) <= n or x[0] >= ways[hi][n - 1][0]]
         ranked, possible = list(zip(r.scores, map(tuple, [r.piece_ids, *r.other_ids]), strict=True)), ways[-1]
