@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, with column functions only.
 
-Tokens are runs of at most 16 Latin characters without white space, or any other single visible character. Hashes of ``GRAM`` = 3 tokens come
-from hashes of 2 tokens and of 1; the minima of ``WINDOW`` = 6 neighbouring hashes from those of 2 and 4. A hash is
-packed above its place counted backwards, so the least number of a window is the least hash, the rightmost one if there are
+A token is a run of up to ``LONGEST`` = 16 visible characters of scripts with spaces, Cyrillic or Arabic as well as Latin; in a longer run
+(a URL, base64, minified code) every 17 characters in a row are a token, one at each place, and a character of a script without
+spaces is one. So tokens depend on the characters around them only, never on where a run began. The hash of ``GRAM`` = 3 tokens is a polynomial of
+their hashes modulo 2^31 - 1, rolled on from that of the first two. The minima of ``WINDOW`` = 6 neighbouring hashes come from those of 2 and 4. A hash
+is packed above its place counted backwards, so the least number of a window is the least hash, the rightmost one if there are
 several. Kept are all chosen hashes with their places: texts that share ``GRAM + WINDOW - 1`` = 8 tokens in a row share a fingerprint
-entry. Each step is a projection of its own over arrays, linear in the text.
+entry, so eight words, or 24 characters of an unspaced run at whatever offsets. Each step is a projection of its own over arrays, linear in the text.
 """
 
 from __future__ import annotations
@@ -14,8 +16,15 @@ from pyspark.sql import functions as F
 
 from storegrain.session import stage
 
-GRAM, WINDOW = 3, 6
-TOKENS = r"[\x21-\x7E¡-ɏ]{1,16}|\S"
+GRAM, WINDOW, LONGEST = 3, 6, 16
+#: Visible characters of scripts with spaces (all but Thai, Lao, Myanmar, Khmer, kana and Han). The last range is written out because Java
+#: looks behind by code points only where the pattern itself holds one beyond U+FFFF.
+SPACED = (r"\x21-\x7E\u00A1-\u0DFF\u0F00-\u0FFF\u10A0-\u167F\u1681-\u177F\u1800-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2E7F"
+          r"\uAC00-\uD7A3\uFB00-\uFDFF\uFE70-\uFEFE" "\U00010000-\U0001FFFD")
+#: At every place: a whole short run, a piece of a long one, or a single character of another script (no half of a surrogate pair).
+TOKENS = rf"(?=((?<![{SPACED}])[{SPACED}]{{1,{LONGEST}}}(?![{SPACED}])|[{SPACED}]{{{LONGEST + 1}}}|[^{SPACED}\s\p{{Z}}\p{{Cs}}]))"
+#: Base and modulus of the polynomial: a product of two values below the modulus fits a long.
+BASE, MODULUS = 1_000_003, (1 << 31) - 1
 LOW = (1 << 32) - 1
 #: Rows of one partition of the sorted ids.
 ID_ROWS = 2_000_000
@@ -35,15 +44,15 @@ def winnow(df: DataFrame, text: str, name: str) -> DataFrame:
     is chosen. Equal texts have equal arrays.
     """
     a, b = f"__{name}_a", f"__{name}_b"
-    token = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKENS), F.lit(0))
-    df = df.withColumn(a, F.transform(token, lambda t: F.xxhash64(t)))
-    df = df.withColumn(b, F.when(F.size(a) < GRAM, F.when(F.size(a) > 0, F.array(F.aggregate(
-        a, F.lit(0).cast("long"), lambda x, y: F.xxhash64(x, y)))).otherwise(F.array().cast("array<bigint>")))
-        .otherwise(_pairs(a, 1, lambda x, y: F.xxhash64(x, y))))
-    packed = lambda x, i: x.bitwiseAND(F.lit(-1 - LOW)).bitwiseOR(F.lit(LOW) - i)
+    rolled = lambda x, y: (x * F.lit(BASE).cast("long") + y) % F.lit(MODULUS).cast("long")
+    packed = lambda x, i: F.shiftleft(x, 32).bitwiseOR(F.lit(LOW) - i)
+    token = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKENS), F.lit(1))
+    df = df.withColumn(a, F.transform(token, lambda t: F.xxhash64(t).bitwiseAND(F.lit(MODULUS).cast("long"))))
+    df = df.withColumn(b, F.when(F.size(a) >= GRAM, _pairs(a, 1, rolled)).when(
+        F.size(a) > 0, F.array(F.aggregate(a, F.lit(0).cast("long"), rolled))).otherwise(F.array().cast("array<bigint>")))
     two = F.col(b)
     df = df.withColumn(b, F.when(F.size(a) < GRAM, F.transform(two, packed)).otherwise(F.slice(
-        F.transform(two, lambda x, i: packed(F.xxhash64(x, F.get(F.col(a), i + 2)), i)), 1, F.greatest(F.size(a) - GRAM + 1, F.lit(0))))).drop(a)
+        F.transform(two, lambda x, i: packed(rolled(x, F.get(F.col(a), i + 2)), i)), 1, F.greatest(F.size(a) - GRAM + 1, F.lit(0))))).drop(a)
     few, all_grams = F.size(b) <= WINDOW, F.col(b)
     df = df.withColumn(a, F.when(few, F.filter(F.array(F.array_min(all_grams)), lambda x: x.isNotNull())).otherwise(
         _pairs(b, 1, F.least))).withColumn(b, few)

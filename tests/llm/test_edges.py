@@ -11,7 +11,7 @@ from storegrain.llm import (
     automata, components, decontaminate, minhash, pieces, quality, secret_scan, sharding, suffix_dedup, token_files, urls, winnowing,
 )
 from storegrain.session import staging_path
-from tests.llm.test_queries import base_spans, repeated
+from tests.llm.test_queries import base_spans, plain_fingerprint, repeated
 
 SCHEMA = "doc_id long, text string, n_words long, selected string, id long"
 ROWS = [
@@ -213,7 +213,7 @@ def test_winnowing(spark, odd, none):
 
 
 def test_winnowing_guarantee(spark):
-    """Windows by brute force from the hashes of grams, and a shared run of tokens always shares an entry."""
+    """A shared run of eight tokens always shares an entry."""
     draw = random.Random(3)
     run = [f"s{i}" for i in range(winnowing.GRAM + winnowing.WINDOW - 1)]
     other = lambda n: [f"{draw.choice('abc')}{draw.randrange(9)}" for _ in range(n)]
@@ -223,6 +223,23 @@ def test_winnowing_guarantee(spark):
     assert all(found[0] & x for x in found)
 
 
+def test_winnowing_scripts_and_unspaced_runs(spark):
+    """Any offset of a shared unspaced run of 24 characters; other scripts as words; by the plain winnower, surrogate pairs included."""
+    draw = random.Random(4)
+    drawn = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    run = drawn("abcdefgh0123", winnowing.LONGEST + winnowing.GRAM + winnowing.WINDOW - 1)
+    shared = [drawn("xyzw", draw.randint(0, 40)) + run + drawn("xyzw", draw.randint(0, 40)) for _ in range(40)]
+    words = [" ".join(drawn("абвгдежзиклмнопрстуя", draw.randint(2, 9)) for _ in range(400)) for _ in range(6)]
+    mixed = [drawn("ab é漢字ไทй𝒳😀\n\u00a0", draw.randint(0, 60)) for _ in range(60)] + ["x" * 40, "😀" * 30, "漢" * 30, "a b", "", "x" * 16, "x" * 17]
+    texts = shared + words + mixed
+    df = winnowing.winnow(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text", "print")
+    rows = df.select(winnowing.fingerprint_text("print"), winnowing.hashes("print")).orderBy("id").collect()
+    assert [r[0] for r in rows] == [" ".join(f"{i}:{h:x}" for i, h in plain_fingerprint(t)) for t in texts]
+    found = [set(r[1]) for r in rows]
+    assert all(found[0] & x for x in found[:40])
+    assert all(len(x & y) / len(x | y) < 0.01 for i, x in enumerate(found[40:46]) for y in found[40:40 + i])
+
+
 def test_decontaminate(spark, odd, none):
     bench = spark.createDataFrame([(1, "beta GAMMA delta"), (2, "x" * 50_000), (3, None), (None, "alpha"), (4, ""), (1, "beta GAMMA delta"), (9, "zeta")],
                                   "item_id long, text string")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from storegrain.catalog import Query
 from storegrain.catalog.compare import connect, difference
@@ -54,6 +55,30 @@ def test_op3(spark, folder, texts):
         assert known.decode(r.piece_ids) == texts[r.doc_id]
 
 
+BREAKS = "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u9fff"
+RUNS = re.compile(f"[{UNSPACED}]|[^{UNSPACED}{BREAKS}]+")
+
+
+def plain_fingerprint(text: str) -> list[tuple]:
+    """Place and hash of each gram that is the rightmost least of some window."""
+    tokens = []
+    for run in RUNS.findall(text):
+        tokens += [run] if len(run) <= 16 else [run[i:i + 17] for i in range(len(run) - 16)]
+    numbers = [xxhash.xxh64(t.encode(), seed=42).intdigest() % 2**31 for t in tokens]
+    grams = [numbers[i:i + 3] for i in range(max(len(numbers) - 2, 1))] if numbers else []
+    values = [sum(x * 1_000_003 ** (len(g) - 1 - j) for j, x in enumerate(g)) % (2**31 - 1) for g in grams]
+    chosen = set()
+    for lo in range(max(len(values) - 5, 1) if values else 0):
+        chosen.add(min(range(lo, min(lo + 6, len(values))), key=lambda i: (values[i], -i)))
+    return [(i, values[i]) for i in sorted(chosen)]
+
+
+def plain_likeness(one: list, two: list) -> float:
+    x, y = {h for _, h in one}, {h for _, h in two}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
 def test_op5(spark, folder, texts):
     order = sorted(texts, reverse=True)
     after = {d: texts[order[(i + 1) % len(order)]] for i, d in enumerate(order)}
@@ -66,7 +91,9 @@ def test_op5(spark, folder, texts):
         edited = text[:len(text) - half] + after[r.doc_id][:half]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        own, other, moved = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(after[r.doc_id])
+        assert r.fingerprint == " ".join(f"{i}:{h:x}" for i, h in own) and r.edited_fingerprint == " ".join(f"{i}:{h:x}" for i, h in other)
+        assert r.near_edited == plain_likeness(own, other) and r.near_next == plain_likeness(own, moved)
     long = [r for r in rows if r.n_chars > 300]
     assert sum(r.near_edited > r.near_next for r in long) > 0.97 * len(long)
 
