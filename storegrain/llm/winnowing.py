@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from storegrain.session import stage
 
 GRAM, WINDOW, LONGEST = 3, 6, 16
-#: Visible characters of scripts with spaces (all but Thai, Lao, Myanmar, Khmer, kana and Han). The last range is written out because Java
-#: looks behind by code points only where the pattern itself holds one beyond U+FFFF.
-SPACED = (r"\x21-\x7E\u00A1-\u0DFF\u0F00-\u0FFF\u10A0-\u167F\u1681-\u177F\u1800-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2E7F"
-          r"\uAC00-\uD7A3\uFB00-\uFDFF\uFE70-\uFEFE" "\U00010000-\U0001FFFD")
-#: At every place: a whole short run, a piece of a long one, or a single character of another script (no half of a surrogate pair).
-TOKENS = rf"(?=((?<![{SPACED}])[{SPACED}]{{1,{LONGEST}}}(?![{SPACED}])|[{SPACED}]{{{LONGEST + 1}}}|[^{SPACED}\s\p{{Z}}\p{{Cs}}]))"
+#: Visible characters of scripts with spaces (all but Thai, Lao, Myanmar, Khmer, kana and Han); ASCII is asked first. The last range is
+#: written out because Java looks behind by code points only where the pattern itself holds one beyond U+FFFF.
+SPACED = (r"[\x21-\x7E[\u00A1-\u0DFF\u0F00-\u0FFF\u10A0-\u167F\u1681-\u177F\u1800-\u1FFF\u2010-\u2027\u2030-\u205E\u2070-\u2E7F"
+          r"\uAC00-\uD7A3\uFB00-\uFDFF\uFE70-\uFEFE" "\U00010000-\U0001FFFD]]")
+SHORT = rf"(?<!{SPACED}){SPACED}{{1,{LONGEST}}}+(?!{SPACED})"
+#: A whole short run, the next characters of a long one, or a single character of another script (no half of a surrogate pair); the next
+#: search goes on behind a short run, else one place on.
+TOKENS = rf"(?=({SHORT}|{SPACED}{{{LONGEST + 1}}}|(?!{SPACED})[^\s\p{{Z}}\p{{Cs}}]))(?:{SHORT})?+"
 #: Base and modulus of the polynomial: a product of two values below the modulus fits a long.
 BASE, MODULUS = 1_000_003, (1 << 31) - 1
 LOW = (1 << 32) - 1
