@@ -241,7 +241,7 @@ def _matcher(schema: T.StructType, k: int, query_id: str, doc_id: str, vector: s
     """The best k of one chunk of documents for each query of one block."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         matrix, asked = _unit_rows(list(right[vector])) if len(right) else (np.empty((0, 0)), None)
-        unit, ok = _unit_rows(list(left[vector]), matrix.shape[1]) if len(left) and len(matrix) else (matrix, None)
+        unit, ok = _unit_rows(list(left[vector]), matrix.shape[1]) if len(left) and len(matrix) else (matrix[:0], None)
         if not len(matrix) or not len(unit):
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
         return _matches(right[query_id].to_numpy()[asked], matrix, left[doc_id].to_numpy()[ok], unit, k, query_id, doc_id)
@@ -259,8 +259,9 @@ def _grid_top_k(docs, queries, n_queries, k, doc_id, query_id, vector, schema, b
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = docs.withColumn("_chunk", spread(doc_id, chunks)).withColumn("_block", every(blocks))
-    right = queries.withColumn("_block", spread(query_id, blocks)).withColumn("_chunk", every(chunks))
+    # Both sides may come from one table; columns that a cogroup finds on both sides would be lost on one, so each side has its own.
+    left = docs.select(F.col(doc_id).alias(doc_id), F.col(vector).alias(vector)).withColumn("_chunk", spread(doc_id, chunks)).withColumn("_block", every(blocks))
+    right = queries.select(F.col(query_id).alias(query_id), F.col(vector).alias(vector)).withColumn("_block", spread(query_id, blocks)).withColumn("_chunk", every(chunks))
 
     grid = ["_chunk", "_block"]
     return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(_matcher(schema, k, query_id, doc_id, vector), schema)
