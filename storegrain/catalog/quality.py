@@ -160,7 +160,8 @@ def eval_report(spark, folder):
     wide = parts[0].select("*", *[F.lit(area[c]).alias(c) for c in area.asDict()],
                            *[parts[1].select(c).scalar().alias(c) for c in parts[1].columns])
     wide = wide.select("survival_1yr_acc", "survival_1yr_f1", "survival_3yr_acc", "survival_1yr_auc", "revenue_mae", "revenue_r2", "risk_mae")
-    report = metrics.report_row(rounded(wide, 6, "survival_1yr_acc", "survival_1yr_auc"), {"name": "drawn"})
+    wide = rounded(rounded(wide, 6, "survival_1yr_acc", "survival_1yr_auc"), 2, "revenue_mae")
+    report = metrics.report_row(wide, {"name": "drawn"})
     return report.select("model", "summary", F.size(F.from_json("metrics", "map<string,double>")).alias("n_metrics"))
 
 

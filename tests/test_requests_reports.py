@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from storegrain.functions import risk
-from storegrain.operators import reports, requests, stats
+from storegrain.functions.columns import fixed_text
+from storegrain.operators import metrics, reports, requests, stats
 
 REQUEST = "founder_age bigint, business_category string, initial_investment bigint, district string, monthly_rent bigint"
 
@@ -91,6 +92,23 @@ def test_percent_halves_go_to_even(spark):
     assert [r[0] for r in df.select(reports.percent_text("x")).collect()] == ["%.1f%%" % v for v in (56.25, 56.75, 12.34, 0.05)]
 
 
+def test_fixed_decimals_follow_the_exact_value(spark):
+    """Numbers whose shortest form ends in a half, which is not what is stored; rates of counts; small, negative and large ones."""
+    values = [i / 20 for i in range(1, 400, 2)] + [100 * a / n for n in (400, 2000, 8000, 3999) for a in range(1, n, 7)]
+    values += [0.0005, 0.0015, 0.5005, 0.9995, 0.99951, -2.675, -0.05, 2e-9, 123456.7895, 3e12, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2, 3):
+        assert [r[0] for r in df.select(fixed_text(F.col("x"), digits)).collect()] == [f"{v:.{digits}f}" for v in values]
+
+
+def test_rates_and_summary_are_rounded_once(spark):
+    cube = spark.createDataFrame([(3, None, None, 2000, 21, 1979, 0, 100 * 21 / 2000, 100 * 1979 / 2000)],
+                                 "level int, category string, district string, total long, active long, closed long, suspended long, survival_rate double, closure_rate double")
+    assert f"({100 * 21 / 2000:.1f}%)" in reports.stats_text(cube).first().stats_text and f"({100 * 1979 / 2000:.1f}%)" in reports.stats_text(cube).first().stats_text
+    wide = spark.createDataFrame([(0.50150, 0.5005, 12344.5)], "survival_1yr_acc double, survival_1yr_auc double, revenue_mae double")
+    assert wide.select(metrics.summary_line(wide.columns)).first()[0] == f"1yr accuracy={0.50150 * 100:.1f}%, AUC={0.5005:.3f}, revenue MAE=12,345"
+
+
 def test_top_lists_of_every_scope(spark):
     rows = [("a", "x", "d", "01")] * 3 + [("a", "y", "d", "01")] * 3 + [("a", None, "e", None), ("b", "x", None, "03"), (None, "z", "d", "01")]
     df = spark.createDataFrame(rows, "category_large string, category_mid string, adong_name string, biz_status_cd string")

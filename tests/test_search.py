@@ -47,7 +47,7 @@ def test_zero_and_missing_vectors(spark):
 
 def test_grid_search_of_a_table_in_itself(spark):
     """Queries that are rows of the searched table share its columns."""
-    docs = spark.range(60).select("id", F.array(*[F.sin(F.col("id") * (i + 1)).cast("float") for i in range(4)]).alias("embedding"))
+    docs = spark.range(60).select("id", F.array(*[F.cos(F.col("id") * (i + 1)).cast("float") for i in range(4)]).alias("embedding"))
     asked = docs.filter("id % 5 = 0").withColumnRenamed("id", "query_id")
     grid, whole = (sorted((r.query_id, r.id, r["rank"]) for r in search.nearest(docs, asked, 3, **sizes).collect()) for sizes in ({"block": 2, "chunk": 7}, {}))
     assert grid == whole and len(grid) == 36
