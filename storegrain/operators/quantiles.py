@@ -54,7 +54,7 @@ def value_counts_bound(df: DataFrame, names: list[str]) -> dict[str, int]:
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], *, bound: dict[str, int] | None = None,
                     direct: int = DIRECT_VALUES, gather: int = GATHER_VALUES) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles, nulls and NaN left out; None for an empty column.
+    """Linearly interpolated quantiles, nulls and NaN left out; None for an empty column. Columns come in the order they were asked for.
 
     ``bound`` passes on the result of ``value_counts_bound``.
     """
@@ -82,7 +82,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], *, bound: dic
             found[math.floor(h)] + (found[math.ceil(h)] - found[math.floor(h)]) * (h - math.floor(h))
             for h in spots[name]
         ]
-    return result
+    return {n: result[n] for n in names}
 
 
 def values_at_ranks(df: DataFrame, name: str, ranks: list[int], total: int, *,

@@ -82,3 +82,10 @@ def test_the_number_of_jobs_does_not_grow_with_the_columns(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(24) <= jobs(3) + 2
+
+
+def test_columns_keep_their_order(spark):
+    """Whether a column has few or many values is not seen in the result."""
+    df = spark.range(200).select(F.col("id").alias("many"), (F.col("id") % 3).alias("few"), (F.col("id") * 2).alias("more"))
+    assert list(exact_quantiles(df, {"many": [0.5], "few": [0.5], "more": [0.5]}, direct=50, gather=20).items()) == [
+        ("many", [99.5]), ("few", [1.0]), ("more", [199.0])]
