@@ -214,14 +214,14 @@ def weighted_mean(df: DataFrame, sources: dict[str, list[str]], weights: list[fl
     return df.withColumns(columns).drop(*[c for parts in sources.values() for c in parts])
 
 
-def score(df: DataFrame, state: stages.FeatureState, models: TaskModels | TreeModels, key: str) -> DataFrame:
-    """Model rows to final predictions, one row out per row in; inputs stay beside the scores."""
+def score(df: DataFrame, state: stages.FeatureState, models: TaskModels | TreeModels, key: str, digits: int | None = 4) -> DataFrame:
+    """Model rows to final predictions, one row out per row in; inputs stay beside the scores. The risk level is that of the score before rounding."""
     inputs = [c for c in df.columns if c not in schemas.TARGETS]
     carried = df.select("*", F.struct(*inputs).alias("_inputs"))
     scored = models.predict(stages.transform_features(carried, state, [key, "_inputs"]))
     heads = {f"p_{t}": t for t, _ in TASKS}
     out = scored.select("_inputs.*", *[F.col(p).alias(t) for p, t in heads.items()])
-    return requests.postprocess(out)
+    return requests.postprocess(out, digits)
 
 
 def evaluate_model(scored: DataFrame, name: str) -> DataFrame:

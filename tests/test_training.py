@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storegrain import schemas
-from storegrain.catalog import load_all
+from storegrain.catalog import learning, load_all
 from storegrain.operators import labels, requests, runs
 from storegrain.plans import stages, training
 
@@ -119,3 +119,10 @@ def test_registered_queries_train_with_the_full_settings(monkeypatch):
 
 def stop():
     raise InterruptedError
+
+
+def test_level_belongs_to_the_score_before_rounding(spark):
+    scores = spark.createDataFrame([("a", 0.5, 0.5, 0.29996, 3.0, 1.0, 1.0), ("b", 0.5, 0.5, 0.59999, 3.0, 1.0, 1.0), ("c", 0.5, 0.5, 0.2, 3.0, 1.0, 1.0)],
+                                   "request_id string, survival_1yr double, survival_3yr double, risk_score double, break_even_months double, monthly_revenue double, monthly_profit double")
+    assert [(r.risk_score, r.risk_level) for r in requests.postprocess(scores).orderBy("request_id").collect()] == [(0.3, "LOW"), (0.6, "MEDIUM"), (0.2, "LOW")]
+    assert {tuple(r)[1:] for r in learning.score_checks(scores).collect()} == {(True, True, True)}
