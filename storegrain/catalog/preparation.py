@@ -125,8 +125,11 @@ def dedupe_rows(spark, folder):
 @query("impute_median", with_stores(
     "SELECT round(median(monthly_rent), 4) AS monthly_rent, median(age) AS age, median(store_size_sqm) AS store_size_sqm FROM stores"))
 def impute_median(spark, folder):
-    middle = cleaning.medians(stores(spark, folder), ["monthly_rent", "age", "store_size_sqm"])
-    one = stores(spark, folder).agg(F.count(F.lit(1)))
+    # The passes of the search read the joined rows once written, instead of joining (and broadcasting) again each time.
+    names = ["monthly_rent", "age", "store_size_sqm"]
+    rows = stage(stores(spark, folder).select(*names), "numbers")
+    middle = cleaning.medians(rows, names)
+    one = rows.agg(F.count(F.lit(1)))
     return one.select(*[F.lit(v).alias(k) for k, v in middle.items()]).withColumn("monthly_rent", F.round("monthly_rent", 4))
 
 

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from pyspark.sql import functions as F
 
+from storegrain.catalog import preparation
 from storegrain.operators.quantiles import exact_quantiles, ranked_values, values_at_ranks
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -89,3 +90,16 @@ def test_columns_keep_their_order(spark):
     df = spark.range(200).select(F.col("id").alias("many"), (F.col("id") % 3).alias("few"), (F.col("id") * 2).alias("more"))
     assert list(exact_quantiles(df, {"many": [0.5], "few": [0.5], "more": [0.5]}, direct=50, gather=20).items()) == [
         ("many", [99.5]), ("few", [1.0]), ("more", [199.0])]
+
+
+def test_medians_compute_their_rows_once(spark, monkeypatch):
+    """All passes of ``impute_median`` read rows that were joined once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        made.add(1)
+        return float(x)
+
+    rows = spark.range(300).select(F.udf(noted, "double")("id").alias("monthly_rent"), F.col("id").alias("age"), F.col("id").cast("double").alias("store_size_sqm"))
+    monkeypatch.setattr(preparation, "stores", lambda *_: rows)
+    assert tuple(preparation.impute_median(spark, "").first()) == (149.5, 149.5, 149.5) and made.value == 300
