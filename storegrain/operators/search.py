@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -129,19 +130,21 @@ def embed_or_explain(df: DataFrame, embedder: Callable[[list[str]], list[list[fl
             return [None] * len(texts), "no vector"
         return [np.asarray(v, dtype=np.float32) for v in vectors], None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow batches are cut without a copy: only the texts of one call become Python strings, other columns are handed through.
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start:start + batch_size]
-                texts = list(batch[text])
+            for start in range(0, frame.num_rows, batch_size):
+                batch = frame.slice(start, batch_size)
+                texts = batch.column(text).to_pylist()
                 vectors, error = tried(texts)
                 errors, attempts = [error] * len(texts), 1
                 if error is not None and retry:
                     single = [tried([t]) for t in texts]
                     vectors, errors, attempts = [v[0] for v, _ in single], [e for _, e in single], 2
-                yield batch.assign(embedding=vectors, error=errors, attempts=attempts)
+                added = pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string()), pa.array([attempts] * len(texts), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "embedding", "error", "attempts"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def embed_counts(embedded: DataFrame) -> DataFrame:
