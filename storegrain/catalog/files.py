@@ -255,10 +255,11 @@ def bulk_load(spark, folder):
 def feature_export(spark, folder):
     rows = stage(stages.label_stage(stages.clean_stage(stores(spark, folder))), "labelled")
     state = stages.fit_features(rows)
-    path = staging_path(spark, "features")
-    stages.export_features(stages.transform_features(rows, state), path, state)
+    path, matrix = staging_path(spark, "features"), stages.transform_features(rows, state)
+    stages.export_features(matrix, path, state)
     listed = files.read_csv(spark, f"{path}/feature_columns")
-    matrix = files.read_csv(spark, f"{path}/features")
+    # The types are known: inferring them would read the whole file once more.
+    matrix = files.read_csv(spark, f"{path}/features", matrix.schema)
     return matrix.agg(F.count("*").alias("n_rows"), F.round(F.avg("risk_score"), 5).alias("mean_risk")).withColumn(
         "n_features", listed.agg(F.count("*")).scalar().cast("int"))
 
