@@ -57,8 +57,9 @@ def project(df: DataFrame, schema: T.StructType, leave_out=()) -> DataFrame:
             if isinstance(kind, (T.DoubleType, T.FloatType)):
                 column = F.round(column)
             elif isinstance(kind, T.StringType):
-                # Text such as 1.5E8 is a whole number of money, too.
-                column = F.coalesce(column.try_cast("bigint"), F.round(column.try_cast("double")).try_cast("bigint"))
+                # Text such as 1.5E8 is a whole number of money, too. It is no bigint: asking raises and drops an exception for every row.
+                whole = F.when(~column.rlike("[.eE]"), column.try_cast("bigint"))
+                column = F.coalesce(whole, F.round(column.try_cast("double")).try_cast("bigint"))
         out.append(column.try_cast(field.dataType).alias(field.name))
     return df.select(*out)
 

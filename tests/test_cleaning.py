@@ -1,5 +1,7 @@
+import time
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from storegrain import schemas
 from storegrain.operators import cleaning, mapping
@@ -76,3 +78,20 @@ def test_clean_stage_keeps_good_rows(spark, applicants):
     assert out.count() == 5
     assert out.filter("biz_id = '2'").first().monthly_rent == pytest.approx(2_500_000)
     assert dict(out.dtypes)["age"] == "bigint" and dict(out.dtypes)["initial_investment"] == "double"
+
+
+def test_text_with_an_exponent_is_cast_without_an_exception_for_every_row(spark):
+    names, texts = "abcd", ("12.7", "1.5E8", " 12 ", "+5", "abc", "9223372036854775808", "12.0", "9007199254740993", "5L", None)
+    whole = T.StructType([T.StructField(n, T.LongType()) for n in names])
+    rows = spark.createDataFrame([(t,) for t in texts], "a string")
+    assert [r.a for r in mapping.project(rows, whole).collect()] == [13, 150_000_000, 12, 5, None, 9223372036854775807, 12, 9007199254740993, None, None]
+
+    def seconds(end):
+        text = spark.range(0, 400_000, 1, 8).select(*[F.concat(F.col("id").cast("string"), F.lit(end)).alias(n) for n in names])
+        def once():
+            start = time.perf_counter()
+            mapping.project(text, whole).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - start
+        return min(once() for _ in range(4))
+
+    assert seconds(".5E2") < 3 * seconds("0")  # 9 times as long with an exception a value
