@@ -47,12 +47,10 @@ def fill_nulls(df: DataFrame, middle: dict[str, float | None] | None = None,
     changes = {}
     for name in schemas.NUMERICAL:
         if name in df.columns and _is_number(df, name):
-            value = F.col(name)
+            value, known = F.col(name), middle.get(name)
             if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-                value = F.when(~F.isnan(name), value)
-            if middle.get(name) is not None:
-                value = F.coalesce(value, F.lit(float(middle[name])))
-            changes[name] = value
+                value = F.when(~F.isnan(name), value) if known is None else F.nanvl(value, F.lit(float(known)))
+            changes[name] = value if known is None else F.coalesce(value, F.lit(float(known)))
     for name in schemas.CATEGORICAL:
         if name in df.columns:
             changes[name] = F.coalesce(F.col(name), F.lit("unknown"))
@@ -99,6 +97,6 @@ def cast_types(df: DataFrame) -> DataFrame:
     for name in INTEGER_COLUMNS + FLOAT_COLUMNS:
         if name in df.columns:
             number = F.col(name).cast("double") if _is_number(df, name) else F.col(name).try_cast("double")
-            number = F.coalesce(F.when(~F.isnan(number), number), F.lit(0.0))
+            number = F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
             changes[name] = F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint")) if name in INTEGER_COLUMNS else number
     return df.withColumns(changes) if changes else df

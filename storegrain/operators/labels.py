@@ -55,29 +55,33 @@ def label_revenue(df: DataFrame, key: str = "biz_id", seed: int = 42) -> DataFra
 
 
 def label_risk(df: DataFrame) -> DataFrame:
-    """Weighted sum of rent share, competition, inexperience and age, clipped to 0..1."""
+    """Weighted sum of rent share, competition, inexperience and age, clipped to 0..1.
+
+    What is clipped is a column of its own first: ``clip`` reads its value twice, and written out each time the labels
+    of all targets grow into one generated method of more than 8,000 bytes, which the JVM does not compile.
+    """
     have = set(df.columns)
-    risk = F.lit(0.0)
+    risk, parts = F.lit(0.0), {}
     if {"monthly_rent", "initial_investment"} <= have:
-        share = F.col("monthly_rent") * 12 / (F.col("initial_investment") + 1)
-        risk = risk + clip(share, 0.0, 1.0) * 0.3
+        parts["__share"] = F.col("monthly_rent") * 12 / (F.col("initial_investment") + 1)
+        risk = risk + clip(F.col("__share"), 0.0, 1.0) * 0.3
     if "nearby_competitor_count" in have:
-        risk = risk + clip(F.col("nearby_competitor_count") / 30, 0.0, 1.0) * 0.2
+        parts["__crowd"] = F.col("nearby_competitor_count") / 30
+        risk = risk + clip(F.col("__crowd"), 0.0, 1.0) * 0.2
     if "has_related_experience" in have:
         risk = risk + (1 - F.col("has_related_experience")) * 0.2
     if "age" in have:
         risk = risk + F.when(F.col("age") < 25, 0.15).when(F.col("age") > 60, 0.1).otherwise(0.0)
-    return df.withColumn("risk_score", clip(risk, 0.0, 1.0))
+    out = df.withColumns(parts).withColumn("__risk", risk).withColumn("risk_score", clip(F.col("__risk"), 0.0, 1.0))
+    return out.drop("__risk", *parts)
 
 
 def label_break_even(df: DataFrame) -> DataFrame:
     """Months until the investment is earned back, 1 to 60; 18 where inputs are absent."""
     if {"monthly_profit", "initial_investment"} <= set(df.columns):
-        months = (F.col("initial_investment") / one_if_zero("monthly_profit")).cast("bigint")
-        months = clip(months, 1, 60).cast("bigint")
-    else:
-        months = F.lit(18).cast("bigint")
-    return df.withColumn("break_even_months", months)
+        raw = df.withColumn("__months", (F.col("initial_investment") / one_if_zero("monthly_profit")).cast("bigint"))
+        return raw.withColumn("break_even_months", clip(F.col("__months"), 1, 60).cast("bigint")).drop("__months")
+    return df.withColumn("break_even_months", F.lit(18).cast("bigint"))
 
 
 def label_all(df: DataFrame, key: str = "biz_id", seed: int = 42) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,19 @@ def test_encoders_are_chosen_by_sketches(spark):
     plan = features.class_sketches(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan[plan.index("Aggregate"):]  # only the one row of sketches is unpivoted
     assert {tuple(r)[1:] for r in features.choose_encoders(rows.limit(0)).collect()} == {(0, "onehot")}
+
+
+def test_labels_of_all_targets_fit_a_method_that_the_jvm_compiles(spark, folder, capsys):
+    from storegrain.catalog.views import stores
+    from storegrain.operators import splits
+    from storegrain.plans import stages
+
+    rows = splits.assign_split(stages.label_stage(stages.clean_stage(stores(spark, folder))), "biz_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows no code before it has run
+    try:
+        capsys.readouterr()
+        rows.select("*").explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
