@@ -1,12 +1,13 @@
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from storegrain import schemas
 from storegrain.catalog import learning, load_all
 from storegrain.operators import labels, requests, runs
-from storegrain.plans import stages, training
+from storegrain.plans import network, stages, training
 
 HEADS = [f"p_{t}" for t in schemas.TARGETS]
 REGISTRY = load_all()
@@ -104,6 +105,28 @@ def test_networks_stop_by_the_validation_part(spark, prepared):
     assert again.legs == [] and in_range(again.predict(data))
 
 
+def test_legs_of_a_network_go_on_where_the_last_one_stopped(prepared):
+    _, state, data = prepared
+    rows = training.VectorAssembler(inputCols=state.columns, outputCol="features").transform(data)
+    found = []
+    for leg in (1, 6):
+        estimator = training._estimator("network", "survival_1yr", True, len(state.columns), {"layers": [5], "maxIter": 6})
+        model, legs = training.fit_in_legs(estimator, rows, rows, "survival_1yr", leg=leg)
+        assert legs[-1][2] == 6 and training.log_loss(model.transform(rows), "survival_1yr") == pytest.approx(legs[-1][3])
+        found.append(model.weights.toArray())
+    assert found[0] == pytest.approx(found[1], rel=1e-6, abs=1e-9)
+    first = estimator.copy().setMaxIter(0).fit(rows)
+    assert legs[-1][3] < training.log_loss(first.transform(rows), "survival_1yr")
+
+
+def test_gradient_of_a_network():
+    rng, layers = np.random.default_rng(0), [5, 7, 4, 2]
+    weights, x, y = rng.normal(size=84), rng.normal(size=(30, 5)), rng.integers(0, 2, 30)
+    loss, gradient = network.block_loss(weights, layers, x, y, True)
+    by_steps = [(network.block_loss(weights + e, layers, x, y, True)[0] - network.block_loss(weights - e, layers, x, y, True)[0]) / 2e-6 for e in np.eye(84) * 1e-6]
+    assert gradient == pytest.approx(by_steps, abs=1e-6) and network.block_loss(weights, layers, x, y, False)[0] == pytest.approx(loss)
+
+
 def test_registered_queries_train_with_the_full_settings(monkeypatch):
     from storegrain.catalog import learning
 
