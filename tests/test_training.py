@@ -149,3 +149,41 @@ def test_level_belongs_to_the_score_before_rounding(spark):
                                    "request_id string, survival_1yr double, survival_3yr double, risk_score double, break_even_months double, monthly_revenue double, monthly_profit double")
     assert [(r.risk_score, r.risk_level) for r in requests.postprocess(scores).orderBy("request_id").collect()] == [(0.3, "LOW"), (0.6, "MEDIUM"), (0.2, "LOW")]
     assert {tuple(r)[1:] for r in learning.score_checks(scores).collect()} == {(True, True, True)}
+
+
+def test_rows_of_a_network_are_packed_once(prepared, monkeypatch):
+    """Further gradients read the kept blocks, not the table; they are released at the end."""
+    _, state, data = prepared
+    rows = training.VectorAssembler(inputCols=state.columns, outputCol="features").transform(data)
+    made, packed = [], network.packed
+    monkeypatch.setattr(network, "packed", lambda *a: made.append(packed(*a)) or made[-1])
+    estimator = training._estimator("network", "survival_1yr", True, len(state.columns), {"layers": [5], "maxIter": 6})
+    training.fit_in_legs(estimator, rows, rows, "survival_1yr", leg=2)
+    assert len(made) == 2 and not any(blocks.is_cached for blocks in made)
+
+
+def test_many_rows_are_dealt_evenly_with_the_same_gradient(spark, prepared, monkeypatch):
+    _, state, data = prepared
+    rows = training.VectorAssembler(inputCols=state.columns, outputCol="features").transform(data).coalesce(1)
+    layers, found = [len(state.columns), 5, 2], []
+    weights = np.random.default_rng(1).normal(size=5 * len(state.columns) + 17)
+    for many in (False, True):
+        if many:
+            monkeypatch.setattr(network, "BLOCK", 10)
+            monkeypatch.setattr(network, "FINE", 5)
+        blocks = network.packed(rows, "survival_1yr")
+        sizes = [len(y) for part in blocks.glom().collect() for _, y in part]
+        parts = [sum(len(y) for _, y in part) for part in blocks.glom().collect()]
+        found.append(network.loss_over(blocks, "survival_1yr", layers, weights))
+        blocks.unpersist()
+        assert sum(sizes) == 400 and (not many or max(sizes) == 5 and max(parts) <= 2 * min(parts))
+    assert found[0][0] == pytest.approx(found[1][0]) and found[0][1] == pytest.approx(found[1][1])
+
+
+def test_blocks_of_a_network_share_their_arrays():
+    rng, layers, room = np.random.default_rng(0), [5, 7, 4, 2], network.Room()
+    weights = rng.normal(size=84)
+    for n in (30, 12, 41):
+        x, y = rng.normal(size=(n, 5)), rng.integers(0, 2, n)
+        alone, shared = network.block_loss(weights, layers, x, y, True), network.block_loss(weights, layers, x, y, True, room)
+        assert alone[0] == shared[0] and (alone[1] == shared[1]).all()
